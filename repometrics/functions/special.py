@@ -1,4 +1,4 @@
-"""Tail probabilities as Column expressions.
+"""Tail probabilities of named columns.
 
 They run over one row per tested factor.  Series and continued fractions have
 a fixed number of terms, so no Python worker is needed.
@@ -14,100 +14,79 @@ from pyspark.sql import functions as F
 _SERIES_TERMS = 80
 _FRACTION_TERMS = 120
 _BETA_TERMS = 300
-_LARGE_DF = 10_000.0
+_LARGE_DF = 10_000
 
 
-def erfc(x: Column) -> Column:
-    """Complementary error function."""
-    z = F.abs(x)
+def _erfc_sql(x: str) -> str:
+    z = f"abs({x})"
     # erf(z) = 2/sqrt(pi) exp(-z^2) (z + 2z^3/3 + 4z^5/15 + ...), all terms positive
-    series = F.aggregate(
-        F.sequence(F.lit(1), F.lit(_SERIES_TERMS)),
-        F.struct(z.alias("term"), z.alias("total")),
-        lambda acc, k: F.struct(
-            (acc["term"] * 2.0 * z * z / (2.0 * k + 1.0)).alias("term"),
-            (acc["total"] + acc["term"] * 2.0 * z * z / (2.0 * k + 1.0)).alias("total"),
-        ),
-        lambda acc: acc["total"],
-    )
-    near = 1.0 - 2.0 / math.sqrt(math.pi) * F.exp(-z * z) * series
+    series = f"""aggregate(sequence(1, {_SERIES_TERMS}), named_struct('term', {z}, 'total', {z}),
+        (acc, k) -> named_struct(
+            'term', acc.term * 2D * {z} * {z} / (2D * k + 1D),
+            'total', acc.total + acc.term * 2D * {z} * {z} / (2D * k + 1D)),
+        acc -> acc.total)"""
     # erfc(z) = exp(-z^2)/sqrt(pi) / (z + (1/2)/(z + (2/2)/(z + ...)))
-    fraction = F.aggregate(
-        F.sequence(F.lit(_FRACTION_TERMS), F.lit(1), F.lit(-1)),
-        z,
-        lambda acc, k: z + (k / 2.0) / acc,
-    )
-    far = F.exp(-z * z) / math.sqrt(math.pi) / fraction
-    upper = F.when(z < 2.0, near).otherwise(far)
-    return F.when(x < 0, 2.0 - upper).otherwise(upper)
+    fraction = f"aggregate(sequence({_FRACTION_TERMS}, 1, -1), {z}, (acc, k) -> {z} + k / 2D / acc)"
+    upper = f"""CASE WHEN {z} < 2D THEN 1D - 2D / sqrt(pi()) * exp(-{z} * {z}) * {series}
+        ELSE exp(-{z} * {z}) / sqrt(pi()) / {fraction} END"""
+    return f"CASE WHEN {x} < 0D THEN 2D - ({upper}) ELSE {upper} END"
+
+
+def erfc(x: str) -> Column:
+    """Complementary error function."""
+    return F.expr(_erfc_sql(f"`{x}`"))
 
 
-def normal_tail(z: Column) -> Column:
+def normal_tail(z: str) -> Column:
     """P(N > z)."""
-    return 0.5 * erfc(z / math.sqrt(2.0))
+    return F.expr(f"0.5D * ({_erfc_sql(f'(`{z}` / sqrt(2D))')})")
 
 
-def chi2_tail_df1(h: Column) -> Column:
+def chi2_tail_df1(h: str) -> Column:
     """P(X > h) for chi-square with one degree of freedom."""
-    return erfc(F.sqrt(F.greatest(h, F.lit(0.0)) / 2.0))
+    return F.expr(_erfc_sql(f"sqrt(greatest(`{h}`, 0D) / 2D)"))
 
 
-def kolmogorov_tail(t: Column) -> Column:
+def kolmogorov_tail(t: str) -> Column:
     """P(K > t) for the limiting distribution of the Kolmogorov statistic."""
-    ks = F.sequence(F.lit(1), F.lit(100))
-    far = 2.0 * F.aggregate(
-        ks, F.lit(0.0),
-        lambda acc, k: acc + F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * k * k * t * t),
-    )
+    t = f"`{t}`"
+    far = f"""2D * aggregate(sequence(1, 100), 0D,
+        (acc, k) -> acc + if(k % 2 = 1, 1D, -1D) * exp(-2D * k * k * {t} * {t}))"""
     # The same function for small t, where the series above converges slowly.
-    near = 1.0 - math.sqrt(2.0 * math.pi) / t * F.aggregate(
-        ks, F.lit(0.0),
-        lambda acc, k: acc + F.exp(-((2.0 * k - 1.0) ** 2.0) * math.pi**2 / (8.0 * t * t)),
-    )
-    value = F.when(t <= 0, F.lit(1.0)).when(t < 1.0, near).otherwise(far)
-    return F.when(t.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)))
+    near = f"""1D - sqrt(2D * pi()) / {t} * aggregate(sequence(1, 100), 0D,
+        (acc, k) -> acc + exp(-(2D * k - 1D) * (2D * k - 1D) * pi() * pi() / (8D * {t} * {t})))"""
+    return F.expr(f"""CASE WHEN {t} IS NULL THEN NULL WHEN {t} <= 0D THEN 1D
+        WHEN {t} < 1D THEN least(1D, {near}) ELSE greatest(0D, {far}) END""")
 
 
-def _log_gamma(z: Column) -> Column:
+def _log_gamma_sql(z: str) -> str:
     # Stirling's series after moving the argument up by eight
-    product = z
-    for i in range(1, 8):
-        product = product * (z + float(i))
-    w = z + 8.0
-    stirling = (
-        (w - 0.5) * F.ln(w) - w + 0.5 * math.log(2.0 * math.pi)
-        + 1.0 / (12.0 * w) - 1.0 / (360.0 * w**3.0) + 1.0 / (1260.0 * w**5.0) - 1.0 / (1680.0 * w**7.0)
-    )
-    return stirling - F.ln(product)
-
-
-def _beta_fraction(x: Column, a: Column, b: Column) -> Column:
-    # continued fraction of the incomplete beta function, evaluated from its far end
-    def step(acc: Column, j: Column) -> Column:
-        m = F.floor(j / 2.0).cast("double")
-        odd = -(a + m) * (a + b + m) * x / ((a + 2.0 * m) * (a + 2.0 * m + 1.0))
-        even = m * (b - m) * x / ((a + 2.0 * m - 1.0) * (a + 2.0 * m))
-        return 1.0 + F.when(j % 2 == 1, odd).otherwise(even) / acc
+    product = " * ".join(f"({z} + {i}D)" for i in range(8))
+    w = f"({z} + 8D)"
+    return f"""(({w} - 0.5D) * ln({w}) - {w} + 0.5D * ln(2D * pi()) + 1D / (12D * {w})
+        - 1D / (360D * pow({w}, 3)) + 1D / (1260D * pow({w}, 5)) - 1D / (1680D * pow({w}, 7)) - ln({product}))"""
+
 
-    return 1.0 / F.aggregate(F.sequence(F.lit(_BETA_TERMS), F.lit(1), F.lit(-1)), F.lit(1.0), step)
+def _beta_fraction_sql(x: str, a: str, b: str) -> str:
+    # continued fraction of the incomplete beta function, evaluated from its far end
+    m = "floor(j / 2D)"
+    odd = f"-({a} + {m}) * ({a} + {b} + {m}) * {x} / (({a} + 2D * {m}) * ({a} + 2D * {m} + 1D))"
+    even = f"{m} * ({b} - {m}) * {x} / (({a} + 2D * {m} - 1D) * ({a} + 2D * {m}))"
+    return f"""(1D / aggregate(sequence({_BETA_TERMS}, 1, -1), 1D,
+        (acc, j) -> 1D + if(j % 2 = 1, {odd}, {even}) / acc))"""
 
 
-def f_tail_df1(f: Column, df2: Column) -> Column:
+def f_tail_df1(f: str, df2: str) -> Column:
     """P(F > f) for one and ``df2`` degrees of freedom."""
-    a, b = df2 / 2.0, F.lit(0.5)
-    x = df2 / (df2 + f)
-    rest = f / (df2 + f)
-    log_front = _log_gamma(a + 0.5) - _log_gamma(a) - 0.5 * math.log(math.pi) + a * F.ln(x) + 0.5 * F.ln(rest)
-    front = F.exp(log_front)
-    small = F.when(
-        x < (a + 1.0) / (a + 2.5), front * _beta_fraction(x, a, b) / a
-    ).otherwise(1.0 - front * _beta_fraction(rest, b, a) / 0.5)
+    f, df2 = f"`{f}`", f"`{df2}`"
+    a, x, rest = f"({df2} / 2D)", f"({df2} / ({df2} + {f}))", f"({f} / ({df2} + {f}))"
+    front = f"""exp({_log_gamma_sql(f'({a} + 0.5D)')} - {_log_gamma_sql(a)} - 0.5D * ln(pi())
+        + {a} * ln({x}) + 0.5D * ln({rest}))"""
+    small = f"""CASE WHEN {x} < ({a} + 1D) / ({a} + 2.5D) THEN {front} * {_beta_fraction_sql(x, a, '0.5D')} / {a}
+        ELSE 1D - {front} * {_beta_fraction_sql(rest, '0.5D', a)} / 0.5D END"""
     # Many degrees of freedom: a normal deviate with the same tail.
-    z = (df2 - 2.0 / 3.0 + 0.1 / df2) * F.sqrt(F.log1p(f / df2) / (df2 - 5.0 / 6.0))
-    value = (
-        F.when(f <= 0, F.lit(1.0))
-        .when(f == float("inf"), F.lit(0.0))
-        .when(df2 > _LARGE_DF, 2.0 * normal_tail(z))
-        .otherwise(small)
-    )
-    return F.when(f.isNotNull() & (df2 > 0), F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)))
+    z = f"(({df2} - 2D / 3D + 0.1D / {df2}) * sqrt(log1p({f} / {df2}) / ({df2} - 5D / 6D)))"
+    return F.expr(f"""CASE WHEN {f} IS NULL OR {df2} IS NULL OR {df2} <= 0D THEN NULL
+        WHEN {f} <= 0D THEN 1D WHEN {f} = double('Infinity') THEN 0D
+        WHEN {df2} > {_LARGE_DF}D THEN {_erfc_sql(f'({z} / sqrt(2D))')}
+        ELSE greatest(0D, least(1D, {small})) END""")

@@ -27,18 +27,19 @@ def two_group_histogram(df: DataFrame, factor: Column | str, value: Column | str
 
 
 def _ranked(hist: DataFrame) -> DataFrame:
-    a, b, x = F.col("a"), F.col("b"), F.col("x")
     rows = running_totals(
-        hist, ["factor"], ["x"], {"a": a, "b": b}, {"ax": a * x, "bx": b * x}
+        hist, ["factor"], ["x"],
+        {"a": F.col("a"), "b": F.col("b")},
+        {"ax": F.expr("a * x"), "bx": F.expr("b * x")},
     )
-    here = a + b
-    return rows.withColumns({
-        "ties": here,
+    return rows.selectExpr(
+        "*",
+        "a + b AS ties",
         # members before this value, plus the middle of those that share it
-        "rank": F.col("before_a") + F.col("before_b") + (here + 1) / F.lit(2.0),
-        "ecdf_a": F.try_divide(F.col("before_a") + a, F.col("total_a")),
-        "ecdf_b": F.try_divide(F.col("before_b") + b, F.col("total_b")),
-    })
+        "before_a + before_b + (a + b + 1) / 2D AS rank",
+        "try_divide(before_a + a, total_a) AS ecdf_a",
+        "try_divide(before_b + b, total_b) AS ecdf_b",
+    )
 
 
 def average_rank(hist: DataFrame) -> DataFrame:
@@ -53,113 +54,93 @@ def ecdf(hist: DataFrame) -> DataFrame:
 
 def _summarise(hist: DataFrame) -> DataFrame:
     """One row per factor with everything the tests need."""
-    x = F.col("x")
-
-    def mean(g: str) -> Column:
-        return F.try_divide(F.col(f"total_{g}x"), F.col(f"total_{g}"))
-
-    def middle(g: str, up: bool) -> Column:
-        spot = (F.col(f"total_{g}") - 1) / F.lit(2.0)
-        rank = F.ceil(spot) if up else F.floor(spot)
-        before = F.col(f"before_{g}")
-        return F.max(F.when((before <= rank) & (rank < before + F.col(g)), x))
-
-    per_group = []
+    totals = []
     for g in ("a", "b"):
-        present = F.when(F.col(g) > 0, x)
-        per_group += [
-            F.max(f"total_{g}").alias(f"n_{g}"),
-            F.max(mean(g)).alias(f"mean_{g}"),
-            F.sum(F.col(g) * (x - mean(g)) ** 2).alias(f"ss_{g}"),
-            F.min(present).alias(f"min_{g}"),
-            F.max(present).alias(f"max_{g}"),
-            ((middle(g, False) + middle(g, True)) / 2.0).alias(f"med_{g}"),
+        mean, spot = f"try_divide(total_{g}x, total_{g})", f"(total_{g} - 1) / 2D"
+        present = f"CASE WHEN {g} > 0 THEN x END"
+
+        def at(rank: str) -> str:
+            return f"max(CASE WHEN before_{g} <= {rank} AND {rank} < before_{g} + {g} THEN x END)"
+
+        totals += [
+            f"max(total_{g}) AS n_{g}",
+            f"max({mean}) AS raw_mean_{g}",
+            f"sum({g} * (x - {mean}) * (x - {mean})) AS raw_ss_{g}",
+            f"min({present}) AS min_{g}",
+            f"max({present}) AS max_{g}",
+            f"({at(f'floor({spot})')} + {at(f'ceil({spot})')}) / 2D AS med_{g}",
+            f"sum({g} * rank) AS ranks_{g}",
         ]
-    ties = F.col("ties").cast("double")
-    return _ranked(hist).groupBy("factor").agg(
-        *per_group,
-        F.sum(F.col("a") * F.col("rank")).alias("ranks_a"),
-        F.sum(F.col("b") * F.col("rank")).alias("ranks_b"),
-        F.sum(ties**3 - ties).alias("tie_term"),
-        F.max(F.abs(F.col("ecdf_a") - F.col("ecdf_b"))).alias("ks_stat"),
-    ).withColumns({
-        # rounding in the mean must not turn constant data into varying data
-        "ss_a": F.when(F.col("min_a") < F.col("max_a"), F.col("ss_a")).otherwise(0.0),
-        "ss_b": F.when(F.col("min_b") < F.col("max_b"), F.col("ss_b")).otherwise(0.0),
-        "mean_a": F.when(F.col("min_a") < F.col("max_a"), F.col("mean_a")).otherwise(F.col("min_a")),
-        "mean_b": F.when(F.col("min_b") < F.col("max_b"), F.col("mean_b")).otherwise(F.col("min_b")),
-    })
-
-
-def _summary_columns() -> list[Column]:
-    out = []
-    for g in ("a", "b"):
-        n = F.col(f"n_{g}")
-        out += [
-            F.col(f"mean_{g}").alias(f"mean{g}"),
-            F.col(f"med_{g}").alias(f"med{g}"),
-            F.when(n > 1, F.sqrt(F.col(f"ss_{g}") / (n - 1))).alias(f"std{g}"),
-        ]
-    return out
-
-
-def _both() -> Column:
-    return (F.col("n_a") > 0) & (F.col("n_b") > 0)
+    totals += [
+        "sum(pow(ties, 3) - ties) AS tie_term",
+        "max(abs(ecdf_a - ecdf_b)) AS ks_stat",
+    ]
+    summed = _ranked(hist).groupBy("factor").agg(*[F.expr(t) for t in totals])
+    # Rounding in the mean must not turn constant data into varying data.
+    return summed.selectExpr(
+        "*",
+        *[f"CASE WHEN min_{g} < max_{g} THEN raw_mean_{g} ELSE min_{g} END AS mean_{g}" for g in "ab"],
+        *[f"CASE WHEN min_{g} < max_{g} THEN raw_ss_{g} ELSE 0D END AS ss_{g}" for g in "ab"],
+        "n_a > 0 AND n_b > 0 AS both",
+        "double(n_a) AS na", "double(n_b) AS nb", "double(n_a + n_b) AS n",
+    ).selectExpr("*", "1D - try_divide(tie_term, n * n * n - n) AS correction")
+
+
+_SUMMARY = [
+    sql
+    for g in "ab"
+    for sql in (
+        f"mean_{g} AS mean{g}",
+        f"med_{g} AS med{g}",
+        f"CASE WHEN n_{g} > 1 THEN sqrt(ss_{g} / (n_{g} - 1)) END AS std{g}",
+    )
+]
 
 
 def _with_anova(s: DataFrame) -> DataFrame:
-    n_a, n_b = F.col("n_a").cast("double"), F.col("n_b").cast("double")
-    between = n_a * n_b / (n_a + n_b) * (F.col("mean_a") - F.col("mean_b")) ** 2
-    within = F.col("ss_a") + F.col("ss_b")
-    df2 = n_a + n_b - 2.0
-    stat = F.when(within > 0, between / within * df2).when(between > 0, F.lit(float("inf")))
-    out = s.withColumn("f_stat", F.when(_both() & (df2 > 0), stat)).withColumn("_df2", df2)
-    return out.withColumn("f_pval", f_tail_df1(F.col("f_stat"), F.col("_df2")))
-
-
-def _tie_correction() -> Column:
-    n = (F.col("n_a") + F.col("n_b")).cast("double")
-    return 1.0 - F.try_divide(F.col("tie_term"), n**3 - n)
+    between = s.selectExpr(
+        "*", "n - 2D AS df2", "ss_a + ss_b AS within",
+        "CASE WHEN both THEN na * nb / n * (mean_a - mean_b) * (mean_a - mean_b) END AS between_groups",
+    )
+    stat = between.selectExpr("*", """CASE WHEN NOT both OR df2 <= 0D THEN NULL
+        WHEN within > 0D THEN between_groups / within * df2
+        WHEN between_groups > 0D THEN double('Infinity') END AS f_stat""")
+    return stat.withColumn("f_pval", f_tail_df1("f_stat", "df2"))
 
 
 def _with_kruskal(s: DataFrame) -> DataFrame:
-    n_a, n_b = F.col("n_a").cast("double"), F.col("n_b").cast("double")
-    n = n_a + n_b
-    middle = (n + 1.0) / 2.0
-    spread = n_a * (F.col("ranks_a") / n_a - middle) ** 2 + n_b * (F.col("ranks_b") / n_b - middle) ** 2
-    stat = 12.0 / (n * (n + 1.0)) * spread / _tie_correction()
-    out = s.withColumn("k_stat", F.when(_both() & (_tie_correction() > 0), stat))
-    return out.withColumn("k_pval", chi2_tail_df1(F.col("k_stat")))
+    stat = s.selectExpr("*", """CASE WHEN both AND correction > 0D THEN 12D / (n * (n + 1D)) / correction
+        * (na * pow(ranks_a / na - (n + 1D) / 2D, 2) + nb * pow(ranks_b / nb - (n + 1D) / 2D, 2)) END AS k_stat""")
+    return stat.withColumn("k_pval", chi2_tail_df1("k_stat"))
 
 
 def _with_mann_whitney(s: DataFrame) -> DataFrame:
-    n_a, n_b = F.col("n_a").cast("double"), F.col("n_b").cast("double")
-    u = F.col("ranks_a") - n_a * (n_a + 1.0) / 2.0
-    sd = F.sqrt(_tie_correction() * n_a * n_b * (n_a + n_b + 1.0) / 12.0)
-    usable = _both() & (_tie_correction() > 0)
-    out = s.withColumns({"u_stat": F.when(usable, u), "_sd": F.when(usable, sd), "_mu": n_a * n_b / 2.0})
-
+    stat = s.selectExpr(
+        "*",
+        "CASE WHEN both AND correction > 0D THEN ranks_a - na * (na + 1D) / 2D END AS u_stat",
+        "CASE WHEN both AND correction > 0D THEN sqrt(correction * na * nb * (n + 1D) / 12D) END AS sd",
+    )
     # The normal deviate of a count, half a step towards the middle.
-    def deviate(count: Column) -> Column:
-        return (count - F.col("_mu") - 0.5) / F.col("_sd")
-
-    mirrored = 2.0 * F.col("_mu") - F.col("u_stat")
-    out = out.withColumns({
-        "_z_two": deviate(F.greatest(F.col("u_stat"), mirrored)),
-        "_z_less": deviate(mirrored),
-        "_z_greater": deviate(F.col("u_stat")),
-    })
-    two = 2.0 * normal_tail(F.col("_z_two"))
-    return out.withColumns({
-        "u_pval": F.when(F.col("u_stat").isNotNull(), F.least(F.lit(1.0), two)),
-        "u_pval_less": normal_tail(F.col("_z_less")),
-        "u_pval_greater": normal_tail(F.col("_z_greater")),
-    })
+    deviate = "({} - na * nb / 2D - 0.5D) / sd AS {}"
+    return (
+        stat.selectExpr(
+            "*",
+            deviate.format("greatest(u_stat, na * nb - u_stat)", "z_two"),
+            deviate.format("(na * nb - u_stat)", "z_less"),
+            deviate.format("u_stat", "z_greater"),
+        )
+        .withColumns({
+            "tail_two": normal_tail("z_two"),
+            "u_pval_less": normal_tail("z_less"),
+            "u_pval_greater": normal_tail("z_greater"),
+        })
+        .selectExpr("*", "CASE WHEN tail_two IS NOT NULL THEN least(1D, 2D * tail_two) END AS u_pval")
+    )
 
 
 def two_group_summary(hist: DataFrame) -> DataFrame:
     """Mean, median and sample deviation of both groups per factor."""
-    return _summarise(hist).select("factor", *_summary_columns())
+    return _summarise(hist).selectExpr("factor", *_SUMMARY)
 
 
 def anova_f(hist: DataFrame) -> DataFrame:
@@ -181,20 +162,15 @@ def mann_whitney_u(hist: DataFrame) -> DataFrame:
 
 def ks_two_sample(hist: DataFrame) -> DataFrame:
     """Largest distance of the two distribution functions, asymptotic probability."""
-    n_a, n_b = F.col("n_a").cast("double"), F.col("n_b").cast("double")
-    rows = _summarise(hist).withColumn(
-        "_t", F.sqrt(F.try_divide(n_a * n_b, n_a + n_b)) * F.col("ks_stat")
-    )
-    return rows.select(
-        "factor", "n_a", "n_b", "ks_stat", kolmogorov_tail(F.col("_t")).alias("ks_pval")
-    )
+    rows = _summarise(hist).selectExpr("*", "sqrt(try_divide(na * nb, n)) * ks_stat AS t")
+    return rows.select("factor", "n_a", "n_b", "ks_stat", kolmogorov_tail("t").alias("ks_pval"))
 
 
 def significance_table(hist: DataFrame) -> DataFrame:
     """All tests for every factor in one pass, most significant first."""
     tested = _with_mann_whitney(_with_kruskal(_with_anova(_summarise(hist))))
-    table = tested.select(
-        "factor", *_summary_columns(),
+    table = tested.selectExpr(
+        "factor", *_SUMMARY,
         "f_stat", "f_pval", "k_stat", "k_pval",
         "u_stat", "u_pval", "u_pval_less", "u_pval_greater",
     )
