@@ -94,8 +94,9 @@ def keyword_exclusion(
     df: DataFrame, column: str = "description", terms: Sequence[str] = C.EXCLUDED_TERMS
 ) -> DataFrame:
     """Rows whose text holds none of the terms, in any case; missing text is dropped."""
-    lowered = df.withColumn("_text", F.lower(column))
-    return lowered.filter(~any_contains("_text", terms)).drop("_text")
+    # A one-element array lowers the text once, not once per term.
+    hit = F.exists(F.array(F.lower(column)), lambda text: any_contains(text, terms))
+    return df.filter(~hit)
 
 
 def base_repo_predicate(df: DataFrame, language: str = C.LANGUAGE) -> DataFrame:

@@ -70,9 +70,11 @@ def lint_cells(
     if repos is not None and not early:
         cells = cells.join(repos.select(F.col("id").alias("repo")).distinct(), "repo", "left_semi")
     # A repository without labels has no profile and counts as "other".
+    # Labels shrink to one row per repository before they meet the ids.
     labelled = labels.select("repo").distinct()
     ml_repos = (
-        labelled.join(ds_ids.select(F.col("id").alias("repo")).distinct(), "repo", "left_semi")
+        ds_ids.select(F.col("id").alias("repo")).distinct()
+        .join(labelled, "repo", "left_semi")
         .withColumn("is_ml_repo", F.lit(True))
     )
     return cells.join(ml_repos, "repo", "left").withColumn(

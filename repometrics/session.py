@@ -15,6 +15,8 @@ def build_session(app_name: str = "repometrics", master: str | None = None, **co
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # recording the call site of every column expression slows plan building down
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)
