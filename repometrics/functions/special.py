@@ -44,7 +44,7 @@ def normal_tail(z: str) -> Column:
 
 def chi2_tail_df1(h: str) -> Column:
     """P(X > h) for chi-square with one degree of freedom."""
-    return F.expr(_erfc_sql(f"sqrt(greatest(`{h}`, 0D) / 2D)"))
+    return F.expr(f"CASE WHEN `{h}` IS NOT NULL THEN {_erfc_sql(f'sqrt(greatest(`{h}`, 0D) / 2D)')} END")
 
 
 def kolmogorov_tail(t: str) -> Column:
