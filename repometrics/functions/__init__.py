@@ -2,7 +2,9 @@ from repometrics.functions.scalars import (
     any_contains,
     clamp_above,
     clamp_below,
+    days_between,
     epoch_days,
+    epoch_iso,
     import_short_name,
     nonblank_lines,
     strip,
@@ -11,7 +13,7 @@ from repometrics.functions.special import chi2_tail_df1, erfc, f_tail_df1, kolmo
 from repometrics.functions.versions import py_version_label, version_select, version_summary
 
 __all__ = [
-    "any_contains", "chi2_tail_df1", "clamp_above", "clamp_below", "epoch_days", "erfc", "f_tail_df1",
+    "any_contains", "chi2_tail_df1", "clamp_above", "clamp_below", "days_between", "epoch_days", "epoch_iso", "erfc", "f_tail_df1",
     "import_short_name", "kolmogorov_tail", "nonblank_lines", "normal_tail", "py_version_label",
     "strip", "version_select", "version_summary",
 ]

@@ -43,6 +43,19 @@ def epoch_days(seconds: Column) -> Column:
     return seconds / F.lit(float(SECONDS_PER_DAY))
 
 
+def epoch_iso(seconds: Column) -> Column:
+    """Seconds since 1970 as ISO text in UTC, whatever the session's time zone is."""
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    text = F.date_format(start + F.make_dt_interval(secs=seconds), "yyyy-MM-dd'T'HH:mm:ss")
+    return F.concat(text, F.lit("+00:00"))
+
+
+def days_between(start: Column | str, end: Column | str) -> Column:
+    """Fractional days from one moment to another."""
+    seconds = F.timestamp_diff("MICROSECOND", _col(start), _col(end)) / F.lit(1e6)
+    return epoch_days(seconds)
+
+
 def clamp_above(value: Column | str, cap: float) -> Column:
     """Values above ``cap`` become ``cap``; missing stays missing."""
     value = _col(value).cast("double")

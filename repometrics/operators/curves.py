@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from repometrics import constants as C
 from repometrics.functions import clamp_above, clamp_below
+from repometrics.operators.joins import lookup_join
 from repometrics.session import settle
 
 
@@ -28,13 +29,12 @@ def survival_curves(counted: DataFrame, log: bool = False, edges: int = C.CURVE_
     low, high = F.min("x"), F.max("x")
     if log:
         low, high = F.log10(low), F.log10(high)
-    # one row per dimension; both sides are small by now and adaptive execution picks the join
     limits = counted.groupBy("dim").agg(low.alias("_start"), (high + C.CURVE_PAD).alias("_stop"))
     bins = edges - 1
     scaled = F.log10("x") if log else F.col("x")
     guess = F.floor((scaled - F.col("_start")) / (F.col("_stop") - F.col("_start")) * bins)
     placed = (
-        counted.join(limits, "dim")
+        lookup_join(counted, limits, "dim", "inner")
         .withColumn("_guess", F.greatest(F.lit(0), F.least(F.lit(bins - 1), guess)).cast("bigint"))
         # division may be off by one bin; the edges themselves decide
         .withColumn(

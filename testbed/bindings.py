@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repometrics.functions import py_version_label
+from repometrics.functions import epoch_iso, py_version_label
 from repometrics.operators.aggregates import version_table
 from repometrics.operators.reports import commit_span
 
@@ -73,8 +73,8 @@ class Tables:
         return self.raw("orders").select(
             F.col("o_custkey").alias("repo"),
             (-(day * 10_000_000_000 + F.col("o_orderkey"))).alias("traversal_order"),
-            committed.alias("committed_epoch"), _iso(committed).alias("committed_iso"),
-            authored.alias("authored_epoch"), _iso(authored).alias("authored_iso"),
+            committed.alias("committed_epoch"), epoch_iso(committed).alias("committed_iso"),
+            authored.alias("authored_epoch"), epoch_iso(authored).alias("authored_iso"),
         )
 
     def git(self) -> DataFrame:
@@ -298,11 +298,5 @@ def _file() -> list[Column]:
     return [F.col("o_custkey").alias("repo"), F.col("o_orderkey").cast("string").alias("path")]
 
 
-def _iso(epoch: Column) -> Column:
-    # epoch seconds as text without going through the session's time zone
-    moment = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=epoch)
-    return F.concat(F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
-
-
 def _keyed(key: Column, body: Column) -> Column:
     return F.concat(F.lit('{"'), key, F.lit('": '), body, F.lit("}"))

@@ -103,7 +103,7 @@ CTES = {
     # --- derived tables that several oracles share
     "counts": "SELECT repo, path, symbol, count(*) AS n FROM clean WHERE symbol IS NOT NULL GROUP BY ALL",
     "wide": "SELECT repo, path, "
-        + ", ".join(f"nullif(coalesce(sum(n) FILTER (symbol = '{s}'), 0), 0) AS \"lint_{s}\"" for s in SYMBOLS)
+        + ", ".join(f"CAST(sum(n) FILTER (symbol = '{s}') AS BIGINT) AS \"lint_{s}\"" for s in SYMBOLS)
         + " FROM counts GROUP BY repo, path",
     "complexity": """
         SELECT repo, path, avg(complexity) AS complexity FROM cc WHERE type IN ('method', 'function')
@@ -214,6 +214,10 @@ oracle("library_in_list", "imports", f"""SELECT DISTINCT repo, path, short AS im
     FROM imports WHERE short IN {_list(LIBS)}""")
 oracle("dedupe_labels", "imports", "SELECT DISTINCT repo, path FROM imports")
 
+oracle("import_short_name", "imports", """SELECT repo, short AS import_short_name, count(*) AS n
+    FROM imports GROUP BY repo, short""")
+oracle("import_analysis", "imports", "SELECT * FROM sets", SETS)
+
 # --- versions --------------------------------------------------------------
 
 _plain("py_version_label", "versions")
@@ -223,6 +227,8 @@ _plain("version_summary", "version_tab")
 oracle("version_summary_counts", "version_tab", "SELECT summary, count(*) AS num_repos FROM version_tab GROUP BY summary")
 oracle("version_select", "version_tab", 'SELECT "select", count(*) AS num_repos FROM version_tab GROUP BY "select"')
 
+oracle("version_analysis", "version_tab", "SELECT summary, count(*) AS num_repos FROM version_tab GROUP BY summary")
+
 # --- filters, joins, sets --------------------------------------------------
 
 ACTIVE = "active AS (SELECT o_custkey AS id FROM orders WHERE o_totalprice > 400000)"
@@ -232,6 +238,10 @@ oracle("membership_flag", "labels ds_ids", "SELECT *, repo IN (SELECT id FROM ds
 _plain("merge_result_chunks", "loc")
 oracle("merged_metrics", "", """SELECT o_custkey AS repo, count(*) AS loc_rows, count(*) AS ver_rows
     FROM orders GROUP BY o_custkey""")
+oracle("semi_by_ids", "labels", "SELECT * FROM labels WHERE repo IN (SELECT id FROM active)", ACTIVE)
+oracle("anti_by_ids", "labels", "SELECT * FROM labels WHERE repo NOT IN (SELECT id FROM active)", ACTIVE)
+oracle("three_way_intersection", "labels", " INTERSECT ".join(
+    f"SELECT repo AS id FROM labels WHERE cat = '{c}'" for c in ("ml0", "no-ml-dependency", "test")))
 oracle("id_union", "ds_ids", "SELECT id FROM ds_ids UNION SELECT id FROM active", ACTIVE)
 oracle("id_intersection", "ds_ids", "SELECT id FROM ds_ids INTERSECT SELECT id FROM active", ACTIVE)
 oracle("set_sizes", "ds_ids", """SELECT (SELECT count(*) FROM active) AS rows_a,
@@ -245,6 +255,10 @@ oracle("drop_push_before_create", "meta", """SELECT id, strftime(created_at, '%Y
 AGE = "round((last_committed_date - first_committed_date) / 86400, 6)"
 oracle("age_between", "git", f"SELECT repo, {AGE} AS age FROM git WHERE {AGE} >= 0 AND {AGE} < 2000")
 oracle("repo_age_days", "git", f"SELECT repo, git_error, {AGE} AS age FROM git")
+oracle("days_between_dates", "meta", """SELECT id, round(date_diff('day', created_at, pushed_at) * 1.0::DOUBLE, 6) AS days
+    FROM meta""")
+oracle("project", "lint", "SELECT repo, path, symbol, message_id FROM lint")
+oracle("derive_rename", "loc", "SELECT repo, path AS file, nonblank_loc, internal_error, nonblank_loc AS loc FROM loc")
 oracle("keep_selected", "version_tab", 'SELECT repo, summary FROM version_tab WHERE "select"')
 _plain("clean_lint_rows", "clean")
 oracle("syntax_error_files", "lint", """SELECT repo, parse_error, count(*) AS n FROM (
@@ -265,7 +279,10 @@ oracle("base_repo_predicate", "projects", """SELECT id, name FROM projects WHERE
     AND language = 'en' AND description IS NOT NULL AND description <> ''""")
 oracle("star_join", "", """SELECT doc_id AS id, source AS name, count(event_id) AS stars
     FROM documents LEFT JOIN events ON user_id = doc_id GROUP BY doc_id, source""")
-oracle("candidate_repos", "projects", f"""SELECT p.id, p.name, p.url, length(p.description) AS description_length,
+oracle("starred_repos", "projects", """SELECT p.id, p.name, p.language, count(e.event_id) AS stars
+    FROM projects p LEFT JOIN events e ON e.user_id = p.id GROUP BY p.id, p.name, p.url, p.description, p.language
+    HAVING count(e.event_id) >= 60""")
+oracle("candidate_repos", "projects", f"""SELECT p.id, p.name, p.url, CAST(length(p.description) AS INTEGER) AS description_length,
     count(e.event_id) AS stars FROM projects p LEFT JOIN events e ON e.user_id = p.id
     WHERE p.forked_from IS NULL AND p.language = 'en' AND p.description <> '' AND {_unlike('p.description', TERMS)}
     GROUP BY p.id, p.name, p.url, p.description, p.language HAVING count(e.event_id) >= 60""")
@@ -309,6 +326,7 @@ oracle("describe_time", "meta", """SELECT count(updated_at) AS count, strftime(m
 
 # --- ordering --------------------------------------------------------------
 
+oracle("popular_first", "imports", "SELECT module_name, count(*) AS n FROM imports GROUP BY module_name")
 oracle("recent_first", "meta", "SELECT id, strftime(created_at, '%Y-%m-%d') AS created_at FROM meta")
 
 
@@ -372,8 +390,8 @@ def _textlint(source: str, longest: int, most: int) -> str:
 
 _docs = f"SELECT {SOURCE}, text AS content FROM documents"
 _pages = "SELECT page_id AS repo, url AS path, html AS content FROM pages"
-oracle("text_lint_rules", "", "SELECT repo, path, line, symbol, message_id, message FROM hits", _textlint(_docs, 100, 1000))
-oracle("text_lint_rules_pages", "", "SELECT repo, line, symbol, message_id FROM hits", _textlint(_pages, 80, 2))
+oracle("text_lint_rules", "", "SELECT repo, path, CAST(line AS INTEGER) AS line, symbol, message_id, message FROM hits", _textlint(_docs, 100, 1000))
+oracle("text_lint_rules_pages", "", "SELECT repo, CAST(line AS INTEGER) AS line, symbol, message_id FROM hits", _textlint(_pages, 80, 2))
 oracle("text_lint_counts", "", """SELECT symbol, count(*) AS messages, count(DISTINCT (repo, path)) AS files
     FROM hits GROUP BY symbol""", _textlint(_docs, 100, 1000))
 
@@ -391,7 +409,7 @@ LINT_ROWS = """
         AS m(k, i) ON m.k = kind"""
 oracle("lint_report_rows", "reports", LINT_ROWS.replace("{obj}", ""))
 # an empty field and a missing one are the same in CSV
-oracle("read_metric_csv", "reports", LINT_ROWS.replace("'{obj}'", "NULL"))
+oracle("read_metric_csv", "reports", LINT_ROWS.replace("'{obj}'", "CAST(NULL AS VARCHAR)"))
 oracle("cc_report_rows", "reports", """
     SELECT repo, path || '.py' AS path, CASE WHEN ok THEN 'method' END AS type, CASE WHEN ok THEN 'A' END AS rank,
         CASE WHEN ok THEN number END AS lineno, CASE WHEN ok THEN kind END AS name,
@@ -447,12 +465,15 @@ oracle("append_rows", "", "SELECT c_custkey AS id FROM customer")
 oracle("write_by_outcome", "", f"""SELECT {OUTCOME} AS outcome, count(*) AS n,
     count(*) FILTER (event_type IN ('click', 'view')) AS named FROM events GROUP BY 1""")
 oracle("read_intermediate", "labels", "SELECT cat, count(*) AS n FROM labels GROUP BY cat")
+oracle("write_table", "version_tab", 'SELECT repo, either, python3, summary, "select" FROM version_tab')
 oracle("scan_warehouse", "", "SELECT user_id AS repo_id, count(*) AS stars FROM events GROUP BY user_id")
 
 # --- lint per line ---------------------------------------------------------
 
 _plain("lint_counts", "counts")
 _plain("lint_pivot", "wide")
+oracle("cast_value", "lint", """SELECT repo, path, symbol, CAST(count(*) AS DOUBLE) AS value FROM lint
+    WHERE symbol IS NOT NULL GROUP BY ALL""")
 oracle("enrich_files", "features",
        'SELECT repo, path, "lint_AF", loc, cat, round(complexity, 6) AS complexity FROM features')
 oracle("attach_repo_profile", "loc profile", """SELECT l.*, p.* EXCLUDE (repo) REPLACE (round(frac_ml, 6) AS frac_ml)
@@ -612,6 +633,8 @@ TALL = " UNION ALL ".join(
     f"SELECT '{d}' AS dim, {GRP}, CAST({d} AS DOUBLE) AS x FROM meta" for d in (*LOG_DIMS, "number_of_contributors"))
 oracle("compare_distributions_tests", "meta", KS,
        f"members AS (SELECT dim AS factor, x, grp = 'DS' AS in_a FROM ({TALL}) WHERE x IS NOT NULL)" + STEPS)
+oracle("compare_distributions", "meta", f"""SELECT language, round(count(*) / sum(count(*)) OVER (), 6) AS share
+    FROM meta WHERE language <> '{DS_SEGMENT}' GROUP BY language""")
 oracle("compare_distributions_summary", "meta", f"SELECT dim, grp, {_describe('x')} FROM ({TALL}) GROUP BY dim, grp")
 oracle("compare_distributions_curves", "meta", "SELECT * FROM curve", _curve(" UNION ALL ".join(
     f"SELECT '{d}' AS dim, {GRP}, {FLOOR.format(d)} FROM meta" for d in LOG_DIMS), log=True))

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repometrics import plans, schemas, sources
-from repometrics.functions import import_short_name
+from repometrics.constants import CATEGORIES
+from repometrics.functions import days_between
+from repometrics.functions import import_short_name as short_name
 from repometrics.operators import (
     aggregates as agg,
     curves,
@@ -95,10 +97,22 @@ def test_name_match(t):
 
 @query
 def library_in_list(t):
-    rows = t.imports().withColumn("import_short_name", import_short_name("import_name", " "))
+    rows = t.imports().withColumn("import_short_name", short_name("import_name", " "))
     return agg.dedupe_labels(filters.library_in_list(rows, LIBS), ["repo", "path", "import_short_name"])
 
 
+@query
+def import_short_name(t):
+    rows = t.imports().select("repo", short_name("import_name", " ").alias("import_short_name"))
+    return rows.groupBy("repo", "import_short_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def import_analysis(t):
+    rows = plans.import_analysis(t.imports(), LIBS, TESTS, " ")["library_sets"]
+    return rows.select("repo", F.array_join("importset", ",").alias("importset"))
+
+
 @query
 def dedupe_labels(t):
     return agg.dedupe_labels(t.imports())
@@ -136,6 +150,11 @@ def version_select(t):
     return plans.version_analysis(t.versions())["by_select"]
 
 
+@query
+def version_analysis(t):
+    return plans.version_analysis(t.versions())["by_summary"]
+
+
 # --- filters, joins, sets --------------------------------------------------
 
 @query
@@ -177,6 +196,22 @@ def _active(t):
     return t.raw("orders").filter(F.col("o_totalprice") > 400000).select(F.col("o_custkey").alias("id"))
 
 
+@query
+def semi_by_ids(t):
+    return joins.semi_by_ids(t.labels(), _active(t))
+
+
+@query
+def anti_by_ids(t):
+    return joins.anti_by_ids(t.labels(), _active(t))
+
+
+@query
+def three_way_intersection(t):
+    cats = [t.labels().filter(F.col("cat") == c).select(F.col("repo").alias("id")) for c in CATEGORIES]
+    return sets.id_intersection(*cats)
+
+
 @query
 def id_union(t):
     return sets.id_union(t.ds_ids(), _active(t))
@@ -214,6 +249,21 @@ def repo_age_days(t):
     return filters.repo_age_days(t.git()).select("repo", "git_error", r6("age").alias("age"))
 
 
+@query
+def days_between_dates(t):
+    return t.meta().select("id", r6(days_between("created_at", "pushed_at")).alias("days"))
+
+
+@query
+def project(t):
+    return t.lint().select("repo", "path", "symbol", "message_id")
+
+
+@query
+def derive_rename(t):
+    return t.loc().withColumn("loc", F.col("nonblank_loc")).withColumnRenamed("path", "file")
+
+
 @query
 def keep_selected(t):
     return filters.keep_selected(t.version_tab()).select("repo", "summary")
@@ -260,6 +310,12 @@ def star_join(t):
     return joins.star_join(t.projects().select("id", "name"), t.watchers())
 
 
+@query
+def starred_repos(t):
+    joined = joins.star_join(t.projects(), t.watchers())
+    return agg.starred_repos(joined, 60).select("id", "name", "language", "stars")
+
+
 @query
 def candidate_repos(t):
     rows = plans.candidate_repos(t.projects(), t.watchers(), TERMS, 60, "en")
@@ -412,6 +468,12 @@ def most_significant_first(t):
     return rows.select("factor", r6("u_pval").alias("u_pval"))
 
 
+@query
+def popular_first(t):
+    counts = t.imports().groupBy("module_name").agg(F.count(F.lit(1)).alias("n"))
+    return ordering.popular_first(counts, "n", "module_name")
+
+
 # --- text ------------------------------------------------------------------
 
 @query
@@ -557,6 +619,14 @@ def read_intermediate(t):
     return agg.value_counts(sources.read_intermediate(t.spark, path), "cat")
 
 
+@query
+def write_table(t):
+    path = scratch_path(t.spark, "versions")
+    sources.write_table(t.version_tab(), path, fmt="json")
+    rows = t.spark.read.schema("repo bigint, either bigint, python3 bigint, summary string, select boolean").json(path)
+    return rows.select("repo", "either", "python3", "summary", "select")
+
+
 @query
 def scan_warehouse(t):
     t.watchers().createOrReplaceTempView("watchers")
@@ -606,6 +676,12 @@ def variable_prefix(t):
     return rows.groupBy("variable").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
+@query
+def cast_value(t):
+    counts = reshape.lint_counts(t.lint()).withColumnRenamed("n", "value")
+    return filters.cast_value(counts)
+
+
 def _lint_inputs(t):
     return t.lint(), t.loc(), t.labels(), t.ds_ids()
 
@@ -737,6 +813,11 @@ def compare_distributions_tests(t):
     return rounded(_comparison(t)["tests"])
 
 
+@query
+def compare_distributions(t):
+    return rounded(_comparison(t)["languages_nonds"])
+
+
 @query
 def compare_distributions_summary(t):
     return rounded(_comparison(t)["summary"])

@@ -96,3 +96,11 @@ def test_kolmogorov_tail(make):
     for r in make([(t,) for t in ts], "t double").select("t", fn.kolmogorov_tail("t").alias("p")).collect():
         want = 1.0 if r.t < 0.1 else 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * r.t**2) for k in range(1, 500))
         assert r.p == pytest.approx(want, abs=1e-12)
+
+
+def test_epoch_text_and_days_between(spark, make):
+    df = make([(0, "2016-01-01 00:00:00", "2020-03-11 12:00:00"), (1580000001, None, "2020-03-11 00:00:00")],
+              "s bigint, a string, b string")
+    got = df.select(fn.epoch_iso(F.col("s")).alias("iso"),
+                    fn.days_between(F.to_timestamp("a"), F.to_timestamp("b")).alias("d")).collect()
+    assert [tuple(r) for r in got] == [("1970-01-01T00:00:00+00:00", 1531.5), ("2020-01-26T00:53:21+00:00", None)]

@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__ as contract
 from testbed.compare import compare, connect
+from testbed.oracles import ORACLES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -27,6 +28,13 @@ def test_query_matches_sql(spark, con, name):
     assert compare(spark, con, name, SF_DIR) is None
 
 
+def test_comparison_sees_differences(spark, con, monkeypatch):
+    sql = contract.oracle_sql()["loc_by_repo"]
+    for wrong in (f"SELECT * FROM ({sql}) WHERE repo > 5", f"SELECT repo, loc + 1 AS loc FROM ({sql})", f"SELECT repo FROM ({sql})"):
+        monkeypatch.setitem(ORACLES, "loc_by_repo", wrong)
+        assert compare(spark, con, "loc_by_repo", SF_DIR)
+
+
 def test_entry_has_rows(spark):
     rows = contract.entry(spark).collect()
     assert {r.factor for r in rows} == {f"lint_{s}" for s in ("AF", "AO", "NF", "NO", "RF", "RO")}
