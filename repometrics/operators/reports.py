@@ -61,12 +61,16 @@ def lint_report_rows(reports: DataFrame) -> DataFrame:
     unreadable = (F.coalesce("stdout", F.lit("")) != "") & F.col("_messages").isNull()
     syntax = F.exists("_messages", lambda m: m["message-id"].eqNullSafe(C.SYNTAX_ERROR_ID))
     parsed = reports.withColumn("_messages", F.from_json("stdout", _LINT_JSON))
-    message = F.col("m")
-    return parsed.select(
+    # Flags come before the explode, so that no row repeats the whole report.
+    flagged = parsed.select(
         "repo", "path",
         F.coalesce(syntax, F.lit(False)).alias("parse_error"),
         (noise | unreadable).alias("internal_error"),
-        F.explode_outer("_messages").alias("m"),
+        "_messages",
+    )
+    message = F.col("m")
+    return flagged.select(
+        "repo", "path", "parse_error", "internal_error", F.explode_outer("_messages").alias("m")
     ).select(
         "repo", "path",
         message["type"].alias("type"), message["module"].alias("module"), message["obj"].alias("obj"),
@@ -104,8 +108,11 @@ def cc_report_rows(reports: DataFrame) -> DataFrame:
     def members(name: str) -> Column:
         return F.when(block.isNotNull(), F.coalesce(F.size(block[name]), F.lit(0)))
 
-    return _keyed_report(reports).select(
-        "repo", "path", "parse_error", "internal_error", F.explode_outer(blocks).alias("b")
+    parsed = _keyed_report(reports).select(
+        "repo", "path", "parse_error", "internal_error", blocks.alias("_blocks")
+    )
+    return parsed.select(
+        "repo", "path", "parse_error", "internal_error", F.explode_outer("_blocks").alias("b")
     ).select(
         "repo", "path",
         *[block[f].alias(f) for f in ("type", "rank", "lineno", "name", "col_offset", "complexity", "endline")],
@@ -129,9 +136,11 @@ def import_listing_rows(reports: DataFrame) -> DataFrame:
     names = F.transform(F.filter("_lines", lambda line: ~line.endswith(":")), strip)
     head = F.get(heads, F.lit(0))
     module = F.coalesce(strip(F.substr(head, F.lit(1), F.length(head) - 1)), F.lit(""))
-    return reports.withColumn("_lines", lines).select(
-        "repo", "path", module.alias("module_name"),
-        F.explode_outer(names).alias("import_name"),
+    listed = reports.withColumn("_lines", lines).select(
+        "repo", "path", module.alias("module_name"), names.alias("_names")
+    )
+    return listed.select(
+        "repo", "path", "module_name", F.explode_outer("_names").alias("import_name")
     ).select(
         "repo", "path", "module_name",
         F.coalesce("import_name", F.lit("")).alias("import_name"),

@@ -28,18 +28,17 @@ def text_lint_rules(
     Lines stream out of one generator; only lines with a finding go on.
     """
     # A line break at the very end closes the last line and opens no new one.
-    last = F.size("_lines") - F.when(F.endswith("content", F.lit("\n")), 1).otherwise(0)
-    numbered = (
+    closed = F.endswith("content", F.lit("\n"))
+    last = F.size("_lines") - F.when(F.col("_closed"), 1).otherwise(0)
+    split = (
         files.filter(F.col("content") != "")
-        .withColumn("_lines", F.split("content", "\n"))
-        .select(
-            "repo", "path",
-            last.alias("_last"),
-            F.endswith("content", F.lit("\n")).alias("_closed"),
-            F.posexplode("_lines").alias("_pos", "_raw"),
-        )
-        .filter(F.col("_pos") < F.col("_last"))
+        .select("repo", "path", closed.alias("_closed"), F.split("content", "\n").alias("_lines"))
+        .select("repo", "path", "_closed", last.alias("_last"), "_lines")
     )
+    # The text and its lines end here: only single lines are repeated per row.
+    numbered = split.select(
+        "repo", "path", "_closed", "_last", F.posexplode_outer("_lines").alias("_pos", "_raw")
+    ).filter(F.col("_pos") < F.col("_last"))
     line = F.col("_pos") + 1
     is_last = line == F.col("_last")
     text = F.rtrim(F.col("_raw"), F.lit("\r"))

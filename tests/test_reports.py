@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -143,3 +144,14 @@ def test_text_lint(make):
         ("b", 1, "missing-final-newline"), ("c", 3, "trailing-newlines"), ("e", 1, "too-many-lines"),
     }
     assert textlint.text_lint_rules(files).filter(F.col("path") == "a").count() == 4
+
+
+def test_exploded_rows_do_not_repeat_the_report(make):
+    """A report with n messages must cost n rows, not n copies of the report."""
+    files = make([(1, "1/a", "x", "")], "repo bigint, path string, content string, stderr string")
+    tool = files.withColumnRenamed("content", "stdout")
+    for df in (textlint.text_lint_rules(files), reports.lint_report_rows(tool), reports.cc_report_rows(tool),
+               reports.import_listing_rows(tool)):
+        physical = df._jdf.queryExecution().executedPlan().toString()
+        kept = re.findall(r"Generate [a-z]*explode\(_\w+#\d+\), \[([^\]]*)\]", physical)
+        assert kept and not any(re.search(r"_lines|_messages|_blocks|_names|stdout|content", k) for k in kept), physical
