@@ -17,7 +17,6 @@ from repometrics.operators.aggregates import describe_counted
 from repometrics.operators.curves import survival_curve_by_category
 from repometrics.operators.filters import clean_lint_rows
 from repometrics.operators.joins import semi_by_ids
-from repometrics.operators.sets import id_union
 from repometrics.operators.stats import significance_table
 from repometrics.session import broadcast_limit, estimated_bytes, settle
 
@@ -192,9 +191,13 @@ def lint_significance(
     include_clean_files: bool = False,
 ) -> DataFrame:
     """Which warnings differ between the two groups of selected repositories."""
-    chosen = id_union(ds_ids, nonds_ids)
+    tagged = ds_ids.select("id", F.lit(True).alias("in_ds")).unionAll(
+        nonds_ids.select("id", F.lit(False).alias("in_ds"))
+    )
+    # Ids usually come from a selection over whole tables; it runs once, not once per use.
+    chosen = settle(tagged.groupBy("id").agg(F.bool_or("in_ds").alias("in_ds")))
     cells = lint_cells(
-        lint, loc, labels, ds_ids, repos=chosen, include_clean_files=include_clean_files
+        lint, loc, labels, chosen.filter("in_ds"), repos=chosen, include_clean_files=include_clean_files
     )
     return significance_table(repo_histogram(cells))
 

@@ -44,10 +44,15 @@ def read_id_list(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return _csv(spark, path, schemas.ID_LIST)
 
 
-def read_repo_json(spark: SparkSession, glob: str, responses: bool = False) -> DataFrame:
-    """One JSON object per file; ``responses=True`` also reads failure fields."""
+def read_repo_json(
+    spark: SparkSession, glob: str, responses: bool = False, multi_line: bool = True
+) -> DataFrame:
+    """Repository objects; ``responses=True`` also reads failure fields.
+
+    ``multi_line=False`` reads one object per line, which large files need to be split.
+    """
     schema = schemas.FETCH_RESPONSE if responses else schemas.REPO_JSON
-    return spark.read.schema(schema).option("multiLine", "true").json(glob)
+    return spark.read.schema(schema).option("multiLine", multi_line).json(glob)
 
 
 def read_result_chunks(spark: SparkSession, dirs: Sequence[str], name: str, table: str) -> DataFrame:

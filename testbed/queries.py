@@ -570,8 +570,7 @@ def read_id_list(t):
 def read_repo_json(t):
     path = scratch_path(t.spark, "json")
     sources.write_table(t.repo_json(), path, fmt="json")
-    # Spark writes one object per line; the reader's multi-line mode wants one per file.
-    rows = t.spark.read.schema(schemas.REPO_JSON).json(path)
+    rows = sources.read_repo_json(t.spark, path, multi_line=False)
     return reports.repo_meta_flatten(rows).select("id", "name", "stars", "watch", "description")
 
 
