@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: The six ASCII characters that separate words.
 SPACES = " \t\n\x0b\x0c\r"
+#: Arrow's types of result columns.
+ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -26,7 +28,8 @@ def map_documents(docs: DataFrame, worker: Callable[[], Callable[[bytes], dict]]
     ``worker()`` runs once in a task and returns the function that turns the
     UTF-8 bytes of a text into the columns of ``schema`` after ``doc_id``.
     """
-    arrow = _arrow_schema(docs, f"doc_id long, {schema}")
+    fields = [f.split() for f in f"doc_id long, {schema}".split(", ")]
+    arrow = pa.schema([(name, ARROW[kind]) for name, kind in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = worker()
@@ -36,10 +39,3 @@ def map_documents(docs: DataFrame, worker: Callable[[], Callable[[bytes], dict]]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return texts(docs).select("doc_id", F.encode("text", "UTF-8")).mapInArrow(run, f"doc_id long, {schema}")
-
-
-def _arrow_schema(docs: DataFrame, ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(ddl), timezone="UTC")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
-from . import packing, piece_codec, piece_counts, token_files
+from . import packing, piece_codec, piece_counts, quality, simhash, token_files, url_filter
 
 
 def vocabulary_path(name: str) -> str:
@@ -22,6 +22,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.compare_with_edited(documents(spark, sf_dir))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, f"tokens-{uuid.uuid4().hex}")
     files = token_files.write_tokens(documents(spark, sf_dir), folder, vocabulary_path("word_bpe_49k.json"), end_id=2, vocabulary=49_408)
@@ -32,6 +45,13 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts.token_counts(documents(spark, sf_dir), vocabulary_path("piece_bpe_32k.model"))
 
 
+URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(pages(spark, sf_dir), URL_RULES)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary_path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
@@ -41,8 +61,11 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_simhash": op2_simhash,
     "op3_token_files": op3_token_files,
     "op6_token_counts": op6_token_counts,
+    "op8_url_filter": op8_url_filter,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_piece_codec": op10_piece_codec,
 }
