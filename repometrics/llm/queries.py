@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
-from . import packing, piece_codec, piece_counts, quality, simhash, substring_dedup, suffix_dedup, token_files, url_filter
+from . import ngram_join, packing, piece_codec, piece_counts, quality, simhash, substring_dedup, suffix_dedup, token_files, url_filter
 
 
 def vocabulary_path(name: str) -> str:
@@ -45,6 +45,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir), size=100)
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_copies(documents(spark, sf_dir), size=5, threshold=0.8)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts.token_counts(documents(spark, sf_dir), vocabulary_path("piece_bpe_32k.model"))
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_token_files": op3_token_files,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_ngram_join": op5_ngram_join,
     "op6_token_counts": op6_token_counts,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_url_filter": op8_url_filter,
