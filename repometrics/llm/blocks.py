@@ -13,14 +13,14 @@ Blocks and ranges are counted from the size of the input.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import texts
+from .common import text_of
 
 #: Stands for a missing id; it comes first.
 NO_ID = -(2**63)
@@ -76,22 +76,25 @@ class Docs(NamedTuple):
 
     ids: np.ndarray      # 64-bit, NO_ID for a missing one
     texts: list[bytes]
+    rows: list[int] = []  # of the table, in this order
 
     def id_column(self) -> pa.Array:
         return pa.array([None if x == NO_ID else x for x in self.ids.tolist()], pa.int64())
 
 
 def read_docs(table: pa.Table) -> Docs:
-    rows = sorted((NO_ID if i is None else i, t) for i, t in zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True))
-    return Docs(np.asarray([i for i, _ in rows], np.int64), [t for _, t in rows])
+    ids, found = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
+    rows = sorted((NO_ID if i is None else i, t, k) for k, (i, t) in enumerate(zip(ids, found, strict=True)))
+    return Docs(np.asarray([i for i, _, _ in rows], np.int64), [t for _, t, _ in rows], [k for _, _, k in rows])
 
 
-def in_blocks(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
-    """``block, doc_id, text`` (bytes), and the number of blocks."""
-    rows = texts(docs)
+def in_blocks(docs: DataFrame, block_bytes: int, carried: Sequence[str] = ()) -> tuple[DataFrame, int]:
+    """``block, doc_id, text`` (bytes), columns carried along as ``_0``, ``_1``, ..., and the number of blocks."""
+    extra = [docs[c].alias(f"_{k}") for k, c in enumerate(carried)]
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"), *extra)
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    rows = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), "doc_id", F.encode("text", "UTF-8").alias("text"))
+    rows = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), "doc_id", F.encode("text", "UTF-8").alias("text"), *(f"_{k}" for k in range(len(carried))))
     return rows, blocks
 
 

@@ -29,11 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import settle
 from .blocks import Docs, RangeHash, mixed
-from .common import texts
+from .common import text_of, texts
 from .components import components
 from .substring_dedup import Windows
 
@@ -80,7 +80,7 @@ def set_key(hashes: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, size: int, trees: int, prefix: int) -> DataFrame:
-    """``doc_id, node`` (key of the shingle set) ``, labels``: for each trie, a hash of the label's prefix."""
+    """``doc_id, text_key, node`` (key of the shingle set) ``, labels``: for each trie, a hash of the label's prefix."""
     salt = np.random.default_rng(7).integers(1, 2**63, (trees, prefix), dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,9 +100,11 @@ def signatures(docs: DataFrame, size: int, trees: int, prefix: int) -> DataFrame
                     for k, own in zip(full, keys.T.view(np.int64) if keys.flags.f_contiguous else np.ascontiguousarray(keys.T).view(np.int64), strict=True):
                         labels[k] = own.tolist()
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(rows)), pa.array([set_key(s) for s in sets], pa.binary()), pa.array(labels, pa.list_(pa.int64()))], ["doc_id", "node", "labels"])
+                    [ids.take(pa.array(rows)), batch.column("text_key").take(pa.array(rows)), pa.array([set_key(s) for s in sets], pa.binary()), pa.array(labels, pa.list_(pa.int64()))],
+                    ["doc_id", "text_key", "node", "labels"])
 
-    return texts(docs).select("doc_id", F.encode("text", "UTF-8").alias("text")).mapInArrow(run, "doc_id long, node binary, labels array<long>")
+    rows = texts(docs).select("doc_id", F.encode("text", "UTF-8").alias("text"), F.xxhash64("text").alias("text_key"))
+    return rows.mapInArrow(run, "doc_id long, text_key long, node binary, labels array<long>")
 
 
 def shared_counts(sets: list[np.ndarray], common: int = 48) -> np.ndarray:
@@ -167,8 +169,8 @@ def _verify(threshold: float):
     return run
 
 
-def near_copies(docs: DataFrame, size: int = 5, threshold: float = 0.8, trees: int = 12, length: int = 8, recall: float = 0.9995, most: int = 1000) -> DataFrame:
-    """``doc_id, class_id, n_links, n_copies`` of every document."""
+def classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, trees: int = 12, length: int = 8, recall: float = 0.9995, most: int = 1000) -> DataFrame:
+    """``doc_id, text_key, class_node, class_id, n_links, n_copies`` of every document."""
     signed = settle(signatures(docs, size, trees, depth(threshold, trees, length, recall)))
     nodes = settle(signed.groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("labels").alias("labels")))
@@ -217,5 +219,20 @@ def near_copies(docs: DataFrame, size: int = 5, threshold: float = 0.8, trees: i
     of = nodes.select("node", "doc_id", "copies").join(joined, "node", "left").join(links, "node", "left")
     of = of.withColumn("_class", F.coalesce("label", "node"))
     least = of.groupBy("_class").agg(F.min("doc_id").alias("class_id"))
-    of = of.join(least, "_class").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
-    return signed.select("doc_id", "node").join(of, "node").select("doc_id", "class_id", "n_links", "n_copies")
+    of = of.join(least, "_class").select("node", F.col("_class").alias("class_node"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
+    return signed.drop("labels").join(of, "node").select("doc_id", "text_key", "class_node", "class_id", "n_links", "n_copies")
+
+
+def near_copies(docs: DataFrame, **parameters: float) -> DataFrame:
+    """``doc_id, class_id, n_links, n_copies`` of every document; parameters as of ``classes``."""
+    return classes(docs, **parameters).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def keep_one(docs: DataFrame, **parameters: float) -> DataFrame:
+    """One document of each class, the one with the least ``doc_id``, with all its columns."""
+    chosen = classes(docs, **parameters).groupBy("class_node").agg(F.min(F.struct("doc_id", "text_key")).alias("_one"))
+    chosen = chosen.select(F.col("_one.doc_id").alias("_id"), F.col("_one.text_key").alias("_key"))
+    here = docs["doc_id"].cast("long").eqNullSafe(chosen["_id"]) & (F.xxhash64(text_of(docs)) == chosen["_key"])
+    # equal ids and texts: any one of them
+    nth = Window.partitionBy("_id", "_key").orderBy("_id")
+    return docs.join(chosen, here).withColumn("_nth", F.row_number().over(nth)).filter("_nth = 1").drop("_id", "_key", "_nth")

@@ -39,13 +39,18 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, SPACES[1:], " " * 5), " "), "")
 
 
+def row_key(docs: DataFrame) -> Column:
+    """Hash of all that a verdict depends on: with ``doc_id``, equal only for rows with one verdict."""
+    return F.xxhash64(text_of(docs), docs["lang"].cast("string"), F.lit("|"), docs["source"].cast("string"))
+
+
 def measures(docs: DataFrame) -> DataFrame:
-    """``doc_id, lang, source`` and the base measures of whole texts."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("lang"), F.col("source").alias("source"), text_of(docs).alias("text"))
+    """``doc_id, lang, source, row_key`` and the base measures of whole texts."""
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].alias("lang"), docs["source"].alias("source"), row_key(docs).alias("row_key"), text_of(docs).alias("text"))
     rows = rows.withColumn("_words", words_of(F.col("text")))
     lines = F.filter(F.split("text", "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
     rows = rows.select(
-        "doc_id", "lang", "source",
+        "doc_id", "lang", "source", "row_key",
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
         (F.octet_length("text") - F.octet_length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
@@ -117,3 +122,10 @@ def judge(docs: DataFrame, spread: float = 8.0, prior: int = 100) -> DataFrame:
     for m in MEASURES:
         above = above | F.coalesce(F.col(m) > F.col(f"{m}_limit"), F.lit(False))
     return joined.withColumn("kept", ~F.col("base_failed") & ~above).drop("_lang", "_source")
+
+
+def keep(docs: DataFrame, spread: float = 8.0, prior: int = 100) -> DataFrame:
+    """The documents that are kept, with all their columns."""
+    good = judge(docs, spread, prior).filter("kept").select(F.col("doc_id").alias("_good_id"), "row_key").distinct()
+    here = docs["doc_id"].cast("long").eqNullSafe(good["_good_id"]) & (row_key(docs) == good["row_key"])
+    return docs.join(good, here, "left_semi")

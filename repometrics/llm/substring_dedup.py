@@ -17,11 +17,12 @@ An empty table has no rows.  Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from .blocks import ANSWER, FACTORS, FRAGMENT, Cells, Docs, RangeHash, answers, cells_of, fragments, id_type, in_blocks, merge_sketches, mixed, read_docs, sketch_rows, to_table
 
@@ -90,9 +91,13 @@ def _lesser(table: pa.Table) -> pa.Table:
     )
 
 
-def remove_repeats(docs: DataFrame, size: int = 13, block_bytes: int = 8_000_000, with_text: bool = False) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_sha256`` and, if asked for, the ``kept`` text: words joined by one space."""
-    rows, blocks = in_blocks(docs, block_bytes)
+def remove_repeats(docs: DataFrame, size: int = 13, block_bytes: int = 8_000_000, carried: Sequence[str] | None = None) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept_sha256``.
+
+    With names of columns to carry along also these, as ``_0``, ``_1``, ..., and the
+    ``kept`` text: words joined by one space, or the text itself if nothing is removed.
+    """
+    rows, blocks = in_blocks(docs, block_bytes, carried or ())
     parts = -(-blocks // 2)
 
     def sketch(table: pa.Table) -> pa.Table:
@@ -109,7 +114,11 @@ def remove_repeats(docs: DataFrame, size: int = 13, block_bytes: int = 8_000_000
         kind = id_type(ids)
         return to_table(fragments(key[0].as_py(), np.dtype(kind).itemsize, groups.parts, [groups.hashes[groups.sent], ids.astype(kind)]))
 
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    with_text = carried is not None
+    if with_text:
+        kinds = dict(docs.dtypes)
+        schema += ", kept string" + "".join(f", _{k} {kinds[c]}" for k, c in enumerate(carried))
 
     def finish(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         found = read_docs(left) if left.num_rows else Docs(np.zeros(0, np.int64), [])
@@ -127,12 +136,26 @@ def remove_repeats(docs: DataFrame, size: int = 13, block_bytes: int = 8_000_000
         for k, text in enumerate(found.texts):
             own = kept[windows.first[k] : windows.first[k + 1]]
             words = text.split()
-            left_over = b" ".join(words if own.all() else compress(words, own.tolist()))
-            out.append((len(own), len(own) - int(own.sum()), hashlib.sha256(left_over).hexdigest(), left_over.decode() if with_text else None))
+            whole = bool(own.all())
+            left_over = b" ".join(words if whole else compress(words, own.tolist()))
+            out.append((len(own), len(own) - int(own.sum()), hashlib.sha256(left_over).hexdigest(), (text if whole else left_over).decode() if with_text else None))
         n, gone, sha, kept_text = zip(*out, strict=True) if out else ((), (), (), ())
         columns = {"doc_id": found.id_column(), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
-        return pa.table(columns | ({"kept": pa.array(kept_text, pa.string())} if with_text else {}))
+        if with_text:
+            columns["kept"] = pa.array(kept_text, pa.string())
+            columns |= {name: left.column(name).take(pa.array(found.rows, pa.int64())) for name in left.column_names if name[0] == "_"}
+        return pa.table(columns)
 
     estimates = merge_sketches(rows.groupBy("block").applyInArrow(sketch, FRAGMENT))
     exact = rows.groupBy("block").cogroup(estimates.groupBy("block")).applyInArrow(candidates, FRAGMENT).groupBy("part").applyInArrow(_lesser, ANSWER)
     return rows.groupBy("block").cogroup(estimates.unionByName(exact).groupBy("block")).applyInArrow(finish, schema)
+
+
+def clean(docs: DataFrame, size: int = 13, block_bytes: int = 8_000_000) -> DataFrame:
+    """All documents with all their columns, repeated words removed from ``text``; ``n_chars`` follows it."""
+    carried = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = remove_repeats(docs, size, block_bytes, carried)
+    values = {"doc_id": F.col("doc_id"), "text": F.col("kept")} | {c: F.col(f"_{k}") for k, c in enumerate(carried)}
+    if "n_chars" in values:
+        values["n_chars"] = F.length("kept").cast(dict(docs.dtypes)["n_chars"])
+    return found.select(*(values[c].alias(c) for c in docs.columns))
