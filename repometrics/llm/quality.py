@@ -98,21 +98,22 @@ def limits(rows: DataFrame, spread: float, prior: int) -> DataFrame:
     merged = [F.kll_merge_agg_double(m).alias(m) for m in MEASURES]
     by_lang = sketches.groupBy("lang").agg(F.sum("n").alias("n_lang"), *merged)
     by_lang = by_lang.select("lang", "n_lang", *(of(m, m).alias(f"{m}_lang") for m in MEASURES))
-    over_all = sketches.agg(*merged).select(*(of(m, m).alias(f"{m}_all") for m in MEASURES))
-    # one row
+    # one row: a number for each measure
+    over_all = sketches.agg(F.sum("n").alias("n"), *merged).filter("n > 0").select(*(of(m, m).alias(m) for m in MEASURES)).first()
+    if over_all is None:
+        return sketches.select("lang", "source", *(F.lit(None).cast("double").alias(f"{m}_limit") for m in MEASURES))
     own = sketches.select("lang", "source", "n", *(of(m, m).alias(m) for m in MEASURES))
     both = own.join(by_lang.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang")))
-    both = both.join(F.broadcast(over_all), F.lit(True))
 
     def lean(n: str, own: str, wider: Column) -> Column:
         return (F.col(n) * F.col(own) + prior * wider) / (F.col(n) + prior)
 
     return both.select("lang", "source", *(
-        lean("n", m, lean("n_lang", f"{m}_lang", F.col(f"{m}_all"))).alias(f"{m}_limit") for m in MEASURES
+        lean("n", m, lean("n_lang", f"{m}_lang", F.lit(over_all[m]).cast("double"))).alias(f"{m}_limit") for m in MEASURES
     ))
 
 
-def judge(docs: DataFrame, spread: float = 8.0, prior: int = 100) -> DataFrame:
+def judge(docs: DataFrame, spread: float = 8.0, prior: int = 20) -> DataFrame:
     """One row for each document: measures, shares, limits, ``base_failed`` and ``kept``."""
     rows = settle(_shares(measures(docs)))
     bounds = limits(rows.filter(~F.col("base_failed")), spread, prior)
@@ -124,7 +125,7 @@ def judge(docs: DataFrame, spread: float = 8.0, prior: int = 100) -> DataFrame:
     return joined.withColumn("kept", ~F.col("base_failed") & ~above).drop("_lang", "_source")
 
 
-def keep(docs: DataFrame, spread: float = 8.0, prior: int = 100) -> DataFrame:
+def keep(docs: DataFrame, spread: float = 8.0, prior: int = 20) -> DataFrame:
     """The documents that are kept, with all their columns."""
     good = judge(docs, spread, prior).filter("kept").select(F.col("doc_id").alias("_good_id"), "row_key").distinct()
     here = docs["doc_id"].cast("long").eqNullSafe(good["_good_id"]) & (row_key(docs) == good["row_key"])

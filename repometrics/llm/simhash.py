@@ -132,7 +132,7 @@ def compare_with_edited(docs: DataFrame, every: int = 50, radius: int = 3) -> Da
     everywhere = Window.orderBy("bucket")
     whole = everywhere.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     last = last.select("bucket", "_last", F.coalesce(F.lead("bucket").over(everywhere), F.min("bucket").over(whole)).alias("_follows"))
-    here = prints.join(F.broadcast(last), "bucket")
+    here = prints.join(last, "bucket")
     here = here.withColumns({
         "_b": F.when(F.col("nth") == F.col("_last"), F.col("_follows")).otherwise(F.col("bucket")),
         "_n": F.when(F.col("nth") == F.col("_last"), F.lit(1)).otherwise(F.col("nth") + 1),

@@ -129,12 +129,19 @@ class Contexts:
         out = np.zeros(len(self.at), bool)
         n = self.strings
         code = codes[self.same].copy()
-        code[self.plain != self.chosen[self.same]] = 1
+        first = self.chosen[self.same]
+        code[(self.doc[self.plain] != self.doc[first]) | (self.place[self.plain] != self.place[first])] = 1
         all_of = self.plain[code == 1]
         out[np.repeat(self.first[all_of] - np.cumsum(n[all_of]) + n[all_of], n[all_of]) + np.arange(n[all_of].sum())] = True
         some = self.chosen[codes == 2]
         out[np.repeat(self.first[some] - np.cumsum(n[some]) + n[some], n[some]) + np.arange(n[some].sum())] = flags
-        again = (string_codes[self.same_string] > 0) | (np.arange(len(self.of)) != self.chosen_string[self.same_string])
+        # the same place of a repeated row
+        for k in np.flatnonzero((code == 2) & (self.plain != first)).tolist():
+            here, there = self.first[self.plain[k]], self.first[first[k]]
+            out[here : here + n[first[k]]] = out[there : there + n[first[k]]]
+        place = self.place[self.of] + self.nth
+        kept = self.chosen_string[self.same_string]
+        again = (string_codes[self.same_string] > 0) | (self.doc[self.of] != self.doc[self.of[kept]]) | (place != place[kept])
         out[self.first[self.of] + self.nth] |= again
         return out
 
