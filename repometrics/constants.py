@@ -54,7 +54,6 @@ LINEAR_DIMENSIONS = ("age", "number_of_contributors")
 
 # --- fixed values: ids left out by hand ------------------------------------
 BLACKLISTED_IDS = (858127,)
-UNCLONABLE_IDS = (159175746, 82329862, 31302456, 68827685, 121175320, 136026789)
 
 # --- fixed values: labels, thresholds and formats --------------------------
 CAT_LIBRARY = "ml0"

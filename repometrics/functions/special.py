@@ -1,7 +1,7 @@
 """Tail probabilities of named columns.
 
 They run over one row per tested factor.  Series and continued fractions have
-a fixed number of terms, so no Python worker is needed.
+a known number of terms, so no Python worker is needed.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 _SERIES_TERMS = 80
 _FRACTION_TERMS = 120
 _BETA_TERMS = 300
-_LARGE_DF = 10_000
 
 
 def _erfc_sql(x: str) -> str:
@@ -59,34 +58,35 @@ def kolmogorov_tail(t: str) -> Column:
         WHEN {t} < 1D THEN least(1D, {near}) ELSE greatest(0D, {far}) END""")
 
 
-def _log_gamma_sql(z: str) -> str:
-    # Stirling's series after moving the argument up by eight
-    product = " * ".join(f"({z} + {i}D)" for i in range(8))
-    w = f"({z} + 8D)"
-    return f"""(({w} - 0.5D) * ln({w}) - {w} + 0.5D * ln(2D * pi()) + 1D / (12D * {w})
-        - 1D / (360D * pow({w}, 3)) + 1D / (1260D * pow({w}, 5)) - 1D / (1680D * pow({w}, 7)) - ln({product}))"""
+def _half_step_sql(a: str) -> str:
+    """Logarithm of Gamma(a + 1/2) / Gamma(a), without the loss of a difference of two large logarithms."""
+    w = f"({a} + 8D)"
+    # asymptotic series after moving the argument up by eight
+    far = f"0.5D * ln({w}) - 1D / (8D * {w}) + 1D / (192D * pow({w}, 3)) - 1D / (640D * pow({w}, 5)) + 17D / (14336D * pow({w}, 7))"
+    near = " + ".join(f"log1p(-0.5D / ({a} + {i + 0.5}D))" for i in range(8))
+    return f"({far} + {near})"
 
 
-def _beta_fraction_sql(x: str, a: str, b: str) -> str:
+def _beta_fraction_sql(x: str, a: str, b: str, terms: str) -> str:
     # continued fraction of the incomplete beta function, evaluated from its far end
     m = "floor(j / 2D)"
     odd = f"-({a} + {m}) * ({a} + {b} + {m}) * {x} / (({a} + 2D * {m}) * ({a} + 2D * {m} + 1D))"
     even = f"{m} * ({b} - {m}) * {x} / (({a} + 2D * {m} - 1D) * ({a} + 2D * {m}))"
-    return f"""(1D / aggregate(sequence({_BETA_TERMS}, 1, -1), 1D,
+    return f"""(1D / aggregate(sequence({terms}, 1, -1), 1D,
         (acc, j) -> 1D + if(j % 2 = 1, {odd}, {even}) / acc))"""
 
 
 def f_tail_df1(f: str, df2: str) -> Column:
-    """P(F > f) for one and ``df2`` degrees of freedom."""
+    """P(F > f) for one and ``df2`` degrees of freedom.
+
+    One formula for any ``df2``: the terms of the fraction grow with its root.
+    """
     f, df2 = f"`{f}`", f"`{df2}`"
     a, x, rest = f"({df2} / 2D)", f"({df2} / ({df2} + {f}))", f"({f} / ({df2} + {f}))"
-    front = f"""exp({_log_gamma_sql(f'({a} + 0.5D)')} - {_log_gamma_sql(a)} - 0.5D * ln(pi())
-        + {a} * ln({x}) + 0.5D * ln({rest}))"""
-    small = f"""CASE WHEN {x} < ({a} + 1D) / ({a} + 2.5D) THEN {front} * {_beta_fraction_sql(x, a, '0.5D')} / {a}
-        ELSE 1D - {front} * {_beta_fraction_sql(rest, '0.5D', a)} / 0.5D END"""
-    # Many degrees of freedom: a normal deviate with the same tail.
-    z = f"(({df2} - 2D / 3D + 0.1D / {df2}) * sqrt(log1p({f} / {df2}) / ({df2} - 5D / 6D)))"
+    terms = f"(2 * cast(4D * sqrt({df2}) as int) + {_BETA_TERMS})"
+    front = f"""exp({_half_step_sql(a)} - 0.5D * ln(pi()) - {a} * log1p({f} / {df2}) + 0.5D * ln({rest}))"""
+    tail = f"""CASE WHEN {x} < ({a} + 1D) / ({a} + 2.5D) THEN {front} * {_beta_fraction_sql(x, a, '0.5D', terms)} / {a}
+        ELSE 1D - {front} * {_beta_fraction_sql(rest, '0.5D', a, terms)} / 0.5D END"""
     return F.expr(f"""CASE WHEN {f} IS NULL OR {df2} IS NULL OR {df2} <= 0D THEN NULL
         WHEN {f} <= 0D THEN 1D WHEN {f} = double('Infinity') THEN 0D
-        WHEN {df2} > {_LARGE_DF}D THEN {_erfc_sql(f'({z} / sqrt(2D))')}
-        ELSE greatest(0D, least(1D, {small})) END""")
+        ELSE greatest(0D, least(1D, {tail})) END""")

@@ -30,6 +30,5 @@ def version_summary(either: Column, neither: Column, python2: Column, python3: C
 
 
 def version_select(either: Column, neither: Column, python2: Column, python3: Column) -> Column:
-    """Is the repository usable from Python 3?  Unreadable files do not matter."""
-    del neither
+    """Is the repository usable from Python 3?  ``neither`` is not looked at: unreadable files do not matter."""
     return ((either > 0) | (python3 > 0)) & (python3 >= python2)

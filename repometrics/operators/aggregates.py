@@ -11,6 +11,7 @@ from repometrics import constants as C
 from repometrics.functions import import_short_name, version_select, version_summary
 from repometrics.operators.filters import function_blocks
 from repometrics.operators.ordering import running_totals
+from repometrics.session import settle
 
 
 # --- imports ---------------------------------------------------------------
@@ -104,14 +105,13 @@ def mean_complexity_by_file(cc: DataFrame) -> DataFrame:
 # --- labels ----------------------------------------------------------------
 
 def repo_label_profile(labels: DataFrame, cats: Sequence[str] = C.CATEGORIES) -> DataFrame:
-    """Distinct files per category, their total and the share that uses a library."""
+    """Distinct files per category, their total over all categories and the share that uses a library."""
     files = labels.filter(F.col("cat").isNotNull() & F.col("path").isNotNull())
     counts = (
         files.select("repo", "path", "cat").distinct()
-        .groupBy("repo").agg(*[F.count_if(F.col("cat") == c).alias(c) for c in cats])
+        .groupBy("repo").agg(*[F.count_if(F.col("cat") == c).alias(c) for c in cats], F.count(F.lit(1)).alias("total"))
     )
-    total = sum((F.col(f"`{c}`") for c in cats), F.lit(0))
-    return counts.withColumn("total", total).withColumn(
+    return counts.withColumn(
         "frac_ml", F.try_divide(F.col(C.CAT_LIBRARY), F.col("total"))
     )
 
@@ -140,8 +140,10 @@ def value_counts(df: DataFrame, column: str, with_null: bool = False) -> DataFra
 
 def value_share(df: DataFrame, column: str) -> DataFrame:
     """Share of all rows per known value; rows without one stay in the denominator."""
-    rows = df.agg(F.count(F.lit(1))).scalar()
-    return value_counts(df, column).select(column, (F.col("n") / rows).alias("share"))
+    # one row per value, so the input is read once
+    counts = settle(value_counts(df, column, with_null=True))
+    rows = counts.agg(F.sum("n")).scalar()
+    return counts.filter(F.col(column).isNotNull()).select(column, (F.col("n") / rows).alias("share"))
 
 
 def describe_grouped(df: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:

@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repometrics import constants as C
-from repometrics.functions import clamp_above, clamp_below
-from repometrics.operators.joins import lookup_join
+from repometrics.functions import clamp_below
 from repometrics.session import settle
 
 
@@ -34,7 +33,7 @@ def survival_curves(counted: DataFrame, log: bool = False, edges: int = C.CURVE_
     scaled = F.log10("x") if log else F.col("x")
     guess = F.floor((scaled - F.col("_start")) / (F.col("_stop") - F.col("_start")) * bins)
     placed = (
-        lookup_join(counted, limits, "dim", "inner")
+        counted.join(limits, "dim")
         .withColumn("_guess", F.greatest(F.lit(0), F.least(F.lit(bins - 1), guess)).cast("bigint"))
         # division may be off by one bin; the edges themselves decide
         .withColumn(
@@ -85,29 +84,48 @@ def survival_curve_linear(df: DataFrame, column: str, group: str, edges: int = C
     return survival_curves(_count_values(df, column, group, F.col(column)), edges=edges)
 
 
+def _cap(cap: float | Mapping[str, float], default: float) -> Column:
+    """The cap of a row's factor."""
+    if not isinstance(cap, Mapping):
+        return F.lit(float(cap))
+    caps = F.create_map(*[F.lit(x) for item in cap.items() for x in (item[0], float(item[1]))]) if cap else None
+    return F.lit(default) if caps is None else F.coalesce(F.try_element_at(caps, F.col("factor")), F.lit(default))
+
+
 def _clipped(
-    hist: DataFrame, groups: Mapping[str, str], dims: Sequence[str] | None, cap: float, edges: int
+    hist: DataFrame,
+    groups: Mapping[str, str],
+    dims: Sequence[str] | None,
+    cap: float | Mapping[str, float],
+    edges: int,
 ) -> DataFrame:
     rows = hist if dims is None else hist.filter(F.col("factor").isin(*dims))
     tall = rows.select(
-        F.col("factor").alias("dim"), clamp_above("x", cap).alias("x"),
+        F.col("factor").alias("dim"), F.least("x", _cap(cap, C.CURVE_CAP)).alias("x"),
         *[F.col(f"`{column}`").alias(label) for column, label in groups.items()],
     ).unpivot(["dim", "x"], [F.col(f"`{label}`") for label in groups.values()], "grp", "n")
-    counted = tall.filter(F.col("n") > 0).groupBy("dim", "grp", "x").agg(F.sum("n").alias("n"))
+    # read twice: for the edges and for the bins
+    counted = settle(tall.filter(F.col("n") > 0).groupBy("dim", "grp", "x").agg(F.sum("n").alias("n")))
     return survival_curves(counted, edges=edges)
 
 
 def survival_curve_clipped(
-    hist: DataFrame, dims: Sequence[str] | None = None, cap: float = C.CURVE_CAP, edges: int = C.CURVE_EDGES
+    hist: DataFrame,
+    dims: Sequence[str] | None = None,
+    cap: float | Mapping[str, float] = C.CURVE_CAP,
+    edges: int = C.CURVE_EDGES,
 ) -> DataFrame:
-    """Curves of both repository groups, values above ``cap`` at ``cap``, all dims at once."""
+    """Curves of both repository groups, values above ``cap`` at ``cap``, all dims at once.
+
+    ``cap`` is one number, or one for each dim (others: ``CURVE_CAP``).
+    """
     return _clipped(hist, {"a": "DS", "b": "non-DS"}, dims, cap, edges)
 
 
 def survival_curve_by_category(
     hist: DataFrame,
     dims: Sequence[str] | None = None,
-    cap: float = C.CURVE_CAP,
+    cap: float | Mapping[str, float] = C.CURVE_CAP,
     edges: int = C.CURVE_EDGES,
     cats: Sequence[str] = C.CATEGORIES,
 ) -> DataFrame:

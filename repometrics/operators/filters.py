@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repometrics import constants as C
-from repometrics.functions import any_contains, epoch_days
-from repometrics.operators.joins import anti_by_ids, lookup_join, semi_by_ids
+from repometrics.functions import epoch_days
+from repometrics.operators.joins import anti_by_ids, semi_by_ids
 
 restrict_to_repos = semi_by_ids
 exclude_repos = anti_by_ids
@@ -54,7 +54,7 @@ def syntax_error_files(lint: DataFrame) -> DataFrame:
         lint.filter(F.col("message_id") == C.SYNTAX_ERROR_ID)
         .select("repo", "path").distinct().withColumn("_syntax", F.lit(True))
     )
-    joined = lookup_join(lint, flagged, ["repo", "path"], "left")
+    joined = lint.join(flagged, ["repo", "path"], "left")
     return joined.withColumn("parse_error", F.coalesce("_syntax", F.lit(False))).drop("_syntax")
 
 
@@ -94,9 +94,9 @@ def keyword_exclusion(
     df: DataFrame, column: str = "description", terms: Sequence[str] = C.EXCLUDED_TERMS
 ) -> DataFrame:
     """Rows whose text holds none of the terms, in any case; missing text is dropped."""
-    # A one-element array lowers the text once, not once per term.
-    hit = F.exists(F.array(F.lower(column)), lambda text: any_contains(text, terms))
-    return df.filter(~hit)
+    # one pass over the text, terms as they are
+    pattern = "|".join(rf"\Q{term}\E" for term in terms)
+    return df.filter(~F.lower(column).rlike(pattern)) if terms else df.filter(F.col(column).isNotNull())
 
 
 def base_repo_predicate(df: DataFrame, language: str = C.LANGUAGE) -> DataFrame:

@@ -1,63 +1,37 @@
-"""Equi-joins that stay correct and even when one key holds a large share of the rows."""
+"""Equi-joins of long tables with tables of one row per key.
 
-from __future__ import annotations
+They are written as plain joins: each side is read once, Spark broadcasts a
+side by its own estimate, and adaptive execution splits the partitions of a key that
+holds a large share of the rows.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repometrics.session import broadcast_limit, estimated_bytes
-
-#: A key with at least this many rows does not go through a shuffle join.
-HOT_ROWS = 5_000_000
-
-
-def lookup_join(
-    rows: DataFrame, lookup: DataFrame, key: str | list[str], how: str, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Join a long table with a table that has at most one row per key.
-
-    ``how`` is left, inner, left_semi or left_anti.  A lookup side that Spark
-    would broadcast by its own size estimate is left to Spark.  A larger one
-    is shuffled, but without the hot keys: their number is at most
-    (all rows / ``hot_rows``), so just those lookup rows are broadcast and the
-    hot rows stay where they were read.  So do rows with a missing key.
-    """
-    keys = [key] if isinstance(key, str) else list(key)
-    limit = broadcast_limit(rows.sparkSession)
-    if 0 <= estimated_bytes(lookup) <= limit:
-        return rows.join(lookup, keys, how)
-    no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    hot = rows.filter(~no_key).groupBy(*keys).count().filter(F.col("count") >= hot_rows).select(*keys)
-    hot_lookup = lookup.join(F.broadcast(hot), keys, "left_semi")
-    warm = rows.filter(~no_key).join(F.broadcast(hot), keys, "left_anti").join(lookup, keys, how)
-    busy = rows.join(F.broadcast(hot), keys, "left_semi").unionByName(rows.filter(no_key))
-    return warm.unionByName(busy.join(F.broadcast(hot_lookup), keys, how))
-
 
 def _ids(ids: DataFrame, key: str) -> DataFrame:
     name = "id" if "id" in ids.columns else ids.columns[0]
     return ids.select(F.col(name).alias(key)).dropna().distinct()
 
 
-def semi_by_ids(df: DataFrame, ids: DataFrame, key: str = "repo", hot_rows: int = HOT_ROWS) -> DataFrame:
+def semi_by_ids(df: DataFrame, ids: DataFrame, key: str = "repo") -> DataFrame:
     """Rows whose key is in ``ids``."""
-    return lookup_join(df, _ids(ids, key), key, "left_semi", hot_rows)
+    return df.join(_ids(ids, key), key, "left_semi")
 
 
-def anti_by_ids(df: DataFrame, ids: DataFrame, key: str = "repo", hot_rows: int = HOT_ROWS) -> DataFrame:
+def anti_by_ids(df: DataFrame, ids: DataFrame, key: str = "repo") -> DataFrame:
     """Rows whose key is not in ``ids``; a missing key stays."""
-    return lookup_join(df, _ids(ids, key), key, "left_anti", hot_rows)
+    return df.join(_ids(ids, key), key, "left_anti")
 
 
 def membership_flag(
-    df: DataFrame, ids: DataFrame, key: str = "repo", name: str = "is_member", hot_rows: int = HOT_ROWS
+    df: DataFrame, ids: DataFrame, key: str = "repo", name: str = "is_member"
 ) -> DataFrame:
     """Add a boolean column: is the key in ``ids``?"""
     known = _ids(ids, key).withColumn(name, F.lit(True))
-    joined = lookup_join(df, known, key, "left", hot_rows)
-    return joined.withColumn(name, F.coalesce(name, F.lit(False)))
+    return df.join(known, key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 def enrich_repos(
@@ -85,20 +59,22 @@ def enrich_files(lint: DataFrame, loc: DataFrame, labels: DataFrame, complexity:
     )
 
 
-def attach_repo_profile(df: DataFrame, profile: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def attach_repo_profile(df: DataFrame, profile: DataFrame) -> DataFrame:
     """Add per-repository columns to per-file rows."""
-    return lookup_join(df, profile, "repo", "left", hot_rows)
+    return df.join(profile, "repo", "left")
 
 
-def star_join(projects: DataFrame, watchers: DataFrame) -> DataFrame:
-    """Projects with their number of watchers, zero where there is none.
+def star_join(projects: DataFrame, watchers: DataFrame, min_stars: int = 0) -> DataFrame:
+    """Projects with at least ``min_stars`` watchers, zero where there is none.
 
     Watchers are counted before the join, so a project with very many of them
-    costs one row.
+    costs one row; with ``min_stars`` only well-watched projects meet the join.
     """
     stars = (
         watchers.filter(F.col("repo_id").isNotNull())
         .groupBy(F.col("repo_id").alias("id"))
         .agg(F.count("user_id").alias("stars"))
     )
+    if min_stars > 0:
+        return projects.join(stars.filter(F.col("stars") >= min_stars), "id")
     return projects.join(stars, "id", "left").withColumn("stars", F.coalesce("stars", F.lit(0)))

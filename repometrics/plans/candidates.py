@@ -25,7 +25,7 @@ def candidate_repos(
     """Original projects in a language, free of the excluded terms, with enough watchers."""
     wanted = keyword_exclusion(base_repo_predicate(projects, language), "description", terms)
     columns = ["id", "name", "url", "description", "language"]
-    return starred_repos(star_join(wanted.select(*columns), watchers), min_stars)
+    return starred_repos(star_join(wanted.select(*columns), watchers, min_stars), min_stars)
 
 
 def extraction_lists(

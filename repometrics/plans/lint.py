@@ -18,7 +18,7 @@ from repometrics.operators.curves import survival_curve_by_category
 from repometrics.operators.filters import clean_lint_rows
 from repometrics.operators.joins import semi_by_ids
 from repometrics.operators.stats import significance_table
-from repometrics.session import broadcast_limit, estimated_bytes, settle
+from repometrics.session import settle
 
 
 def lint_cells(
@@ -37,13 +37,14 @@ def lint_cells(
     ``is_first`` marks one cell per repository (and category).  Files without
     any message take no part unless ``include_clean_files``.
     """
-    early = repos is not None and 0 <= estimated_bytes(repos) <= broadcast_limit(lint.sparkSession)
-    rows = clean_lint_rows(semi_by_ids(lint, repos) if early else lint)
+    rows = clean_lint_rows(lint)
     if not include_clean_files:
         rows = rows.filter(F.col("symbol").isNotNull() & F.col("message_id").isNotNull())
     keys = ["repo", "path"]
     # The raw messages shrink here, before any join.
     counts = rows.groupBy(*keys, "symbol").agg(F.count("message_id").alias("n"))
+    if repos is not None:
+        counts = semi_by_ids(counts, repos)
     files = counts.join(loc.select(*keys, F.col("nonblank_loc").alias("loc")), keys, "left")
     unit = ["repo"]
     if by_category:
@@ -66,8 +67,6 @@ def lint_cells(
         F.sum("_loc").over(in_unit).alias("loc"),
         (F.row_number().over(in_unit.orderBy("symbol")) == 1).alias("is_first"),
     )
-    if repos is not None and not early:
-        cells = cells.join(repos.select(F.col("id").alias("repo")).distinct(), "repo", "left_semi")
     # A repository without labels has no profile and counts as "other".
     # Labels shrink to one row per repository before they meet the ids.
     labelled = labels.select("repo").distinct()

@@ -1,4 +1,4 @@
-"""Session helpers: where intermediate rows are written, and size checks."""
+"""Session helpers: settings, and where intermediate rows are written."""
 
 from __future__ import annotations
 
@@ -15,6 +15,8 @@ def build_session(app_name: str = "repometrics", master: str | None = None, **co
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # intermediate rows go with the frame that holds them
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # recording the call site of every column expression slows plan building down
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
@@ -38,7 +40,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         configured = tempfile.mkdtemp(prefix="repometrics-")
     sc.setCheckpointDir(configured)
@@ -58,14 +60,3 @@ def settle(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A folder of this application in the shared checkpoint folder."""
     return f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}-{name}"
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the optimized plan; runs no job."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
-
-
-def broadcast_limit(spark: SparkSession) -> int:
-    """Largest side Spark itself would broadcast, in bytes (-1: never)."""
-    return int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())

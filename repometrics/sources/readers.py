@@ -9,29 +9,32 @@ from pyspark.sql import functions as F
 
 from repometrics import schemas
 
-# Quotes are doubled inside quoted fields and fields may hold line breaks.
+# Quotes are doubled inside quoted fields.
 # A file with several columns of one name is read by position.
 CSV_OPTIONS = {
     "header": "true",
     "enforceSchema": "true",
-    "multiLine": "true",
     "escape": '"',
     "mode": "PERMISSIVE",
 }
 
 
-def _csv(spark: SparkSession, paths: str | Sequence[str], schema: str) -> DataFrame:
-    return spark.read.schema(schema).options(**CSV_OPTIONS).csv(paths)
+#: Tables with free text, whose fields may hold line breaks; their files cannot be split.
+FREE_TEXT = ("lint_messages",)
+
+
+def _csv(spark: SparkSession, paths: str | Sequence[str], schema: str, free_text: bool = False) -> DataFrame:
+    return spark.read.schema(schema).options(**CSV_OPTIONS, multiLine=free_text).csv(paths)
 
 
 def read_repo_meta(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Repository metadata CSV with parsed timestamps."""
-    return _csv(spark, path, schemas.REPO_META)
+    return _csv(spark, path, schemas.REPO_META, free_text=True)
 
 
 def read_metric_csv(spark: SparkSession, paths: str | Sequence[str], table: str) -> DataFrame:
     """One metric table (a key of ``schemas.METRIC_TABLES``) from CSV."""
-    return _csv(spark, paths, schemas.METRIC_TABLES[table])
+    return _csv(spark, paths, schemas.METRIC_TABLES[table], table in FREE_TEXT)
 
 
 def read_intermediate(spark: SparkSession, path: str) -> DataFrame:
@@ -60,7 +63,7 @@ def read_result_chunks(spark: SparkSession, dirs: Sequence[str], name: str, tabl
     paths = [f"{d.rstrip('/')}/{name}" for d in dirs]
     # A chunk may be one file or a folder of part files.
     folder = F.substring_index(F.substring_index(F.col("_metadata.file_path"), f"/{name}", 1), "/", -1)
-    rows = _csv(spark, paths, schemas.METRIC_TABLES[table])
+    rows = _csv(spark, paths, schemas.METRIC_TABLES[table], table in FREE_TEXT)
     return rows.select("*", folder.alias("chunk"))
 
 

@@ -103,40 +103,43 @@ def way(request, spark):
 def test_semi_anti_and_flag(make, values, way):
     rows = make([(1, "a")] * 40 + [(2, "b"), (3, "c"), (4, "d"), (4, "d"), (None, "n")], "repo bigint, path string")
     ids = make([(1,), (3,), (3,), (9,), (None,)], "id bigint")
-    hot = 2
-    assert values(joins.semi_by_ids(rows, ids, hot_rows=hot)) == [(1, "a")] * 40 + [(3, "c")]
-    assert values(joins.anti_by_ids(rows, ids, hot_rows=hot)) == [(2, "b"), (4, "d"), (4, "d"), (None, "n")]
-    flags = values(joins.membership_flag(rows, ids, name="m", hot_rows=hot), "repo", "m")
+    assert values(joins.semi_by_ids(rows, ids)) == [(1, "a")] * 40 + [(3, "c")]
+    assert values(joins.anti_by_ids(rows, ids)) == [(2, "b"), (4, "d"), (4, "d"), (None, "n")]
+    flags = values(joins.membership_flag(rows, ids, name="m"), "repo", "m")
     assert flags == [(1, True)] * 40 + [(2, False), (3, True), (4, False), (4, False), (None, False)]
 
 
 def test_left_and_inner_lookup(make, values, way):
     rows = make([(1, "a")] * 5 + [(2, "b"), (None, "n")], "repo bigint, path string")
     profile = make([(1, 10), (3, 30)], "repo bigint, total int")
-    left = values(joins.lookup_join(rows, profile, "repo", "left", hot_rows=3), "repo", "path", "total")
+    left = values(joins.attach_repo_profile(rows, profile), "repo", "path", "total")
     assert left == [(1, "a", 10)] * 5 + [(2, "b", None), (None, "n", None)]
-    inner = joins.lookup_join(rows, profile, "repo", "inner", hot_rows=3)
-    assert values(inner, "repo", "total") == [(1, 10)] * 5
 
 
-def test_lookup_on_two_columns(make, values, way):
-    rows = make([(1, "a")] * 4 + [(1, "b"), (2, "a"), (2, None)], "repo bigint, path string")
-    flags = make([(1, "a", True), (2, "a", True)], "repo bigint, path string, f boolean")
-    got = values(joins.lookup_join(rows, flags, ["repo", "path"], "left", hot_rows=3), "repo", "path", "f")
-    assert got == [(1, "a", True)] * 4 + [(1, "b", None), (2, "a", True), (2, None, None)]
+def test_half_of_the_rows_on_one_key(make, values, way):
+    rows = make([(1, f"p{i}") for i in range(3000)] + [(i, "q") for i in range(2, 3002)], "repo bigint, path string")
+    ids = make([(i,) for i in range(1, 3002, 2)], "id bigint")
+    assert joins.semi_by_ids(rows, ids).count() == 3000 + 1500
+    assert joins.anti_by_ids(rows, ids).count() == 1500
+    assert joins.membership_flag(rows, ids, name="m").filter("m").count() == 4500
 
 
-def test_hot_rows_are_not_shuffled(spark, make):
+def test_each_side_is_read_once(spark, tmp_path, make):
+    """No forced broadcast, and no second read of a side."""
+    make([(1, "a")], "repo bigint, path string").write.parquet(str(tmp_path / "rows"))
+    make([(1,)], "id bigint").write.parquet(str(tmp_path / "ids"))
+    rows, ids = spark.read.parquet(str(tmp_path / "rows")), spark.read.parquet(str(tmp_path / "ids"))
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = joins.semi_by_ids(make([(1, "a")], "repo bigint, path string"), make([(1,)], "id bigint"))
-        text = plan._jdf.queryExecution().executedPlan().toString()
-        assert "BroadcastHashJoin" in text and "LeftAnti" in text and "Union" in text
+        for joined in (joins.semi_by_ids(rows, ids), joins.anti_by_ids(rows, ids), joins.membership_flag(rows, ids)):
+            text = joined._jdf.queryExecution().executedPlan().toString()
+            assert text.count("FileScan") == 2 and "Broadcast" not in text
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+
 def test_star_join_counts_before_joining(make, values):
     projects = make([(1, "p"), (2, "q")], "id bigint, name string")
     watchers = make([(1, 5), (1, 6), (1, None), (7, 8), (None, 3)], "repo_id bigint, user_id bigint")

@@ -82,11 +82,29 @@ def test_chi_square_tail(spark, make):
         assert r.p == pytest.approx(1 - law.cumulativeProbability(r.h), abs=1e-12)
 
 
+def t_tail(t, df):
+    """P(|T| > t), by Simpson's rule over the density; its factor as a product."""
+    m = df // 2
+    product = math.fsum(math.log1p(-1 / (2 * k)) for k in range(1, m + 1))
+    # Gamma((df+1)/2) / Gamma(df/2)
+    half = 0.5 * math.log(math.pi) + math.log(m) + product if df % 2 == 0 else -0.5 * math.log(math.pi) - product
+    front = half - 0.5 * math.log(math.pi * df)
+    n, width = 40_000, max(1.0, 60 / t)
+    def density(x):
+        return math.exp(front - (df + 1) / 2 * math.log1p(x * x / df))
+    h = width / n
+    return 2 * h / 3 * math.fsum(density(t + k * h) * (1 if k in (0, n) else 4 if k % 2 else 2) for k in range(n + 1))
+
+
 def test_f_tail(spark, make):
     law = spark._jvm.org.apache.commons.math3.distribution.FDistribution
     grid = [(f, d) for f in (1e-3, 0.3, 1.0, 4.0, 12.0) for d in (1.0, 2.0, 7.0, 100.0, 9999.0, 10001.0, 1e5)]
     for r in make(grid, "f double, d double").select("f", "d", fn.f_tail_df1("f", "d").alias("p")).collect():
         assert r.p == pytest.approx(1 - law(1.0, r.d).cumulativeProbability(r.f), abs=1e-8), r
+    # small tails, to relative size: the density of t integrated where it matters
+    grid = [(f, d) for f in (5.0, 40.0, 100.0, 400.0) for d in (9998.0, 9999.0, 10001.0, 20000.0, 1e6)]
+    for r in make(grid, "f double, d double").select("f", "d", fn.f_tail_df1("f", "d").alias("p")).collect():
+        assert r.p == pytest.approx(t_tail(math.sqrt(r.f), int(r.d)), rel=1e-9), r
     edge = make([(0.0, 5.0), (float("inf"), 5.0), (None, 5.0)], "f double, d double")
     assert [r[0] for r in edge.select(fn.f_tail_df1("f", "d")).collect()] == [1.0, 0.0, None]
 
