@@ -3,6 +3,7 @@ from repometrics.plans.distributions import compare_distributions
 from repometrics.plans.lint import (
     category_histogram,
     lint_by_category,
+    lint_curves,
     lint_density_by_category,
     lint_density_by_repo,
     lint_significance,
@@ -13,6 +14,6 @@ from repometrics.plans.selection import select_ds, select_nonds
 
 __all__ = [
     "candidate_repos", "category_histogram", "compare_distributions", "extraction_lists", "import_analysis",
-    "lint_by_category", "lint_density_by_category", "lint_density_by_repo", "lint_significance",
+    "lint_by_category", "lint_curves", "lint_density_by_category", "lint_density_by_repo", "lint_significance",
     "merged_metrics", "repo_histogram", "select_ds", "select_nonds", "version_analysis",
 ]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,27 +31,37 @@ def compare_distributions(
     nonds: DataFrame,
     log_dims: Sequence[str] = C.LOG_DIMENSIONS,
     linear_dims: Sequence[str] = C.LINEAR_DIMENSIONS,
-) -> dict[str, DataFrame]:
-    """Language shares, summaries, survival curves and Kolmogorov-Smirnov tests.
+) -> dict[str, Callable[[], DataFrame]]:
+    """Language shares, summaries, survival curves and Kolmogorov-Smirnov tests, each built when called.
 
-    The measures are counted once and written; everything else reads the counts.
+    The measures are counted and written once, by the first result that needs them.
     """
-    counted = settle(count_measures(ds, nonds, [*log_dims, *linear_dims]))
-    known = counted.filter(F.col("x").isNotNull())
-    raised = (
-        counted.filter(F.col("dim").isin(*log_dims))
-        .withColumn("x", clamp_below("x", C.CURVE_FLOOR))
-        .groupBy("dim", "grp", "x").agg(F.sum("n").alias("n"))
-    )
-    both = known.groupBy(F.col("dim").alias("factor"), "x").agg(
-        F.sum(F.when(F.col("grp") == "DS", F.col("n")).otherwise(0)).alias("a"),
-        F.sum(F.when(F.col("grp") == "DS", 0).otherwise(F.col("n"))).alias("b"),
-    )
+    @cache
+    def counted() -> DataFrame:
+        return settle(count_measures(ds, nonds, [*log_dims, *linear_dims]))
+
+    def known() -> DataFrame:
+        return counted().filter(F.col("x").isNotNull())
+
+    def curves_log() -> DataFrame:
+        raised = (
+            counted().filter(F.col("dim").isin(*log_dims))
+            .withColumn("x", clamp_below("x", C.CURVE_FLOOR))
+            .groupBy("dim", "grp", "x").agg(F.sum("n").alias("n"))
+        )
+        return survival_curves(raised, log=True)
+
+    def tests() -> DataFrame:
+        return ks_two_sample(known().groupBy(F.col("dim").alias("factor"), "x").agg(
+            F.sum(F.when(F.col("grp") == "DS", F.col("n")).otherwise(0)).alias("a"),
+            F.sum(F.when(F.col("grp") == "DS", 0).otherwise(F.col("n"))).alias("b"),
+        ))
+
     return {
-        "languages_ds": value_share(ds, "language"),
-        "languages_nonds": value_share(nonds, "language"),
-        "summary": describe_counted(known, ["dim", "grp"]),
-        "curves_log": survival_curves(raised, log=True),
-        "curves_linear": survival_curves(known.filter(F.col("dim").isin(*linear_dims))),
-        "tests": ks_two_sample(both),
+        "languages_ds": lambda: value_share(ds, "language"),
+        "languages_nonds": lambda: value_share(nonds, "language"),
+        "summary": lambda: describe_counted(known(), ["dim", "grp"]),
+        "curves_log": curves_log,
+        "curves_linear": lambda: survival_curves(known().filter(F.col("dim").isin(*linear_dims))),
+        "tests": tests,
     }

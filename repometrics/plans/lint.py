@@ -7,17 +7,18 @@ zeros enter histograms as one weighted row per symbol and group.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repometrics import constants as C
 from repometrics.operators.aggregates import describe_counted
-from repometrics.operators.curves import survival_curve_by_category
+from repometrics.operators.curves import survival_curve_by_category, survival_curve_clipped
 from repometrics.operators.filters import clean_lint_rows
 from repometrics.operators.joins import semi_by_ids
-from repometrics.operators.stats import significance_table
+from repometrics.operators.stats import ks_two_sample, significance_table
 from repometrics.session import settle
 
 
@@ -222,6 +223,26 @@ def density_summary(cells: DataFrame) -> DataFrame:
     return describe_counted(counted.filter(F.col("n") > 0), [])
 
 
+def lint_curves(
+    cells: DataFrame, caps: Mapping[str, float] | None = None
+) -> dict[str, Callable[[], DataFrame]]:
+    """Curves of warnings per line of both repository groups, and a test per symbol, each built when called.
+
+    ``caps`` names the dims and where their curves end; without it the usual
+    symbols, all at ``CURVE_CAP``.
+    """
+    caps = caps if caps is not None else {f"{C.LINT_PREFIX}{s}": C.CURVE_CAP for s in C.LINT_DIMENSIONS}
+
+    @cache
+    def hist() -> DataFrame:
+        return settle(repo_histogram(cells).filter(F.col("factor").isin(*caps)))
+
+    return {
+        "curves": lambda: survival_curve_clipped(hist(), cap=caps),
+        "tests": lambda: ks_two_sample(hist()),
+    }
+
+
 def lint_by_category(
     lint: DataFrame,
     loc: DataFrame,

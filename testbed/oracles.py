@@ -62,12 +62,20 @@ CTES = {
         SELECT repo, count(*) FILTER (ver = 'either') AS either, count(*) FILTER (ver = 'neither') AS neither,
                count(*) FILTER (ver = 'python2') AS python2, count(*) FILTER (ver = 'python3') AS python3
         FROM versions GROUP BY repo""",
+    "version_truth": """
+        SELECT * FROM (VALUES
+            (false, false, false, false, 'empty', false), (true, false, false, false, 'either', true),
+            (false, false, true, false, 'only2', false), (true, false, true, false, 'only2', true),
+            (false, false, false, true, 'only3', true), (true, false, false, true, 'only3', true),
+            (false, false, true, true, 'mix', true), (true, false, true, true, 'mix', true),
+            (false, true, false, false, 'neither', false), (true, true, false, false, 'neither', true),
+            (false, true, true, false, 'neither', false), (true, true, true, false, 'neither', true),
+            (false, true, false, true, 'neither', true), (true, true, false, true, 'neither', true),
+            (false, true, true, true, 'neither', true), (true, true, true, true, 'neither', true)
+        ) AS truth(has_either, has_neither, has_2, has_3, summary, usable)""",
     "version_tab": """
-        SELECT *, CASE WHEN neither > 0 THEN 'neither' WHEN python3 = 0 AND python2 > 0 THEN 'only2'
-            WHEN python2 = 0 AND python3 > 0 THEN 'only3'
-            WHEN python3 = 0 AND python2 = 0 AND either > 0 THEN 'either'
-            WHEN python2 > 0 AND python3 > 0 THEN 'mix' ELSE 'empty' END AS summary,
-            either + python3 > 0 AND python2 <= python3 AS "select" FROM version_counts""",
+        SELECT c.*, summary, usable AND python3 >= python2 AS "select" FROM version_counts c JOIN version_truth
+            ON has_either = (either > 0) AND has_neither = (neither > 0) AND has_2 = (python2 > 0) AND has_3 = (python3 > 0)""",
     "loc": f"""
         SELECT {KEY}, CASE WHEN o_totalprice < 5000 THEN NULL WHEN o_totalprice < 20000 THEN 0
             ELSE CAST(floor(o_totalprice / 100) AS BIGINT) END AS nonblank_loc,
@@ -236,8 +244,12 @@ oracle("restrict_to_repos", "loc ds_ids", "SELECT * FROM loc WHERE repo IN (SELE
 oracle("exclude_repos", "loc ds_ids", "SELECT * FROM loc WHERE repo NOT IN (SELECT id FROM ds_ids)")
 oracle("membership_flag", "labels ds_ids", "SELECT *, repo IN (SELECT id FROM ds_ids) AS is_ml_repo FROM labels")
 _plain("merge_result_chunks", "loc")
-oracle("merged_metrics", "", """SELECT o_custkey AS repo, count(*) AS loc_rows, count(*) AS ver_rows
-    FROM orders GROUP BY o_custkey""")
+METRICS = {"loc": "nonblank_loc, internal_error", "versions": "ver", "labels": "cat", "cc": "type, complexity",
+           "lint": "type, symbol, message_id, line, parse_error, internal_error",
+           "imports": "module_name, import_name"}
+oracle("merged_metrics", " ".join(METRICS), " UNION ALL ".join(
+    f"SELECT '{table}' AS metric, repo, path, concat_ws('|', {columns}) AS fields FROM {table}"
+    for table, columns in METRICS.items()))
 oracle("semi_by_ids", "labels", "SELECT * FROM labels WHERE repo IN (SELECT id FROM active)", ACTIVE)
 oracle("anti_by_ids", "labels", "SELECT * FROM labels WHERE repo NOT IN (SELECT id FROM active)", ACTIVE)
 oracle("three_way_intersection", "labels", " INTERSECT ".join(
@@ -293,7 +305,8 @@ oracle("quality_probes", "lint", " UNION ALL ".join(
         ("no_message", "symbol IS NULL"))))
 oracle("fill_missing", "loc", "SELECT repo, path, coalesce(nonblank_loc, 0) AS nonblank_loc, internal_error FROM loc")
 _plain("commit_span", "git")
-COLS = "id, stars, round(age, 6) AS age, summary, loc, round(complexity, 6) AS complexity"
+COLS = """id, name, stars, size, language, forks_count, open_issues_count, watch, number_of_contributors,
+    round(age, 6) AS age, summary, loc, round(complexity, 6) AS complexity"""
 oracle("enrich_repos", "enriched", f'SELECT {COLS}, "select" FROM enriched')
 oracle("select_ds", "enriched ds_ids", f"""SELECT {COLS} FROM enriched
     WHERE id IN (SELECT id FROM ds_ids) AND id <> 31 AND "select" """)
@@ -334,18 +347,19 @@ def _chunks(source: str, size: int) -> str:
     return f"""SELECT *, lpad(CAST(chunk * {size} + 1 AS VARCHAR), 6, '0') || '-' ||
         lpad(CAST(least((chunk + 1) * {size}, total) AS VARCHAR), 6, '0') AS label FROM (
         SELECT id, row_number, (row_number - 1) // {size} AS chunk, total FROM (
-        SELECT id, row_number() OVER (ORDER BY created_at DESC, id) AS row_number, count(*) OVER () AS total
+        SELECT id, row_number() OVER (ORDER BY created_at DESC NULLS LAST, id) AS row_number, count(*) OVER () AS total
         FROM ({source})))"""
 
 
 oracle("chunk_list", "meta",
-       f"SELECT id, row_number, chunk, label FROM ({_chunks('SELECT * FROM meta WHERE created_at IS NOT NULL', 40)})")
+       f"SELECT id, row_number, chunk, label FROM ({_chunks('SELECT * FROM meta', 40)})")
 oracle("slice_rows", "meta", f"""SELECT id, row_number FROM
-    ({_chunks('SELECT * FROM meta WHERE created_at IS NOT NULL', 40)}) WHERE row_number > 40 AND row_number <= 110""")
+    ({_chunks('SELECT * FROM meta', 40)}) WHERE row_number > 40 AND row_number <= 110""")
 _ds = f"SELECT * FROM meta WHERE language = '{DS_SEGMENT}'"
-_non = f"SELECT * FROM meta WHERE language <> '{DS_SEGMENT}' AND created_at >= TIMESTAMP '1995-03-01'"
+_non = "SELECT * FROM meta WHERE created_at >= TIMESTAMP '1995-03-01'"
 oracle("extraction_lists", "meta", f"""SELECT 'ds' AS grp, id, label FROM ({_chunks(_ds, 100)})
-    UNION ALL SELECT 'nonds' AS grp, id, label FROM ({_chunks(_non, 100)})""")
+    UNION ALL SELECT 'nonds' AS grp, id, label FROM ({_chunks(_non, 100)})
+    UNION ALL SELECT 'duplicates' AS grp, id, NULL AS label FROM ({_non}) WHERE language = '{DS_SEGMENT}'""")
 oracle("sorted_distinct", "lint", """SELECT CAST(0 AS BIGINT) AS part,
     string_agg(DISTINCT message_id, ', ' ORDER BY message_id) AS listing FROM lint""")
 oracle("sorted_distinct_repos", "labels", """SELECT part, string_agg(CAST(repo AS VARCHAR), ', ' ORDER BY repo) AS listing
@@ -628,16 +642,32 @@ def _by_category(is_ml: str) -> str:
 
 oracle("survival_curve_by_category", "dense_cat deep", "SELECT * FROM curve", _by_category("false"))
 oracle("lint_by_category_curves", "dense_cat deep", "SELECT * FROM curve", _by_category("true"))
-LOG_DIMS = ("stars", "size", "forks_count", "open_issues_count", "watch")
+LOG_DIMS = ("stars", "size", "forks_count", "open_issues_count", "watch", "loc", "complexity")
+LINEAR_DIMS = ("age", "number_of_contributors")
+BOTH = """both_groups AS (
+    SELECT *, 'DS' AS grp FROM enriched WHERE id IN (SELECT id FROM ds_ids) AND id <> 31 AND "select"
+    UNION ALL SELECT *, 'non-DS' AS grp FROM nonds_chosen)"""
 TALL = " UNION ALL ".join(
-    f"SELECT '{d}' AS dim, {GRP}, CAST({d} AS DOUBLE) AS x FROM meta" for d in (*LOG_DIMS, "number_of_contributors"))
-oracle("compare_distributions_tests", "meta", KS,
-       f"members AS (SELECT dim AS factor, x, grp = 'DS' AS in_a FROM ({TALL}) WHERE x IS NOT NULL)" + STEPS)
-oracle("compare_distributions", "meta", f"""SELECT language, round(count(*) / sum(count(*)) OVER (), 6) AS share
-    FROM meta WHERE language <> '{DS_SEGMENT}' GROUP BY language""")
-oracle("compare_distributions_summary", "meta", f"SELECT dim, grp, {_describe('x')} FROM ({TALL}) GROUP BY dim, grp")
-oracle("compare_distributions_curves", "meta", "SELECT * FROM curve", _curve(" UNION ALL ".join(
-    f"SELECT '{d}' AS dim, {GRP}, {FLOOR.format(d)} FROM meta" for d in LOG_DIMS), log=True))
+    f"SELECT '{d}' AS dim, grp, CAST({d} AS DOUBLE) AS x FROM both_groups" for d in (*LOG_DIMS, *LINEAR_DIMS))
+SELECTED = "enriched ds_ids nonds_chosen"
+oracle("compare_distributions_tests", SELECTED, KS,
+       f"{BOTH}, members AS (SELECT dim AS factor, x, grp = 'DS' AS in_a FROM ({TALL}) WHERE x IS NOT NULL)" + STEPS)
+for _name, _group in (("compare_distributions", "non-DS"), ("compare_distributions_languages_ds", "DS")):
+    oracle(_name, SELECTED, f"""SELECT language, round(count(*) / sum(count(*)) OVER (), 6) AS share
+        FROM both_groups WHERE grp = '{_group}' GROUP BY language""", BOTH)
+oracle("compare_distributions_summary", SELECTED,
+       f"SELECT dim, grp, {_describe('x')} FROM ({TALL}) GROUP BY dim, grp HAVING count(x) > 0", BOTH)
+oracle("compare_distributions_curves", SELECTED, "SELECT * FROM curve", BOTH + ", " + _curve(" UNION ALL ".join(
+    f"SELECT '{d}' AS dim, grp, {FLOOR.format(d)} FROM both_groups" for d in LOG_DIMS), log=True))
+oracle("compare_distributions_curves_linear", SELECTED, "SELECT * FROM curve", BOTH + ", " + _curve(" UNION ALL ".join(
+    f"SELECT '{d}' AS dim, grp, CAST({d} AS DOUBLE) AS x FROM both_groups WHERE {d} IS NOT NULL" for d in LINEAR_DIMS)))
+CAPS = {"lint_AF": 0.0001, "lint_NO": 0.0004, "lint_RF": 1.0}
+_CAP = "CASE variable " + " ".join(f"WHEN '{d}' THEN {c}" for d, c in CAPS.items()) + " END"
+oracle("lint_curves", "dense_repo", "SELECT * FROM curve", _curve(
+    f"""SELECT variable AS dim, CASE WHEN is_ml_repo THEN 'DS' ELSE 'non-DS' END AS grp,
+    least(normval, {_CAP}) AS x FROM dense_repo WHERE variable IN {_list(CAPS)}"""))
+oracle("lint_curve_tests", "dense_repo", KS,
+       f"members AS (SELECT variable AS factor, normval AS x, is_ml_repo AS in_a FROM dense_repo WHERE variable IN {_list(CAPS)})" + STEPS)
 oracle("lint_by_category_sizes", "dense_cat deep", f"""SELECT is_ml_repo, cat, {_describe('loc')} FROM dense_cat
     WHERE repo IN (SELECT repo FROM deep) GROUP BY is_ml_repo, cat""")
 oracle("lint_by_category_summary", "dense_cat", f"SELECT {_describe('normval')} FROM dense_cat")

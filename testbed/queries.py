@@ -6,6 +6,7 @@ Doubles are rounded to six places so that two engines can be compared.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -181,15 +182,18 @@ def merge_result_chunks(t):
 
 @query
 def merged_metrics(t):
-    ds, loc = t.ds_ids(), t.loc()
-    ver = t.versions()
-    merged = plans.merged_metrics(
-        {"loc": filters.restrict_to_repos(loc, ds), "ver": filters.restrict_to_repos(ver, ds)},
-        {"loc": loc, "ver": ver}, ds,
-    )
-    return merged["loc"].groupBy("repo").agg(F.count(F.lit(1)).alias("loc_rows")).join(
-        merged["ver"].groupBy("repo").agg(F.count(F.lit(1)).alias("ver_rows")), "repo"
-    )
+    # all tables and rows; the first group is in both inputs and must not be doubled
+    ds = t.ds_ids()
+    tables = {name: getattr(t, name)() for name in ("loc", "versions", "labels", "cc", "lint", "imports")}
+    merged = plans.merged_metrics({n: filters.restrict_to_repos(d, ds) for n, d in tables.items()}, tables, ds)
+    shown = [
+        d.select(
+            F.lit(n).alias("metric"), "repo", "path",
+            F.concat_ws("|", *[F.col(c).cast("string") for c in tables[n].columns if c not in ("repo", "path") and (n, c) != ("imports", "parse_error")]).alias("fields"),
+        )
+        for n, d in merged.items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), shown)
 
 
 def _active(t):
@@ -344,19 +348,25 @@ def commit_span(t):
     return t.git()
 
 
+REPO_COLUMNS = (
+    "id", "name", "stars", "size", "language", "forks_count", "open_issues_count", "watch", "number_of_contributors",
+    "age", "summary", "loc", "complexity",
+)
+
+
 @query
 def enrich_repos(t):
     rows = joins.enrich_repos(
         t.meta(), filters.repo_age_days(t.git()), t.version_tab(),
         agg.loc_by_repo(t.loc()), agg.mean_complexity_by_repo(t.cc()),
     )
-    return rounded(rows.select("id", "stars", "age", "summary", "select", "loc", "complexity"))
+    return rounded(rows.select(*REPO_COLUMNS, "select"))
 
 
 @query
 def select_ds(t):
     rows = plans.select_ds(t.ds_meta(), t.git(), t.version_tab(), t.loc(), t.cc(), blacklist=(31,))
-    return rounded(rows.select("id", "stars", "age", "summary", "loc", "complexity"))
+    return rounded(rows.select(*REPO_COLUMNS))
 
 
 def _nonds(t):
@@ -369,7 +379,7 @@ def _nonds(t):
 
 @query
 def select_nonds(t):
-    return rounded(_nonds(t).select("id", "stars", "age", "summary", "loc", "complexity"))
+    return rounded(_nonds(t).select(*REPO_COLUMNS))
 
 
 # --- size, complexity, labels ----------------------------------------------
@@ -435,21 +445,21 @@ def recent_first(t):
 
 @query
 def chunk_list(t):
-    rows = ordering.chunk_list(t.meta().filter(F.col("created_at").isNotNull()), size=40)
+    rows = ordering.chunk_list(t.meta(), size=40)
     return rows.select("id", "row_number", "chunk", "label")
 
 
 @query
 def slice_rows(t):
-    rows = t.meta().filter(F.col("created_at").isNotNull())
-    return ordering.slice_rows(rows, 40, 110, [F.desc("created_at"), F.asc("id")]).select("id", "row_number")
+    return ordering.slice_rows(t.meta(), 40, 110, [F.desc("created_at"), F.asc("id")]).select("id", "row_number")
 
 
 @query
 def extraction_lists(t):
-    lists = plans.extraction_lists(t.ds_meta(), t.nonds_meta(), since="1995-03-01T00:00:00Z", size=100)
+    lists = plans.extraction_lists(t.ds_meta(), t.meta(), since="1995-03-01T00:00:00Z", size=100)
     parts = [lists[g].select(F.lit(g).alias("grp"), "id", "label") for g in ("ds", "nonds")]
-    return parts[0].unionByName(parts[1])
+    both = lists["duplicates"].select(F.lit("duplicates").alias("grp"), "id", F.lit(None).cast("string").alias("label"))
+    return parts[0].unionByName(parts[1]).unionByName(both)
 
 
 @query
@@ -800,31 +810,54 @@ def survival_curve_by_category(t):
 
 
 def _comparison(t):
-    return plans.compare_distributions(
-        t.ds_meta(), t.nonds_meta(),
-        log_dims=("stars", "size", "forks_count", "open_issues_count", "watch"),
-        linear_dims=("number_of_contributors",),
-    )
+    # the selected repositories of both groups, all nine measures
+    ds = plans.select_ds(t.ds_meta(), t.git(), t.version_tab(), t.loc(), t.cc(), blacklist=(31,))
+    return plans.compare_distributions(ds, _nonds(t))
 
 
 @query
 def compare_distributions_tests(t):
-    return rounded(_comparison(t)["tests"])
+    return rounded(_comparison(t)["tests"]())
 
 
 @query
 def compare_distributions(t):
-    return rounded(_comparison(t)["languages_nonds"])
+    return rounded(_comparison(t)["languages_nonds"]())
 
 
 @query
 def compare_distributions_summary(t):
-    return rounded(_comparison(t)["summary"])
+    return rounded(_comparison(t)["summary"]())
 
 
 @query
 def compare_distributions_curves(t):
-    return rounded(_comparison(t)["curves_log"])
+    return rounded(_comparison(t)["curves_log"]())
+
+
+@query
+def compare_distributions_curves_linear(t):
+    return rounded(_comparison(t)["curves_linear"]())
+
+
+@query
+def compare_distributions_languages_ds(t):
+    return rounded(_comparison(t)["languages_ds"]())
+
+
+def _lint_curves(t):
+    cells = plans.lint.lint_cells(*_lint_inputs(t))
+    return plans.lint_curves(cells, {"lint_AF": 0.0001, "lint_NO": 0.0004, "lint_RF": 1.0})
+
+
+@query
+def lint_curves(t):
+    return rounded(_lint_curves(t)["curves"]())
+
+
+@query
+def lint_curve_tests(t):
+    return rounded(_lint_curves(t)["tests"]())
 
 
 def _category_cells(t):

@@ -231,11 +231,11 @@ def test_compare_distributions(make):
     ds = [(rng.choice(["Python", None]), rng.choice([None, rng.randint(0, 50)]), rng.random() * 9) for _ in range(60)]
     other = [("Python", rng.randint(0, 90), rng.choice([None, rng.random() * 9])) for _ in range(80)]
     out = plans.compare_distributions(make(ds, schema), make(other, schema), log_dims=("stars",), linear_dims=("age",))
-    n = {(r.dim, r.grp): r["count"] for r in out["summary"].collect()}
+    n = {(r.dim, r.grp): r["count"] for r in out["summary"]().collect()}
     assert n[("stars", "DS")] == sum(r[1] is not None for r in ds) and n[("age", "non-DS")] == sum(r[2] is not None for r in other)
     a, b = [r[1] for r in ds if r[1] is not None], [r[1] for r in other]
     d = max(abs(sum(v <= p for v in a) / len(a) - sum(v <= p for v in b) / len(b)) for p in set(a + b))
-    assert {r.factor: r.ks_stat for r in out["tests"].collect()}["stars"] == pytest.approx(d)
-    assert out["curves_log"].count() == 2 * 999 and out["curves_linear"].count() == 2 * 999
-    share = {r.language: r.share for r in out["languages_ds"].collect()}
+    assert {r.factor: r.ks_stat for r in out["tests"]().collect()}["stars"] == pytest.approx(d)
+    assert out["curves_log"]().count() == 2 * 999 and out["curves_linear"]().count() == 2 * 999
+    share = {r.language: r.share for r in out["languages_ds"]().collect()}
     assert share == {"Python": pytest.approx(sum(r[0] is not None for r in ds) / 60)}
