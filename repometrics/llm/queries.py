@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
-from . import ngram_join, packing, piece_codec, piece_counts, quality, simhash, substring_dedup, suffix_dedup, token_files, url_filter
+from . import ngram_join, oracles, packing, piece_codec, piece_counts, quality, simhash, substring_dedup, suffix_dedup, token_files, url_filter
 
 
 def vocabulary_path(name: str) -> str:
@@ -61,7 +61,7 @@ URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/":
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_urls(pages(spark, sf_dir), URL_RULES)
+    return url_filter.judge_urls(pages(spark, sf_dir), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,4 +85,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_piece_codec": op10_piece_codec,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_ngram_join": oracles.NGRAM_JOIN,
+    "op7_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op8_url_filter": oracles.url_filter(URL_RULES),
+}

@@ -101,5 +101,7 @@ def judge_urls(pages: DataFrame, rules: dict[str, str], damping: float = 0.85, r
         F.sum(F.when(F.col("kind") == "distrust", F.col("p"))).alias("distrust"),
     ).fillna(0.0))
     rows = rows.drop("html").join(scores, "host", "left").fillna(0.0, ["trust", "distrust"])
-    by_score = F.when(F.col("distrust") > margin * F.col("trust"), F.lit("block")).otherwise(F.lit("allow"))
+    # sums of the same numbers in another order are ties
+    above = F.col("distrust") - margin * F.col("trust") > 1e-9 * (F.col("distrust") + F.col("trust"))
+    by_score = F.when(above, F.lit("block")).otherwise(F.lit("allow"))
     return rows.select("page_id", "host", "path", "rule", F.coalesce("_said", by_score).alias("verdict"), "trust", "distrust")
