@@ -117,6 +117,22 @@ def quality_probes(df: DataFrame, checks: Mapping[str, Column]) -> DataFrame:
     return counts.unpivot(["_rows"], list(checks), "probe", "hits").withColumnRenamed("_rows", "total")
 
 
+def repo_probes() -> dict[str, Column]:
+    """Checks of selected repositories: each should meet none of them."""
+    return {
+        "unknown_select": F.col("select").isNull(),
+        "no_lines": ~F.coalesce(F.col("loc") > 0, F.lit(False)),
+        "no_complexity": ~F.coalesce(F.col("complexity") > 0, F.lit(False)),
+        "negative_age": F.col("age") < 0,
+    }
+
+
+def error_probes(folders: Sequence[str] = ("env", "lib")) -> dict[str, Column]:
+    """Checks of file rows: internal errors, and those outside folders of installed packages."""
+    installed = F.col("path").rlike("(^|/)(" + "|".join(folders) + ")[^/]*/")
+    return {"internal_error": F.col("internal_error"), "own_internal_error": F.col("internal_error") & ~installed}
+
+
 def fill_missing(df: DataFrame, value: float = 0, columns: Sequence[str] | None = None) -> DataFrame:
     """Missing numbers become ``value``."""
     return df.na.fill(value, list(columns) if columns is not None else None)

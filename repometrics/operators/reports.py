@@ -209,6 +209,11 @@ def contributor_count(json_df: DataFrame, column: str = "contributors") -> DataF
     )
 
 
+def repo_meta_full(json_df: DataFrame, contributors: DataFrame) -> DataFrame:
+    """``repo_meta_flatten`` with the number of contributors of the same repository, missing where none was fetched."""
+    return repo_meta_flatten(json_df).join(contributor_count(contributors), "id", "left")
+
+
 def fetch_outcome(responses: DataFrame) -> DataFrame:
     """Add ``outcome``: json, api-limit or not-present."""
     return responses.withColumn(

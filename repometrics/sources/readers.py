@@ -72,33 +72,18 @@ def scan_warehouse(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 
 
-def _empty_files(files: DataFrame, suffix: str) -> DataFrame:
-    """Paths of files without bytes: Spark lists them but does not read them."""
-    spark = files.sparkSession
-    jvm = spark._jvm
-    # The listing is the one Spark's driver already holds; it stays in the JVM.
-    listing = jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(files._jdf.inputFiles())
-    names = spark._jsparkSession.createDataset(listing, jvm.org.apache.spark.sql.Encoders.STRING())
-    # A plus sign is itself in a path, not a space.
-    listed = DataFrame(names.toDF(), spark).select(
-        F.url_decode(F.replace("value", F.lit("+"), F.lit("%2B"))).alias("path")
-    ).filter(F.endswith("path", F.lit(suffix)))
-
-    # The listing writes "file:///a" where a row says "file:/a".
-    def slashes(df: DataFrame) -> DataFrame:
-        return df.select(F.regexp_replace("path", "^([A-Za-z0-9+.-]+):/+", "$1:/").alias("path"))
-
-    return slashes(listed).join(slashes(files), "path", "left_anti")
-
-
 def scan_source_files(
-    spark: SparkSession, root: str, ids: DataFrame | None = None, suffix: str = ".py"
+    spark: SparkSession,
+    root: str,
+    ids: DataFrame | None = None,
+    suffix: str = ".py",
+    manifest: DataFrame | None = None,
 ) -> DataFrame:
     """Source files below ``root``: (repo, path, content), one row per file.
 
     ``path`` is relative to ``root`` and ``repo`` is its first folder.  Bytes
-    that are not UTF-8 become replacement characters and empty files have
-    empty content, so no file is lost.
+    that are not UTF-8 become replacement characters.  Spark skips files
+    without bytes; those that ``manifest`` (relative ``path``) names have empty content.
     """
     files = (
         spark.read.format("binaryFile")
@@ -107,11 +92,14 @@ def scan_source_files(
         .load(root)
     )
     texts = files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
-    texts = texts.unionByName(_empty_files(files, suffix).withColumn("content", F.lit("")))
     # "file:/a", "file:///a" and "/a" name the same folder.
     prefix = "/" + root.split("://")[-1].removeprefix("file:").strip("/") + "/"
     relative = F.get(F.split(F.concat(F.lit("/"), "path"), rf"\Q{prefix}\E", 2), F.lit(1))
-    rows = texts.select(relative.alias("path"), "content").select(
+    found = texts.select(relative.alias("path"), "content")
+    if manifest is not None:
+        named = manifest.select("path").filter(F.endswith("path", F.lit(suffix))).distinct()
+        found = found.join(named, "path", "full").withColumn("content", F.coalesce("content", F.lit("")))
+    rows = found.select(
         F.substring_index("path", "/", 1).try_cast("bigint").alias("repo"), "path", "content"
     )
     if ids is None:

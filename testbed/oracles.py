@@ -303,6 +303,13 @@ oracle("quality_probes", "lint", " UNION ALL ".join(
         ("parse_error", "parse_error"), ("internal_error", "internal_error"),
         ("error_with_message", "internal_error AND type IS NOT NULL"), ("fatal", "type = 'fatal'"),
         ("no_message", "symbol IS NULL"))))
+oracle("repo_probes", "enriched", " UNION ALL ".join(
+    f"SELECT count(*) AS total, '{n}' AS probe, count(*) FILTER ({c}) AS hits FROM enriched" for n, c in (
+        ("unknown_select", '"select" IS NULL'), ("no_lines", "coalesce(loc, 0) <= 0"),
+        ("no_complexity", "coalesce(complexity, 0) <= 0"), ("negative_age", "age < 0"))))
+oracle("error_probes", "loc", " UNION ALL ".join(
+    f"SELECT count(*) AS total, '{n}' AS probe, count(*) FILTER ({c}) AS hits FROM loc" for n, c in (
+        ("internal_error", "internal_error"), ("own_internal_error", "internal_error AND repo % 3 <> 0"))))
 oracle("fill_missing", "loc", "SELECT repo, path, coalesce(nonblank_loc, 0) AS nonblank_loc, internal_error FROM loc")
 _plain("commit_span", "git")
 COLS = """id, name, stars, size, language, forks_count, open_issues_count, watch, number_of_contributors,
@@ -468,8 +475,10 @@ oracle("contributor_count", "", """SELECT c_custkey AS id, c_nationkey + 8 AS nu
 # --- sources and sinks -----------------------------------------------------
 
 _plain("read_id_list", "ds_ids")
-oracle("read_repo_json", "", """SELECT c_custkey AS id, c_name AS name, CAST(floor(c_acctbal) AS BIGINT) AS stars,
-    CAST(c_nationkey AS BIGINT) AS watch, 'say "hi",' || chr(10) || c_name AS description FROM customer""")
+ORACLES["read_repo_json"] = ORACLES["repo_meta_flatten"]
+ORACLES["repo_meta_full"] = f"""SELECT f.*, number_of_contributors, contributors_capped
+    FROM ({ORACLES['repo_meta_flatten']}) f LEFT JOIN ({ORACLES['contributor_count']}) c USING (id)"""
+oracle("write_chunks", "meta", f"SELECT id, label FROM ({_chunks('SELECT * FROM meta', 40)})")
 oracle("read_repo_meta", "meta", """SELECT id, name, CAST(NULL AS VARCHAR) AS url, stars,
     strftime(created_at, '%Y-%m-%d') AS created_at, watch, 'a "b", c' || chr(10) || name AS description,
     number_of_contributors FROM meta""")

@@ -338,6 +338,21 @@ def quality_probes(t):
     return filters.quality_probes(t.lint(), checks)
 
 
+@query
+def repo_probes(t):
+    rows = joins.enrich_repos(
+        t.meta(), filters.repo_age_days(t.git()), t.version_tab(),
+        agg.loc_by_repo(t.loc()), agg.mean_complexity_by_repo(t.cc()),
+    )
+    return filters.quality_probes(rows, filters.repo_probes())
+
+
+@query
+def error_probes(t):
+    rows = t.loc().withColumn("path", F.concat(F.when(F.col("repo") % 3 == 0, "a/env3/").otherwise("src/"), "path"))
+    return filters.quality_probes(rows, filters.error_probes())
+
+
 @query
 def fill_missing(t):
     return filters.fill_missing(t.loc(), 0, ["nonblank_loc"])
@@ -555,6 +570,15 @@ def repo_meta_flatten(t):
     return flat.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("created_at", "updated_at", "pushed_at")})
 
 
+@query
+def repo_meta_full(t):
+    rows = t.repo_json().select(
+        F.from_json(F.to_json(F.struct("*")), schemas.REPO_JSON).alias("doc")
+    ).select("doc.*")
+    full = reports.repo_meta_full(rows, t.contributors())
+    return full.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("created_at", "updated_at", "pushed_at")})
+
+
 @query
 def contributor_count(t):
     return reports.contributor_count(t.contributors())
@@ -581,7 +605,8 @@ def read_repo_json(t):
     path = scratch_path(t.spark, "json")
     sources.write_table(t.repo_json(), path, fmt="json")
     rows = sources.read_repo_json(t.spark, path, multi_line=False)
-    return reports.repo_meta_flatten(rows).select("id", "name", "stars", "watch", "description")
+    flat = reports.repo_meta_flatten(rows)
+    return flat.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("created_at", "updated_at", "pushed_at")})
 
 
 @query
@@ -621,6 +646,13 @@ def write_by_outcome(t):
     return rows.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.count("name").alias("named"))
 
 
+@query
+def write_chunks(t):
+    path = scratch_path(t.spark, "labels-by-chunk")
+    sources.write_chunks(ordering.chunk_list(t.meta(), size=40).select("id", "label"), path)
+    return t.spark.read.schema("id bigint, label string").option("header", "true").csv(path)
+
+
 @query
 def read_intermediate(t):
     path = scratch_path(t.spark, "labels")

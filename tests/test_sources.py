@@ -65,9 +65,11 @@ def test_source_scan(spark, tmp_path, make, values):
         file = tmp_path / "corpus" / path
         file.parent.mkdir(parents=True, exist_ok=True)
         file.write_bytes(data)
-    rows = sources.scan_source_files(spark, str(tmp_path / "corpus"))
+    listed = make([(p,) for p in ("11/pkg/a.py", "11/b c.py", "12/a.py", "12/a+b %20c.py", "12/notes.txt")], "path string")
+    assert sources.scan_source_files(spark, str(tmp_path / "corpus")).count() == 2
+    rows = sources.scan_source_files(spark, str(tmp_path / "corpus"), manifest=listed)
     assert values(rows) == [(11, "11/b c.py", "café \ufffd\n"), (11, "11/pkg/a.py", "x = 1\n"), (12, "12/a+b %20c.py", ""), (12, "12/a.py", "")]
-    some = sources.scan_source_files(spark, f"file://{tmp_path}/corpus/", make([(12,)], "id bigint"))
+    some = sources.scan_source_files(spark, f"file://{tmp_path}/corpus/", make([(12,)], "id bigint"), manifest=listed)
     assert values(some, "path") == [("12/a+b %20c.py",), ("12/a.py",)]
 
 
