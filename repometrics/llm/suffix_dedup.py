@@ -82,7 +82,8 @@ class Contexts:
         self.anchor = grams[anchor[cut]]
         self.context = mixed(hashes.of(self.start, self.end) ^ (self.offset.astype(np.uint64) * FACTORS[0, 62]))
         self.hashes, self.size = hashes, size
-        self.cells = cells_of(self.anchor, parts)
+        # anchors are least hashes, so their own high bits would all choose the first ranges
+        self.cells = cells_of(mixed(self.anchor ^ FACTORS[0, 60]), parts)
         self.parts = (self.cells.cells[self.cells.of_key] >> np.uint64(32)).astype(np.int64) if len(cut) else np.zeros(0, np.int64)
         doc = np.searchsorted(self.begin, self.start, "right") - 1
         self.doc, self.place = docs.ids[doc], (self.start - self.begin[doc]).astype(np.int64)
