@@ -71,8 +71,9 @@ def test_label_profile_without_division_error_n19(make, values):
     labels = make([(1, "a", "ml0"), (1, "b", "test"), (1, "b", "test"), (2, "c", None), (3, "d", "test")],
                   "repo bigint, path string, cat string")
     assert values(agg.repo_label_profile(labels)) == [(1, 1, 0, 1, 2, 0.5), (3, 0, 0, 1, 1, 0.0)]
-    empty = make([(1, "a", "other")], "repo bigint, path string, cat string")
-    assert values(agg.repo_label_profile(empty)) == [(1, 0, 0, 0, 0, None)]
+    # files of other categories count in the total
+    other = make([(1, "a", "other"), (2, "a", "other"), (2, "b", "ml0")], "repo bigint, path string, cat string")
+    assert values(agg.repo_label_profile(other)) == [(1, 0, 0, 0, 1, 0.0), (2, 1, 0, 0, 2, 0.5)]
 
 
 def test_repos_with_all_categories(make, values):
