@@ -25,10 +25,12 @@ def running_totals(
     order: Sequence[Column | str],
     sums: Mapping[str, Column],
     totals: Mapping[str, Column] | None = None,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Add ``before_<name>`` (sum over earlier rows) and ``total_<name>`` per key.
 
-    ``totals`` lists sums for which only the total is wanted.  Key columns must
+    ``totals`` lists sums for which only the total is wanted; ``ranges`` is the
+    number of ranges (default: ``spark.sql.shuffle.partitions``).  Key columns must
     not be null.  The rows are written once: their range number must be the
     same wherever it is read.
     """
@@ -36,9 +38,9 @@ def running_totals(
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     totals = dict(totals or {})
     measured = {**sums, **totals}
-    spread = settle(
-        df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn(_SLICE, F.spark_partition_id())
-    )
+    by = [*[F.col(k) for k in keys], *order]
+    ranged = df.repartitionByRange(ranges, *by) if ranges else df.repartitionByRange(*by)
+    spread = settle(ranged.withColumn(_SLICE, F.spark_partition_id()))
     earlier = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     # one row per key and range
@@ -60,9 +62,13 @@ def running_totals(
     )
 
 
-def row_numbers(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
-    """Add ``row_number`` (from 1) and ``row_count`` in the given total order."""
-    counted = running_totals(df, [], order, {"n": F.lit(1)})
+def row_numbers(df: DataFrame, order: Sequence[Column | str], tie_break: Sequence[str] = ()) -> DataFrame:
+    """Add ``row_number`` (from 1) and ``row_count`` in the given order.
+
+    ``tie_break`` names columns that tell rows of equal ``order`` apart; without
+    it equal rows have arbitrary numbers and fall into one range.
+    """
+    counted = running_totals(df, [], [*order, *tie_break], {"n": F.lit(1)})
     return counted.select(
         *df.columns,
         (F.col("before_n") + 1).alias("row_number"),
@@ -97,11 +103,14 @@ def sorted_distinct(df: DataFrame, column: str, sep: str = ", ", per_row: int =
 
 
 def chunk_list(
-    df: DataFrame, order: Sequence[Column | str] | None = None, size: int = C.CHUNK_SIZE
+    df: DataFrame,
+    order: Sequence[Column | str] | None = None,
+    size: int = C.CHUNK_SIZE,
+    tie_break: Sequence[str] = (),
 ) -> DataFrame:
     """Ordered rows in chunks of ``size``; ``label`` is first-last, six digits each."""
     order = order or [F.desc("created_at"), F.asc("id")]
-    numbered = row_numbers(df, order)
+    numbered = row_numbers(df, order, tie_break)
     first = F.floor((F.col("row_number") - 1) / size) * size + 1
     last = F.least(first + size - 1, F.col("row_count"))
 
@@ -118,9 +127,11 @@ def chunk_list(
     )
 
 
-def slice_rows(df: DataFrame, start: int, stop: int, order: Sequence[Column | str]) -> DataFrame:
+def slice_rows(
+    df: DataFrame, start: int, stop: int, order: Sequence[Column | str], tie_break: Sequence[str] = ()
+) -> DataFrame:
     """Rows ``start`` (from 0) up to but not including ``stop`` in the given order."""
-    numbered = row_numbers(df, order)
+    numbered = row_numbers(df, order, tie_break)
     return numbered.filter(
         (F.col("row_number") > start) & (F.col("row_number") <= stop)
     ).select(*df.columns, "row_number")

@@ -150,3 +150,9 @@ def test_sorted_distinct_keeps_every_value(make):
     rows = ordering.sorted_distinct(df, "v", per_row=10).collect()
     assert [r.part for r in rows] == [0, 1, 2]
     assert ", ".join(r.listing for r in rows) == ", ".join(map(str, range(25)))
+
+
+def test_ties_are_broken_by_the_named_columns(make, values):
+    rows = make([(1, i) for i in range(300)], "k int, id int")
+    got = ordering.slice_rows(rows, 10, 13, ["k"], tie_break=["id"])
+    assert values(got, "id", "row_number") == [(10, 11), (11, 12), (12, 13)]

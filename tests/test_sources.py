@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import functions as F
+
 from repometrics import sources
 from repometrics.operators import ordering, reports
 
@@ -95,3 +97,15 @@ def test_chunk_folders(spark, tmp_path, make):
     sources.write_chunks(rows.select("id", "label"), str(tmp_path / "c"))
     assert {p.name for p in (tmp_path / "c").glob("label=*")} == {
         "label=000001-000003", "label=000004-000006", "label=000007-000007"}
+
+
+def test_id_lists_split_into_tasks(spark, tmp_path):
+    """Tables without free text are not multi-line, so one file is several tasks."""
+    (tmp_path / "ids.csv").write_text("id\n" + "\n".join(str(i) for i in range(200_000)) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")
+    try:
+        ids = sources.read_id_list(spark, str(tmp_path / "ids.csv"))
+        assert ids.select(F.spark_partition_id().alias("p")).distinct().count() > 1 and ids.count() == 200_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
