@@ -218,7 +218,8 @@ def classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, trees: int =
 
     of = nodes.select("node", "doc_id", "copies").join(joined, "node", "left").join(links, "node", "left")
     of = of.withColumn("_class", F.coalesce("label", "node"))
-    least = of.groupBy("_class").agg(F.min("doc_id").alias("class_id"))
+    # written, so that the join deals both sides anew and a large class can be split
+    least = settle(of.groupBy("_class").agg(F.min("doc_id").alias("class_id")))
     of = of.join(least, "_class").select("node", F.col("_class").alias("class_node"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
     return signed.drop("labels").join(of, "node").select("doc_id", "text_key", "class_node", "class_id", "n_links", "n_copies")
 
