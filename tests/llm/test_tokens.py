@@ -126,6 +126,43 @@ def test_token_counts(odd_docs, odd_rows, no_docs, vocabulary):
     assert piece_counts.token_counts(no_docs, vocabulary(PIECES)).count() == 0
 
 
+def spelt(word, pieces, by_bytes):
+    """Longest pieces one after the other, by brute force."""
+    n = at = 0
+    while at < len(word):
+        end = next((e for e in range(len(word), at, -1) if word[at:e] in pieces), None)
+        if end is None and not by_bytes:
+            return 0
+        n, at = n + (1 if end else len(word[at].encode())), end or at + 1
+    return n
+
+
+def test_longest_match_by_bytes_against_brute_force():
+    rng = random.Random(4)
+    for _ in range(300):
+        pieces = {"".join(rng.choices("▁aé漢", k=rng.randint(1, 4))) for _ in range(rng.randint(0, 8))}
+        for by_bytes in (False, True):
+            automaton = piece_counts.LongestMatch([p for p in pieces if p.startswith("▁")], pieces, by_bytes)
+            for _ in range(40):
+                word = "▁" + "".join(rng.choices("▁aé漢😀", weights=[2, 9, 9, 9, 2], k=rng.randint(1, 9)))
+                assert automaton.count(word) == spelt(word, pieces, by_bytes), (word, pieces, by_bytes)
+
+
+def test_token_counts_of_the_whole_vocabulary(spark, odd_rows, library, vocabulary):
+    """Words whose first character has no piece with a mark, and characters without a piece, by the model's own pieces."""
+    rows = [*odd_rows, (201, "2023"), (202, "1,000"), (203, "中文"), (204, "Ελλάδα"), (205, "▁ ▁▁a a▁b"), (206, "😀😀 x😀"), (207, "7 " * 300), (208, "漢字" * 500)]
+    pieces = {library.id_to_piece(i) for i in range(library.get_piece_size()) if not (library.is_control(i) or library.is_unknown(i) or library.is_byte(i))}
+    expected = []
+    for i, text in rows:
+        words = (text or "").encode().split()
+        expected.append((i, len(words), sum(spelt("▁" + w.decode(), pieces, True) for w in words), 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in piece_counts.token_counts(docs, vocabulary(PIECES)).collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+    counts = {i: n for i, _, n, _ in got}
+    assert [counts[k] for k in (201, 202, 203, 204)] == [5, 6, 3, 7] and counts[208] == 2001  # 漢 is three bytes, 字 a piece
+
+
 def check_packing(rows, capacity):
     """Each piece once, sequences gapless and within the capacity."""
     by = {}
