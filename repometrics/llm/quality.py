@@ -8,7 +8,10 @@ documents sends one sketch from each task.
 
 For a measure that is bad when high, the limit is
 ``median + spread * max(median - lower quartile, least)``; only the better half of
-a group sets it, so it holds while up to half of the group is bad.  A
+a group sets it, so it holds while up to half of the group is bad.  A share
+is mostly near zero, where that distance says nothing: its limit is ``median +
+spread * max(upper quartile - median, least)``, but goes no more than ``REACH`` of the way from
+the median to the most that the share can be, so it can reject in every group.  A
 group of n documents gets the mean of its own limit (weight n) and of its
 language's (weight ``prior``), which in turn leans on the limit over all, so few
 documents never make a limit of their own.  Limits and documents are then joined.
@@ -29,9 +32,13 @@ from .common import SPACES, text_of
 MEASURES = {
     "symbols_per_word": 0.02,
     "mean_word_chars": 0.25,
-    "dup_line_share": 0.1,
-    "repeat_word_share": 0.1,
+    "dup_line_share": 0.03,
+    "repeat_word_share": 0.03,
 }
+#: Measures that are shares, each with the most it can be where the base rule passes.
+SHARES = {"dup_line_share": 1.0, "repeat_word_share": 0.5}
+#: How far from the median to the most a limit of a share may go.
+REACH = 0.75
 
 
 def words_of(text: Column) -> Column:
@@ -92,7 +99,9 @@ def limits(rows: DataFrame, spread: float, prior: int) -> DataFrame:
     sketches = settle(sketches)
 
     def of(sketch: str, measure: str) -> Column:
-        low, mid = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.5))
+        low, mid, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.5, 0.75))
+        if measure in SHARES:
+            return mid + F.least(spread * F.greatest(high - mid, F.lit(MEASURES[measure])), REACH * (SHARES[measure] - mid))
         return mid + spread * F.greatest(mid - low, F.lit(MEASURES[measure]))
 
     merged = [F.kll_merge_agg_double(m).alias(m) for m in MEASURES]

@@ -42,6 +42,39 @@ def test_limits_follow_each_source(spark):
     assert all(v for k, v in got.items() if k < 1200)
 
 
+def above(row):
+    return [m for m in quality.MEASURES if row[m] > row[f"{m}_limit"]]
+
+
+def test_each_measure_rejects_by_itself(spark):
+    """One text for each measure that no other measure rejects."""
+    lines = lambda i: "\n".join(" ".join(f"w{i}x{k}y{j}" for j in range(10)) for k in range(8))
+    rows = [(i, lines(i), "en", "tidy") for i in range(300)]
+    phrases = lambda n: " ".join(["a b c d e"] * (n // 5) + [f"q{k}" for k in range(100 - n)])
+    planted = {
+        2000: ("symbols_per_word", " ".join(f"p{k}###" for k in range(100))), 2001: ("mean_word_chars", " ".join(f"p{k}" + "x" * 20 for k in range(100))),
+        2002: ("dup_line_share", "\n".join(f"x\nx\np{k}" for k in range(40))), 2003: ("repeat_word_share", phrases(45)),
+    }
+    rows += [(i, t, "en", "tidy") for i, (_, t) in planted.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality.judge(docs).collect()}
+    for i, (measure, _) in planted.items():
+        assert above(got[i]) == [measure] and not got[i].base_failed and not got[i].kept, (measure, got[i])
+    assert all(got[i].kept for i in range(300))
+    assert all(r.repeat_word_share_limit < 0.5 and r.dup_line_share_limit < 1 for r in got.values())
+
+
+def test_limits_of_shares_follow_the_source(spark):
+    """Half of all lines repeated: kept where that is usual, rejected where it isn't."""
+    text = lambda i, n: "\n".join([x for k in range(n) for x in ("x", f"a{i}b{k}")] + [f"c{i}d{k}" for k in range(100 - 2 * n)])
+    rows = [(i, text(i, 0), "en", "tidy") for i in range(300)] + [(1000 + i, text(i, 30 + i % 20), "en", "lists") for i in range(300)]
+    rows += [(2000, text(9999, 48), "en", "tidy"), (2001, text(9999, 48), "en", "lists")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality.judge(docs).collect()}
+    assert not got[2000].kept and above(got[2000]) == ["dup_line_share"] and got[2001].kept
+    assert all(r.kept for k, r in got.items() if k < 2000)
+
+
 def test_keep_returns_the_rows(odd_docs):
     kept = quality.keep(odd_docs)
     good = {r.doc_id for r in quality.judge(odd_docs).filter("kept").collect()}
