@@ -1,13 +1,12 @@
-"""Operator 5: near copies by Jaccard similarity of word n-grams, with a MinHash LSH forest.
+"""Operator 5: near copies by Jaccard similarity of word n-grams, with MinHash LSH.
 
 A text is the set of its ``size``-word shingles (hashes of 64 bits); a text of fewer
 words has one shingle, all its words.  Texts with equal sets, the empty one
 included, are copies and become one node.
 
-Each of ``trees`` prefix tries holds a label of minimum hashes for each node.
-Matching starts with whole labels of ``length`` and shortens the prefix until two nodes at the
-threshold would meet in some trie with the target recall (``depth``).
-Nodes below one prefix are linked to the least of them, not to each other,
+Plain banding: each node has ``trees`` bands of minimum hashes.  A band is as long, up to ``length``, as
+it may be for two nodes at the threshold to meet in some band with the target recall (``depth``).
+Nodes with an equal band are linked to the least of them, not to each other,
 and the connected parts of that graph are the candidates.
 
 Candidates are verified exactly, inside numpy, on the counts of shared
@@ -41,7 +40,7 @@ CHUNK = 3_000_000
 
 
 def depth(threshold: float, trees: int, length: int, recall: float) -> int:
-    """The longest prefix by which enough pairs at the threshold meet in at least one trie."""
+    """The longest band by which enough pairs at the threshold meet in at least one of ``trees``."""
     size = length
     while size > 1 and 1 - (1 - threshold**size) ** trees < recall:
         size -= 1
@@ -80,7 +79,7 @@ def set_key(hashes: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, size: int, trees: int, prefix: int) -> DataFrame:
-    """``doc_id, text_key, node`` (key of the shingle set) ``, labels``: for each trie, a hash of the label's prefix."""
+    """``doc_id, text_key, node`` (key of the shingle set) ``, labels``: a hash of each band."""
     salt = np.random.default_rng(7).integers(1, 2**63, (trees, prefix), dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
