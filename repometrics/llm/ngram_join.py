@@ -12,7 +12,8 @@ and the connected parts of that graph are the candidates.
 Candidates are verified exactly, inside numpy, on the counts of shared
 shingles.  Small parts fill a bin together; a part of more than ``most`` nodes is cut
 into slices, and each pair of slices is a group by itself, so no group grows with
-the part and no pair is a row.  Every pair of a part is compared.
+the part and no pair is a row.  Every pair of a part is compared, and no pair of two
+parts, so the links of a node don't depend on what else is in its bin.
 
 Result: one row for each document: ``class_id`` (least ``doc_id`` connected
 by links), ``n_links`` (other documents at the threshold or above, copies
@@ -138,8 +139,8 @@ def shared_counts(sets: list[np.ndarray], common: int = 48) -> np.ndarray:
 def _verify(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         rows = {}
-        for node, copies, side, data in zip(*(table.column(c).to_pylist() for c in ("node", "copies", "side", "shingles")), strict=True):
-            rows[node] = (copies, side, np.frombuffer(data, "<u8"))
+        for node, copies, side, label, data in zip(*(table.column(c).to_pylist() for c in ("node", "copies", "side", "label", "shingles")), strict=True):
+            rows[node] = (copies, side, np.frombuffer(data, "<u8"), label)
         nodes = sorted(rows)
         copies = np.asarray([rows[x][0] for x in nodes], np.int64)
         side = np.asarray([rows[x][1] for x in nodes])
@@ -148,6 +149,9 @@ def _verify(threshold: float):
         near = both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-9
         np.fill_diagonal(near, False)
         near &= both > 0
+        # parts that share a bin
+        _, part = np.unique(np.asarray([rows[x][3].hex() for x in nodes]), return_inverse=True)
+        near &= part[:, None] == part[None, :]
         if side.max() > 0:
             # two slices of a large part: the pairs between them only
             near &= side[:, None] != side[None, :]
@@ -187,7 +191,7 @@ def classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, trees: int =
     dealt = parts.join(counts, "label").withColumn("slice", F.pmod(F.xxhash64("node", F.lit(1)), "slices").cast("int"))
     other = F.explode(F.when(F.col("slices") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("slices") - 1)))
     dealt = dealt.withColumn("other", other).select(
-        "node",
+        "node", "label",
         F.when(F.col("slices") == 1, F.pmod(F.xxhash64("label"), F.lit(bins))).otherwise(F.xxhash64("label", F.least("slice", "other"), F.greatest("slice", "other"))).alias("group"),
         F.when(F.col("slices") == 1, F.lit("bin")).otherwise(F.hex("label")).alias("part"),
         # 0: all pairs within one slice; 1 and 2: the two slices whose pairs count

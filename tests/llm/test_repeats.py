@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -156,6 +157,15 @@ def test_near_copies(spark, odd_docs, odd_rows, most):
     assert sorted((tuple(r) for r in got), key=str) == near_by_brute_force(rows)
 
 
+def test_parts_that_share_a_bin_are_not_linked():
+    """Four equal neighbours in two parts: the links are those within each part, however many parts fill the bin."""
+    shared = np.arange(100, dtype="<u8")
+    sets = [np.append(shared, np.uint64(1000 + k)).tobytes() for k in range(4)]
+    rows = {"node": [b"a", b"b", b"c", b"d"], "copies": [1, 2, 3, 4], "side": [0] * 4, "label": [b"a", b"a", b"c", b"c"], "shingles": sets}
+    found = {r["node"]: (r["links"], r["root"]) for r in ngram_join._verify(0.8)(pa.table(rows)).to_pylist()}
+    assert found == {b"a": (2, b"a"), b"b": (1, b"a"), b"c": (4, b"c"), b"d": (3, b"c")}
+
+
 def test_keep_one(odd_docs, odd_rows):
     kept = ngram_join.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns
