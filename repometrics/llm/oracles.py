@@ -69,3 +69,36 @@ scores AS (SELECT host, coalesce(sum(p) FILTER (kind = 'trust'), 0) AS t, coales
 SELECT page_id, host, path, rule,
     coalesce(said, CASE WHEN coalesce(d, 0) - coalesce(t, 0) > 1e-9 * (coalesce(d, 0) + coalesce(t, 0)) THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged LEFT JOIN scores USING (host)"""
+
+
+_LEAF = "sha256({} || {})".format(
+    " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars")),
+    "coalesce(strlen({0}) || ':' || {0}, '-')")
+# the checksum of the decimal id, byte by byte and bit by bit
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+    string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384::BIGINT * (c & 1)) END))"""
+
+MERKLE = f"""
+WITH RECURSIVE leaves AS (SELECT doc_id, source, {_LEAF.format('text')} AS leaf, CASE WHEN {_CRC} % 2 = 0
+        THEN {_LEAF.format("replace(text, chr(10), '')")} ELSE {_LEAF.format('text')} END AS other FROM documents),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM leaves),
+low(source, k, pos, n, h) AS (SELECT source, 0, pos, n, leaf FROM placed UNION ALL
+    SELECT source, k + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM low WHERE n > 1 GROUP BY source, k, pos // 3, n),
+subroots AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+high(k, pos, n, h) AS (SELECT 0, pos, n, subroot FROM subroots UNION ALL
+    SELECT k + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM high WHERE n > 1 GROUP BY k, pos // 3, n),
+steps AS (
+    SELECT d.doc_id, 0 AS part, k, coalesce(string_agg(h, '' ORDER BY l.pos) FILTER (l.pos < d.pos // CAST(3 ** k AS BIGINT)), '') AS b,
+        coalesce(string_agg(h, '' ORDER BY l.pos) FILTER (l.pos > d.pos // CAST(3 ** k AS BIGINT)), '') AS a
+    FROM placed d JOIN low l ON l.source IS NOT DISTINCT FROM d.source AND l.n > 1 AND l.pos // 3 = d.pos // CAST(3 ** (k + 1) AS BIGINT) GROUP BY ALL
+    UNION ALL
+    SELECT d.doc_id, 1, k, coalesce(string_agg(h, '' ORDER BY l.pos) FILTER (l.pos < s.pos // CAST(3 ** k AS BIGINT)), ''),
+        coalesce(string_agg(h, '' ORDER BY l.pos) FILTER (l.pos > s.pos // CAST(3 ** k AS BIGINT)), '')
+    FROM placed d JOIN subroots s ON s.source IS NOT DISTINCT FROM d.source
+    JOIN high l ON l.n > 1 AND l.pos // 3 = s.pos // CAST(3 ** (k + 1) AS BIGINT) GROUP BY ALL),
+ways AS (SELECT doc_id, string_agg(b || a, '' ORDER BY part, k) AS proof, list({{'b': b, 'a': a}} ORDER BY part, k) AS way FROM steps GROUP BY doc_id),
+ends AS (SELECT d.doc_id, leaf, subroot, (SELECT h FROM high WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+    list_reduce(list_prepend({{'b': other, 'a': ''}}, coalesce(way, [])), lambda x, y: {{'b': sha256(y.b || x.b || y.a), 'a': ''}}).b AS folded_root
+    FROM placed d JOIN subroots s ON s.source IS NOT DISTINCT FROM d.source LEFT JOIN ways w ON w.doc_id = d.doc_id)
+SELECT *, folded_root = root AS verified FROM ends"""

@@ -5,10 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import ngram_join, oracles, packing, piece_codec, piece_counts, quality, simhash, substring_dedup, suffix_dedup, token_files, url_filter
+from . import merkle, ngram_join, oracles, packing, piece_codec, piece_counts, quality, simhash, substring_dedup, suffix_dedup, token_files, url_filter
 
 
 def vocabulary_path(name: str) -> str:
@@ -72,6 +72,12 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_decode(documents(spark, sf_dir), vocabulary_path("piece_bpe_32k.model"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    tampered = F.pmod(F.crc32(docs["doc_id"].cast("string").cast("binary")), F.lit(2)) == 0
+    return merkle.verify(docs, tampered, F.replace(docs["text"], F.lit("\n"), F.lit("")), fanout=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash": op2_simhash,
@@ -83,10 +89,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_piece_codec": op10_piece_codec,
+    "op11_merkle": op11_merkle,
 }
 
 ORACLES: dict[str, str] = {
     "op5_ngram_join": oracles.NGRAM_JOIN,
     "op7_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op8_url_filter": oracles.url_filter(URL_RULES),
+    "op11_merkle": oracles.MERKLE,
 }

@@ -19,6 +19,7 @@ COLUMNS = {
     "op8": "page_id host path rule verdict",
     "op9": "doc_id piece start length ids_crc32 sequence_id offset",
     "op10": "doc_id n_tokens ids_sha256 decoded_sha256",
+    "op11": "doc_id leaf subroot root proof_sha256 folded_root verified",
 }
 
 
