@@ -102,3 +102,28 @@ ends AS (SELECT d.doc_id, leaf, subroot, (SELECT h FROM high WHERE n = 1) AS roo
     list_reduce(list_prepend({{'b': other, 'a': ''}}, coalesce(way, [])), lambda x, y: {{'b': sha256(y.b || x.b || y.a), 'a': ''}}).b AS folded_root
     FROM placed d JOIN subroots s ON s.source IS NOT DISTINCT FROM d.source LEFT JOIN ways w ON w.doc_id = d.doc_id)
 SELECT *, folded_root = root AS verified FROM ends"""
+
+
+COLLOCATIONS = f"""
+WITH pieces AS (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
+worded AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM pieces),
+places AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM worded, range(1, 5) AS s(k) WHERE len(w) >= k),
+counts AS MATERIALIZED (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM places GROUP BY ALL),
+numbers AS (SELECT lang, sum(f) AS n FROM counts WHERE k = 1 GROUP BY lang),
+found AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE k > 1 AND f >= 30),
+inner_ones AS (SELECT lang, a, unnest(flatten(list_transform(range(2, k), lambda m: list_transform(range(1, k - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))))) AS phrase
+    FROM found WHERE k > 2),
+longer AS (SELECT lang, phrase, max(a) AS f FROM inner_ones GROUP BY ALL),
+alone AS (SELECT f.* FROM found f LEFT JOIN longer l USING (lang, phrase) WHERE l.f IS NULL OR 100 * l.f::HUGEINT < 80 * f.a::HUGEINT),
+cuts AS (SELECT lang, phrase, a, k, w, unnest(range(1, k)) AS c FROM alone),
+scored AS (SELECT t.lang, t.phrase, a, c, x.f AS l, y.f AS r, (2000000::HUGEINT * a) // (x.f + y.f) AS score FROM cuts t
+    JOIN counts x ON x.lang = t.lang AND x.phrase = array_to_string(w[1:c], ' ')
+    JOIN counts y ON y.lang = t.lang AND y.phrase = array_to_string(w[c + 1:k], ' ')),
+best AS (SELECT lang, phrase, a, min({{'score': score, 'c': c, 'l': l, 'r': r}}) AS b FROM scored GROUP BY lang, phrase, a),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY b.score DESC, a DESC, phrase) AS rank, phrase, a, b.l AS l, b.r AS r, b.score AS score FROM best)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked JOIN numbers USING (lang) WHERE rank <= 2000"""
+
+EXACT_DEDUP = r"""
+WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS bare FROM documents),
+g AS (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY bare ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY bare) AS group_size, sha256(bare) AS text_sha256 FROM t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g"""

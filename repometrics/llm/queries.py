@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import merkle, ngram_join, oracles, packing, piece_codec, piece_counts, quality, simhash, substring_dedup, suffix_dedup, token_files, url_filter
+from . import collocations, exact_dedup, merkle, ngram_join, oracles, packing, piece_codec, piece_counts, quality, simhash, substring_dedup, suffix_dedup, token_files, url_filter
 
 
 def vocabulary_path(name: str) -> str:
@@ -78,6 +78,14 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(docs, tampered, F.replace(docs["text"], F.lit("\n"), F.lit("")), fanout=3)
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(documents(spark, sf_dir))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir), least=30, inside=80, top=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash": op2_simhash,
@@ -90,6 +98,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_piece_codec": op10_piece_codec,
     "op11_merkle": op11_merkle,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES: dict[str, str] = {
@@ -97,4 +107,6 @@ ORACLES: dict[str, str] = {
     "op7_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op8_url_filter": oracles.url_filter(URL_RULES),
     "op11_merkle": oracles.MERKLE,
+    "op12_exact_dedup": oracles.EXACT_DEDUP,
+    "op13_collocations": oracles.COLLOCATIONS,
 }
