@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repometrics import schemas
+from repometrics.operators.joins import semi_by_ids
+from repometrics.sources.manifest import read_listed
 
 # Quotes are doubled inside quoted fields.
 # A file with several columns of one name is read by position.
@@ -78,13 +80,22 @@ def scan_source_files(
     ids: DataFrame | None = None,
     suffix: str = ".py",
     manifest: DataFrame | None = None,
+    batch_bytes: int = 64_000_000,
 ) -> DataFrame:
     """Source files below ``root``: (repo, path, content), one row per file.
 
     ``path`` is relative to ``root`` and ``repo`` is its first folder.  Bytes
-    that are not UTF-8 become replacement characters.  Spark skips files
-    without bytes; those that ``manifest`` (relative ``path``) names have empty content.
+    that are not UTF-8 become replacement characters.  With a ``manifest``
+    (relative ``path``, ``bytes`` if known; see ``list_source_files``) exactly the files it
+    names are read, in partitions of about ``batch_bytes``, and only those of ``ids`` are opened; a file that is not
+    there has no content.  Without one Spark lists the tree in the driver, and skips files without bytes and names that begin with ``_``.
     """
+    if manifest is not None:
+        named = manifest.filter(F.endswith("path", F.lit(suffix)))
+        if ids is not None:
+            named = semi_by_ids(named.withColumn("repo", _repo_of("path")), ids).drop("repo")
+        found = read_listed(spark, root, named, batch_bytes)
+        return found.select(_repo_of("path").alias("repo"), "path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", f"*{suffix}")
@@ -95,15 +106,9 @@ def scan_source_files(
     # "file:/a", "file:///a" and "/a" name the same folder.
     prefix = "/" + root.split("://")[-1].removeprefix("file:").strip("/") + "/"
     relative = F.get(F.split(F.concat(F.lit("/"), "path"), rf"\Q{prefix}\E", 2), F.lit(1))
-    found = texts.select(relative.alias("path"), "content")
-    if manifest is not None:
-        named = manifest.select("path").filter(F.endswith("path", F.lit(suffix))).distinct()
-        found = found.join(named, "path", "full").withColumn("content", F.coalesce("content", F.lit("")))
-    rows = found.select(
-        F.substring_index("path", "/", 1).try_cast("bigint").alias("repo"), "path", "content"
-    )
-    if ids is None:
-        return rows
-    from repometrics.operators.joins import semi_by_ids
+    rows = texts.select(relative.alias("path"), "content").select(_repo_of("path").alias("repo"), "path", "content")
+    return rows if ids is None else semi_by_ids(rows, ids)
+
 
-    return semi_by_ids(rows, ids)
+def _repo_of(path: str) -> Column:
+    return F.substring_index(path, "/", 1).try_cast("bigint")
