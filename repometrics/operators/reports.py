@@ -129,22 +129,27 @@ def raw_report_rows(reports: DataFrame) -> DataFrame:
     )
 
 
-def import_listing_rows(reports: DataFrame) -> DataFrame:
-    """One row per listed import; a file without imports keeps one row with ''."""
+def import_listing_rows(reports: DataFrame, flag_headings: bool = False) -> DataFrame:
+    """One row per listed import; a file without imports keeps one row with ''.
+
+    A listing should have one heading; the first one names the module.  ``flag_headings`` adds ``several_headings``, so
+    that listings with more can be looked at.
+    """
     lines = F.filter(_lines("stdout"), lambda line: line != "")
     heads = F.filter("_lines", lambda line: line.endswith(":"))
     names = F.transform(F.filter("_lines", lambda line: ~line.endswith(":")), strip)
     head = F.get(heads, F.lit(0))
     module = F.coalesce(strip(F.substr(head, F.lit(1), F.length(head) - 1)), F.lit(""))
     listed = reports.withColumn("_lines", lines).select(
-        "repo", "path", module.alias("module_name"), names.alias("_names")
+        "repo", "path", module.alias("module_name"), names.alias("_names"), (F.size(heads) > 1).alias("several_headings")
     )
+    flags = ["several_headings"] if flag_headings else []
     return listed.select(
-        "repo", "path", "module_name", F.explode_outer("_names").alias("import_name")
+        "repo", "path", "module_name", *flags, F.explode_outer("_names").alias("import_name")
     ).select(
         "repo", "path", "module_name",
         F.coalesce("import_name", F.lit("")).alias("import_name"),
-        (F.col("module_name") == "").alias("parse_error"),
+        (F.col("module_name") == "").alias("parse_error"), *flags,
     )
 
 

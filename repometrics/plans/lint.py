@@ -7,7 +7,7 @@ zeros enter histograms as one weighted row per symbol and group.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, Window
@@ -223,6 +223,24 @@ def density_summary(cells: DataFrame) -> DataFrame:
     return describe_counted(counted.filter(F.col("n") > 0), [])
 
 
+class Results(Mapping):
+    """Frames by name, each built once, when it is first looked up."""
+
+    def __init__(self, builders: Mapping[str, Callable[[], DataFrame]]):
+        self._builders, self._built = dict(builders), {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._builders[name]()
+        return self._built[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
+
+
 def lint_curves(
     cells: DataFrame, caps: Mapping[str, float] | None = None
 ) -> dict[str, Callable[[], DataFrame]]:
@@ -250,18 +268,22 @@ def lint_by_category(
     ds_ids: DataFrame,
     dims: Sequence[str] | None = None,
     cap: float = C.CURVE_CAP,
-) -> dict[str, DataFrame]:
+) -> Mapping[str, DataFrame]:
     """Densities by file category, sizes of deep repositories, curves of both groups.
 
     Deep repositories have sized files in every category; sizes and curves
-    look at those only.
+    look at those only.  A result is built, and its jobs run, when it is first asked for.
     """
-    cells = settle(lint_cells(lint, loc, labels, ds_ids, by_category=True))
-    return {
-        "density": _densities(cells, ["repo", "is_ml_repo", "cat"], dense=False, symbols=None),
-        "density_summary": density_summary(cells),
-        "deep_repos": deep_cells(cells).select("repo").distinct(),
-        "deep_sizes": deep_sizes(cells),
-        "curves_ds": survival_curve_by_category(category_histogram(cells, True), dims, cap),
-        "curves_nonds": survival_curve_by_category(category_histogram(cells, False), dims, cap),
-    }
+
+    @cache
+    def cells() -> DataFrame:
+        return settle(lint_cells(lint, loc, labels, ds_ids, by_category=True))
+
+    return Results({
+        "density": lambda: _densities(cells(), ["repo", "is_ml_repo", "cat"], dense=False, symbols=None),
+        "density_summary": lambda: density_summary(cells()),
+        "deep_repos": lambda: deep_cells(cells()).select("repo").distinct(),
+        "deep_sizes": lambda: deep_sizes(cells()),
+        "curves_ds": lambda: survival_curve_by_category(category_histogram(cells(), True), dims, cap),
+        "curves_nonds": lambda: survival_curve_by_category(category_histogram(cells(), False), dims, cap),
+    })

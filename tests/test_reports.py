@@ -155,3 +155,33 @@ def test_exploded_rows_do_not_repeat_the_report(make):
         physical = df._jdf.queryExecution().executedPlan().toString()
         kept = re.findall(r"Generate [a-z]*explode\(_\w+#\d+\), \[([^\]]*)\]", physical)
         assert kept and not any(re.search(r"_lines|_messages|_blocks|_names|stdout|content", k) for k in kept), physical
+
+
+def test_listings_with_several_headings(make, values):
+    rows = make([(1, "a", "pkg.a:\n  os\npkg.b:\n  re\n", ""), (1, "b", "m:\n  os\n", ""), (1, "c", "", "")], REPORT)
+    assert values(reports.import_listing_rows(rows, flag_headings=True), "path", "module_name", "import_name", "several_headings") == [
+        ("a", "pkg.a", "os", True), ("a", "pkg.a", "re", True), ("b", "m", "os", False), ("c", "", "", False)]
+    assert "several_headings" not in reports.import_listing_rows(rows).columns
+
+
+def test_tags_in_strings_are_no_notes(make, values):
+    """Strings in one line and over several, escapes, quotes in comments; the state ends with the file."""
+    text = [
+        'x = "# TODO a"', "y = '# TODO b' # TODO c", '"""doc', "# TODO d", 'it\'s \\""" # TODO e', '""" # TODO f', "# it's TODO",
+        "z = '''one # TODO g''' # XXX h", r"s = 'it\'s # TODO i'", '# TODO """ j', "t = r'''", "# TODO k''' # FIXME l",
+        r"v = '\\' # TODO m", 'w = "" # TODO n', 'a = """b""" + """', "# TODO o", '"""', "don't # TODO p", "# TODO q",
+    ]
+    files = make([(1, "a", "\n".join(text) + "\n"), (1, "b", '# TODO r\n"""\n'), (1, "c", "# TODO s\n"), (1, "d", '"""\n\n\n# TODO')], "repo bigint, path string, content string")
+    found = textlint.text_lint_rules(files).filter("symbol = 'fixme'")
+    assert values(found, "path", "line", "message") == [
+        ("a", 2, "# TODO c"), ("a", 6, "# TODO f"), ("a", 8, "# XXX h"), ("a", 10, '# TODO """ j'), ("a", 12, "# FIXME l"), ("a", 13, "# TODO m"),
+        ("a", 14, "# TODO n"), ("a", 18, "# TODO p"), ("a", 19, "# TODO q"), ("b", 1, "# TODO r"), ("c", 1, "# TODO s")]
+
+
+def test_long_lines_and_many_strings(make, values):
+    """A line of a million characters of quotes and escapes, and a file of many strings in triple quotes."""
+    long = "x = '" + r"\'a" * 300_000 + "' # TODO end"
+    many = '"""\n# TODO no\n"""\n# TODO yes\n' * 2_000
+    files = make([(1, "a", long), (1, "b", many)], "repo bigint, path string, content string")
+    found = textlint.text_lint_rules(files).filter("symbol = 'fixme'")
+    assert values(found.groupBy("path", "message").count()) == [("a", "# TODO end", 1), ("b", "# TODO yes", 2_000)]
