@@ -10,9 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repometrics.functions import chi2_tail_df1, f_tail_df1, kolmogorov_tail, normal_tail
+from repometrics.functions import chi2_tail_df1, exact_distance_tail, exact_u_tail, f_tail_df1, kolmogorov_tail, normal_tail
 from repometrics.operators.ordering import most_significant_first, running_totals
 
+#: The exact distribution of U takes time in proportion to the square of the pairs.
+EXACT_PAIRS = 20_000
+
 
 def two_group_histogram(df: DataFrame, factor: Column | str, value: Column | str, is_a: Column) -> DataFrame:
     """(factor, x, a, b) from one row per member; missing values are left out."""
@@ -114,7 +117,26 @@ def _with_kruskal(s: DataFrame) -> DataFrame:
     return stat.withColumn("k_pval", chi2_tail_df1("k_stat"))
 
 
-def _with_mann_whitney(s: DataFrame) -> DataFrame:
+def _with_mann_whitney(s: DataFrame, exact_up_to: int = 0) -> DataFrame:
+    asymptotic = _with_normal_tails(s)
+    if not exact_up_to:
+        return asymptotic
+    pairs = F.col("na") * F.col("nb")
+    small = F.col("both") & (F.col("tie_term") == 0) & (F.least("n_a", "n_b") <= exact_up_to) & (pairs <= EXACT_PAIRS)
+
+    def tail(u: Column) -> Column:
+        return exact_u_tail(F.when(small, F.col("n_a")), F.when(small, F.col("n_b")), F.when(small, u))
+
+    above, below = F.col("u_stat"), pairs - F.col("u_stat")
+    either = 2 * tail(F.greatest(above, below))
+    return asymptotic.withColumns({
+        "u_pval": F.coalesce(F.when(either > 1, 1.0).otherwise(either), "u_pval"),
+        "u_pval_less": F.coalesce(tail(below), "u_pval_less"),
+        "u_pval_greater": F.coalesce(tail(above), "u_pval_greater"),
+    })
+
+
+def _with_normal_tails(s: DataFrame) -> DataFrame:
     stat = s.selectExpr(
         "*",
         "CASE WHEN both AND correction > 0D THEN ranks_a - na * (na + 1D) / 2D END AS u_stat",
@@ -153,22 +175,33 @@ def kruskal_h(hist: DataFrame) -> DataFrame:
     return _with_kruskal(_summarise(hist)).select("factor", "k_stat", "k_pval")
 
 
-def mann_whitney_u(hist: DataFrame) -> DataFrame:
-    """Mann-Whitney U of group a, with normal two- and one-sided probabilities."""
-    return _with_mann_whitney(_summarise(hist)).select(
+def mann_whitney_u(hist: DataFrame, exact_up_to: int = 0) -> DataFrame:
+    """Mann-Whitney U of group a, two- and one-sided probabilities.
+
+    Normal ones; exact ones for factors without ties whose smaller group has at most ``exact_up_to`` members and whose groups make
+    at most ``EXACT_PAIRS`` pairs.
+    """
+    return _with_mann_whitney(_summarise(hist), exact_up_to).select(
         "factor", "u_stat", "u_pval", "u_pval_less", "u_pval_greater"
     )
 
 
-def ks_two_sample(hist: DataFrame) -> DataFrame:
-    """Largest distance of the two distribution functions, asymptotic probability."""
+def ks_two_sample(hist: DataFrame, exact_pairs: int = 0) -> DataFrame:
+    """Largest distance of the two distribution functions and its probability.
+
+    Asymptotic; exact for factors whose groups make at most ``exact_pairs`` pairs (with ties that is an upper bound).
+    """
     rows = _summarise(hist).selectExpr("*", "sqrt(try_divide(na * nb, n)) * ks_stat AS t")
-    return rows.select("factor", "n_a", "n_b", "ks_stat", kolmogorov_tail("t").alias("ks_pval"))
+    pval = kolmogorov_tail("t")
+    if exact_pairs:
+        small = F.col("both") & (F.col("na") * F.col("nb") <= exact_pairs)
+        pval = F.coalesce(exact_distance_tail(F.when(small, F.col("n_a")), F.when(small, F.col("n_b")), F.when(small, F.col("ks_stat"))), pval)
+    return rows.select("factor", "n_a", "n_b", "ks_stat", pval.alias("ks_pval"))
 
 
-def significance_table(hist: DataFrame) -> DataFrame:
-    """All tests for every factor in one pass, most significant first."""
-    tested = _with_mann_whitney(_with_kruskal(_with_anova(_summarise(hist))))
+def significance_table(hist: DataFrame, exact_up_to: int = 0) -> DataFrame:
+    """All tests for every factor in one pass, most significant first; ``exact_up_to`` as of ``mann_whitney_u``."""
+    tested = _with_mann_whitney(_with_kruskal(_with_anova(_summarise(hist))), exact_up_to)
     table = tested.selectExpr(
         "factor", *_SUMMARY,
         "f_stat", "f_pval", "k_stat", "k_pval",

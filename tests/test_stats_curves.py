@@ -190,3 +190,77 @@ def test_category_curve(make):
     assert {r.grp for r in out.collect()} == {"ml0", "no-ml-dependency", "test"}
     last = {r.grp: r.survival for r in out.filter("bin = 900").collect()}
     assert last == {"ml0": 0.8, "no-ml-dependency": 0.0, "test": 0.25}
+
+
+def _enumerated(m, n):
+    """Of all orders of two groups: how often each U, and each distance times m * n, comes up."""
+    from collections import Counter
+    from itertools import combinations
+
+    above, apart = Counter(), Counter()
+    for chosen in combinations(range(m + n), m):
+        i = j = u = d = 0
+        for k in range(m + n):
+            if k in chosen:
+                i, u = i + 1, u + j
+            else:
+                j += 1
+            d = max(d, abs(i * n - j * m))
+        above[u] += 1
+        apart[d] += 1
+    return above, apart
+
+
+@pytest.mark.parametrize("m", range(1, 9))
+def test_exact_tails_equal_enumeration(m):
+    from repometrics.functions.exact import distance_tail, u_upper_tails
+
+    for n in range(m, 9 if m < 7 else m + 1):
+        above, apart = _enumerated(m, n)
+        total = sum(above.values())
+        for sizes in ((m, n), (n, m)):
+            tails = u_upper_tails(*sizes)
+            assert all(abs(tails[u] - sum(c for v, c in above.items() if v >= u) / total) < 1e-12 for u in range(m * n + 1))
+            assert all(abs(distance_tail(*sizes, d) - sum(c for v, c in apart.items() if v >= d) / total) < 1e-12 for d in range(m * n + 1))
+
+
+def test_exact_tails_keep_their_digits():
+    """Of two groups of 60 the most extreme order has a probability of 1 / C(120, 60), and twice that either way."""
+    from math import comb
+
+    from repometrics.functions.exact import distance_tail, u_upper_tails
+
+    least = 1 / comb(120, 60)
+    assert abs(u_upper_tails(60, 60)[3600] / least - 1) < 1e-9 and abs(distance_tail(60, 60, 3600) / (2 * least) - 1) < 1e-9
+    assert abs(u_upper_tails(3, 2000)[6000] * comb(2003, 3) - 1) < 1e-9
+
+
+def test_exact_probabilities_of_small_factors(make, values):
+    """Small groups without ties get exact ones; ties, large and one-sided groups keep the others."""
+    rows = [("small", x, k in (0, 3, 4)) for k, x in enumerate((1.0, 2.5, 3.0, 7.0, 8.0, 11.0, 12.5))]
+    rows += [("ties", x, k % 2 == 0) for k, x in enumerate((1.0, 1.0, 2.0, 3.0, 4.0))]
+    rows += [("large", float(k * 37 % 101), k % 2 == 0) for k in range(100)] + [("one", 1.0, True), ("one", 2.0, True)]
+    hist = stats.two_group_histogram(make(rows, "factor string, x double, in_a boolean"), "factor", "x", F.col("in_a"))
+    plain = {r.factor: r for r in stats.mann_whitney_u(hist).collect()}
+    exact = {r.factor: r for r in stats.mann_whitney_u(hist, exact_up_to=8).collect()}
+    assert all(plain[f] == exact[f] for f in ("ties", "large", "one"))
+    above, apart = _enumerated(3, 4)
+    u = int(exact["small"].u_stat)
+    tail = lambda x: sum(c for v, c in above.items() if v >= x) / 35
+    assert [exact["small"][c] for c in ("u_pval", "u_pval_less", "u_pval_greater")] == pytest.approx([min(1, 2 * tail(max(u, 12 - u))), tail(12 - u), tail(u)], abs=1e-12)
+    table = {r.factor: r.u_pval for r in stats.significance_table(hist, exact_up_to=8).collect()}
+    assert table == {f: r.u_pval for f, r in exact.items()}
+    near = {r.factor: r for r in stats.ks_two_sample(hist, exact_pairs=100).collect()}
+    far = {r.factor: r for r in stats.ks_two_sample(hist).collect()}
+    d = round(near["small"].ks_stat * 12)
+    assert near["small"].ks_pval == pytest.approx(sum(c for v, c in apart.items() if v >= d) / 35, abs=1e-12)
+    assert near["large"] == far["large"] and near["one"] == far["one"]
+
+
+def test_ordered_by_probability_beyond_six_places(make):
+    """Strong factors are told apart however small their probabilities."""
+    rows = [(f"f{s}", float(k + (s * 40 if k % 2 else 0)), k % 2 == 0) for s in (1, 2, 3) for k in range(400)]
+    hist = stats.two_group_histogram(make(rows, "factor string, x double, in_a boolean"), "factor", "x", F.col("in_a"))
+    found = stats.significance_table(hist).collect()
+    assert [r.factor for r in found] == ["f3", "f2", "f1"] and all(0 < a.u_pval < b.u_pval for a, b in zip(found, found[1:]))
+    assert found[0].u_pval < 1e-15 and found[1].u_pval < 1e-6
