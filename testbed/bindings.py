@@ -6,18 +6,29 @@ customer = repository, order = file, line item = lint message, block or import.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repometrics.functions import epoch_iso, py_version_label
 from repometrics.operators.aggregates import version_table
 from repometrics.operators.reports import commit_span
+from repometrics.session import scratch_path, settle
+from repometrics.sources.manifest import file_system
 
 DS_SEGMENT = "MACHINERY"
 LIBS = ("blue", "hot", "red", "small")
 TESTS = ("new", "old")
 SYMBOLS = ("AF", "AO", "NF", "NO", "RF", "RO")
 TERMS = ("license", "data", "hesh")
+#: Before and after a word, and where in the line its tag begins if that is in a comment; the lines follow each other.
+QUOTED = (
+    ("x = 1  # TODO ", ""), ('x = "# TODO ', '"'), ("x = '# TODO ", "' # fixme: 'again'"), ('"""# TODO ', ""), ("# XXX ", ""),
+    ("it's \\\"\"\" # TODO ", ""), ('closed """ # XXX ', ""), ("y = '''# TODO ", "''' + \"a'b\"  # TODO \"c"), ("# todo ", ' """ open'), ("z = '\\\\' # XXX '", ""),
+)
 
 
 class Tables:
@@ -148,6 +159,34 @@ class Tables:
             F.col("text").alias("content"),
         )
 
+    def source_tree(self) -> tuple[str, DataFrame]:
+        """The documents as files ``<repo>/[_pkg/]<name>.py`` of a folder, written by tasks; the folder and the paths."""
+        root = scratch_path(self.spark, f"tree-{uuid.uuid4().hex}")
+
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            fs, top = file_system(root)
+            for batch in batches:
+                for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    fs.create_dir(f"{top}/{path.rpartition('/')[0]}", recursive=True)
+                    with fs.open_output_stream(f"{top}/{path}") as file:
+                        file.write(content)
+                yield batch.select(["path"])
+
+        rows = self.raw("documents").select(
+            F.concat(
+                F.substring("source", 4, 10), F.when(F.col("doc_id") % 5 == 0, "/_pkg/__init__").otherwise("/m "),
+                F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 11 == 0, ".txt").otherwise(".py")).alias("path"),
+            F.encode(F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.coalesce("text", F.lit(""))), "UTF-8").alias("content"))
+        return root, settle(rows.mapInArrow(write, "path string"))
+
+    def quoted_source(self) -> DataFrame:
+        """Python files with tags in comments and in strings, one line of each kind for a word of a document."""
+        words = F.slice(F.split("text", "[^A-Za-z]+"), 1, 8)
+        lines = F.array_join(F.flatten(F.transform(words, lambda w: F.transform(
+            F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in QUOTED)), lambda q: F.concat(q["a"], w, q["b"])))), "\n")
+        return self.raw("documents").select(
+            F.substring("source", 4, 10).cast("bigint").alias("repo"), F.col("doc_id").cast("string").alias("path"), lines.alias("content"))
+
     def pages(self) -> DataFrame:
         return self.raw("pages").select(
             F.col("page_id").alias("repo"), F.col("url").alias("path"), F.col("html").alias("content")

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 from repometrics.constants import EXCLUDED_TERMS
-from testbed.bindings import DS_SEGMENT, LIBS, SYMBOLS, TERMS, TESTS
+from testbed.bindings import DS_SEGMENT, LIBS, QUOTED, SYMBOLS, TERMS, TESTS
 
 ORACLES: dict[str, str] = {}
 
@@ -214,6 +214,9 @@ oracle("popular_libraries", "imports", f"""SELECT short AS import_short_name, co
 oracle("column_cardinality", "imports", " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS distinct_values FROM imports"
     for c in ("repo", "path", "module_name", "import_name")))
+oracle("cardinality_sketches", "", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count({c}) AS known, count(DISTINCT {c}) AS exact, true AS within FROM lineitem"
+    for c in ("l_orderkey", "l_partkey", "l_quantity", "l_shipdate", "l_extendedprice")))
 oracle("category_labels", "imports", "SELECT * FROM labelled", LABELLED)
 oracle("label_counts", "imports", "SELECT cat, count(*) AS n FROM labelled GROUP BY cat", LABELLED)
 oracle("test_name_match", "imports", """SELECT DISTINCT path FROM imports
@@ -385,6 +388,10 @@ oracle("nonblank_loc", "", f"""SELECT {SOURCE}, {_nonblank('text')} AS nonblank_
     text IS NULL AS internal_error FROM documents""")
 
 
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
 def _textlint(source: str, longest: int, most: int) -> str:
     return f"""src AS ({source}),
     lines AS (SELECT repo, path, content, closed, unnest(parts) AS txt,
@@ -413,6 +420,12 @@ _docs = f"SELECT {SOURCE}, text AS content FROM documents"
 _pages = "SELECT page_id AS repo, url AS path, html AS content FROM pages"
 oracle("text_lint_rules", "", "SELECT repo, path, CAST(line AS INTEGER) AS line, symbol, message_id, message FROM hits", _textlint(_docs, 100, 1000))
 oracle("text_lint_rules_pages", "", "SELECT repo, CAST(line AS INTEGER) AS line, symbol, message_id FROM hits", _textlint(_pages, 80, 2))
+# the lines of QUOTED with a tag in a comment, numbered from 1, and the comment
+NOTES = ((1, "# TODO ", ""), (3, "# fixme: 'again'", None), (7, "# XXX ", ""), (8, '# TODO "c', None), (9, "# todo ", ' """ open'), (10, "# XXX '", ""))
+oracle("text_lint_strings", "", " UNION ALL ".join(
+    f"SELECT repo, path, CAST({len(QUOTED)} * (k - 1) + {line} AS INTEGER) AS line, " + (f"{_text(before)} || w || {_text(after)}" if after is not None else _text(before)) + " AS message FROM words"
+    for line, before, after in NOTES), f"""words AS (SELECT {SOURCE}, unnest(w[1:8]) AS w, generate_subscripts(w[1:8], 1) AS k
+        FROM (SELECT source, doc_id, regexp_split_to_array(text, '[^A-Za-z]+') AS w FROM documents))""")
 oracle("text_lint_counts", "", """SELECT symbol, count(*) AS messages, count(DISTINCT (repo, path)) AS files
     FROM hits GROUP BY symbol""", _textlint(_docs, 100, 1000))
 
@@ -479,12 +492,23 @@ ORACLES["read_repo_json"] = ORACLES["repo_meta_flatten"]
 ORACLES["repo_meta_full"] = f"""SELECT f.*, number_of_contributors, contributors_capped
     FROM ({ORACLES['repo_meta_flatten']}) f LEFT JOIN ({ORACLES['contributor_count']}) c USING (id)"""
 oracle("write_chunks", "meta", f"SELECT id, label FROM ({_chunks('SELECT * FROM meta', 40)})")
-oracle("read_repo_meta", "meta", """SELECT id, name, CAST(NULL AS VARCHAR) AS url, stars,
-    strftime(created_at, '%Y-%m-%d') AS created_at, watch, 'a "b", c' || chr(10) || name AS description,
-    number_of_contributors FROM meta""")
+oracle("read_repo_meta", "meta", """SELECT id, name, name AS full_name, CAST(NULL AS VARCHAR) AS url, 'h' AS html_url, stars,
+    strftime(created_at, '%Y-%m-%d') AS created_at, strftime(updated_at, '%Y-%m-%d') AS updated_at, strftime(pushed_at, '%Y-%m-%d') AS pushed_at,
+    size, language, forks_count, open_issues_count, watch, 'a "b", c' || chr(10) || name AS description, number_of_contributors FROM meta""")
 oracle("read_result_chunks", "loc ds_ids", """SELECT *, CASE WHEN repo IN (SELECT id FROM ds_ids) THEN 'ds-1'
     ELSE 'nonds-1' END AS chunk FROM loc""")
 oracle("append_rows", "", "SELECT c_custkey AS id FROM customer")
+oracle("append_run", "", f"SELECT CASE WHEN c_mktsegment = '{DS_SEGMENT}' THEN 'ds' ELSE 'nonds' END AS run, c_custkey AS id FROM customer")
+oracle("write_with_probes", "lint", " UNION ALL ".join(
+    f"SELECT '{n}' AS probe, count(*) FILTER ({c}) AS hits, count(*) AS total, {k} AS n FROM lint" for n, c, k in (
+        ("parse_error", "parse_error", "NULL"), ("fatal", "type = 'fatal'", "NULL"), ("no_message", "symbol IS NULL", "NULL"), ("rows read back", "true", "count(*)"))))
+TREE = """tree AS (SELECT CAST(substr(source, 4) AS BIGINT) AS repo, substr(source, 4) || CASE WHEN doc_id % 5 = 0 THEN '/_pkg/__init__' ELSE '/m ' END
+        || doc_id || '.py' AS path, CASE WHEN doc_id % 7 = 0 THEN '' ELSE coalesce(text, '') END AS content FROM documents WHERE doc_id % 11 <> 0)"""
+oracle("scan_source_files", "", "SELECT repo, path, CAST(length(content) AS INTEGER) AS n_chars, md5(content) AS md5 FROM tree", TREE)
+oracle("scan_source_files_of_repos", "", """SELECT repo, count(*) AS files, CAST(sum(length(content)) AS BIGINT) AS n_chars, count(*) FILTER (content = '') AS empty
+    FROM tree WHERE repo IN (SELECT n_nationkey FROM nation WHERE n_nationkey % 3 = 0) GROUP BY repo""", TREE)
+oracle("list_source_files", "", """SELECT path, CAST(strlen(content) AS BIGINT) AS bytes
+    FROM tree WHERE repo IN (SELECT n_nationkey FROM nation WHERE n_nationkey % 3 = 0)""", TREE)
 oracle("write_by_outcome", "", f"""SELECT {OUTCOME} AS outcome, count(*) AS n,
     count(*) FILTER (event_type IN ('click', 'view')) AS named FROM events GROUP BY 1""")
 oracle("read_intermediate", "labels", "SELECT cat, count(*) AS n FROM labels GROUP BY cat")
@@ -499,10 +523,18 @@ oracle("cast_value", "lint", """SELECT repo, path, symbol, CAST(count(*) AS DOUB
     WHERE symbol IS NOT NULL GROUP BY ALL""")
 oracle("enrich_files", "features",
        'SELECT repo, path, "lint_AF", loc, cat, round(complexity, 6) AS complexity FROM features')
+ORACLES["enrich_files_bucketed"] = ORACLES["enrich_files"]
+ORACLES["widen_features"] = ORACLES["lint_pivot"]
+oracle("lint_features", "counts", "SELECT repo, path, string_agg(symbol || '=' || n, ',' ORDER BY symbol) AS lint FROM counts GROUP BY repo, path")
+NUMBERED = 'numbered AS (SELECT symbol, row_number() OVER (ORDER BY symbol) - 1 AS "index", count(*) AS files FROM counts GROUP BY symbol)'
+oracle("feature_index", "counts", "SELECT * FROM numbered", NUMBERED)
+oracle("feature_arrays", "counts", """SELECT repo, path, string_agg(CAST("index" AS VARCHAR), ',' ORDER BY "index") AS indices,
+    string_agg(CAST(n AS VARCHAR), ',' ORDER BY "index") AS values FROM counts JOIN numbered USING (symbol) GROUP BY repo, path""", NUMBERED)
 oracle("attach_repo_profile", "loc profile", """SELECT l.*, p.* EXCLUDE (repo) REPLACE (round(frac_ml, 6) AS frac_ml)
     FROM loc l LEFT JOIN profile p USING (repo)""")
 oracle("feature_table", "features", """SELECT * REPLACE (round(complexity, 6) AS complexity,
     round(frac_ml, 6) AS frac_ml) FROM features""")
+ORACLES["sparse_feature_table"] = ORACLES["feature_table"]
 MELTED = "melted AS (" + " UNION ALL ".join(
     f"SELECT repo, path, cat, loc, is_ml_repo, '{c}' AS variable, round(CAST(\"{c}\" AS DOUBLE), 6) AS value FROM features"
     for c in [f"lint_{s}" for s in SYMBOLS] + ["complexity", "ml0", "no-ml-dependency", "test", "total", "frac_ml"]
@@ -553,28 +585,37 @@ deviates AS (SELECT *, (greatest(u, pairs - u) - pairs / 2 - 0.5) / sd AS z2,
 
 
 def _erfc(z: str) -> str:
-    # 1 - exp(-z^2) * sum z^(2k+1) / gamma(k + 3/2), odd in z
-    return f"""(1 - exp(-({z}) * ({z})) * list_sum(list_transform(range(0, 100),
-        lambda k: pow({z}, 2 * k + 1) / exp(lgamma(k + 1.5)))))"""
+    # 1 - exp(-z^2) * sum z^(2k+1) / gamma(k + 3/2), odd in z; a continued fraction where that would cancel
+    return f"""(CASE WHEN ({z}) < 2 THEN 1 - exp(-({z}) * ({z})) * list_sum(list_transform(range(0, 100),
+        lambda k: pow({z}, 2 * k + 1) / exp(lgamma(k + 1.5))))
+        ELSE exp(-({z}) * ({z})) / sqrt(pi()) / list_reduce(list_prepend(CAST({z} AS DOUBLE), list_transform(range(90, 0, -1), lambda k: k / 2.0)),
+            lambda x, k: ({z}) + k / x) END)"""
+
+
+def _digits(p: str, name: str) -> str:
+    """The decimal logarithm of a probability, six places."""
+    return f"(SELECT CASE WHEN p > 1e-300 THEN round(log10(p), 6) END FROM (SELECT {p} AS p)) AS {name}"
 
 
 def _sf(z: str) -> str:
     return f"(0.5 * {_erfc(f'({z}) / sqrt(2.0)')})"
 
 
-# twice the tail of Student's t by Simpson's rule between 0 and t
-F_TAIL = """(1 - 2 * tt / 6000 * list_sum(list_transform(range(0, 2001), lambda k:
-    CASE WHEN k = 0 OR k = 2000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END
-    * exp(lgamma((df2 + 1) / 2) - lgamma(df2 / 2) - 0.5 * ln(df2 * pi())
-          - (df2 + 1) / 2 * ln(1 + (k * tt / 2000) * (k * tt / 2000) / df2)))))"""
+# twice the tail of Student's t by Simpson's rule: one less what lies between 0 and t, or what lies beyond t = tt + s / (1 - s) / tt
+_DENSITY = "exp(lgamma((df2 + 1) / 2) - lgamma(df2 / 2) - 0.5 * ln(df2 * pi()) - (df2 + 1) / 2 * ln(1 + ({x}) * ({x}) / df2))"
+_WEIGHT = "CASE WHEN k = 0 OR k = 2000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END"
+F_TAIL = f"""CASE WHEN tt < 1 THEN 1 - 2 * tt / 6000 * list_sum(list_transform(range(0, 2001), lambda k:
+        {_WEIGHT} * {_DENSITY.format(x='k * tt / 2000')}))
+    ELSE 2 / tt / 6000 * list_sum(list_transform(range(0, 2000), lambda k:
+        {_WEIGHT} * {_DENSITY.format(x='tt + k / (2000.0 - k) / tt')} / pow(1 - k / 2000.0, 2))) END"""
 K_TAIL = _erfc("sqrt(greatest(h, 0) / 2)")
 
 SUMMARY = """round(ma, 6) AS meana, round(qa, 6) AS meda, round(sa, 6) AS stda,
     round(mb, 6) AS meanb, round(qb, 6) AS medb, round(sb, 6) AS stdb"""
-ANOVA = f"round(f, 6) AS f_stat, round({F_TAIL}, 6) AS f_pval"
-KRUSKAL = f"round(h, 6) AS k_stat, round({K_TAIL}, 6) AS k_pval"
-WHITNEY = f"""round(u, 6) AS u_stat, round(least(1, 2 * {_sf('z2')}), 6) AS u_pval,
-    round({_sf('zl')}, 6) AS u_pval_less, round({_sf('zg')}, 6) AS u_pval_greater"""
+ANOVA = f"round(f, 6) AS f_stat, {_digits(F_TAIL, 'f_pval')}"
+KRUSKAL = f"round(h, 6) AS k_stat, {_digits(K_TAIL, 'k_pval')}"
+U_TWO = f"least(1, 2 * {_sf('z2')})"
+WHITNEY = f"round(u, 6) AS u_stat, {_digits(U_TWO, 'u_pval')}, {_digits(_sf('zl'), 'u_pval_less')}, {_digits(_sf('zg'), 'u_pval_greater')}"
 FULL = f"SELECT b.factor, {SUMMARY}, {ANOVA}, {KRUSKAL}, {WHITNEY} FROM base b LEFT JOIN deviates d USING (factor)"
 for _c in ("ma", "qa", "sa", "mb", "qb", "sb"):
     FULL = FULL.replace(f"round({_c},", f"round(b.{_c},")
@@ -585,8 +626,8 @@ steps AS (SELECT factor, x, a, b, sum(a) OVER w / sum(a) OVER p AS ecdf_a, sum(b
     FROM (SELECT factor, x, count(*) FILTER (in_a) AS a, count(*) FILTER (NOT in_a) AS b FROM members GROUP BY factor, x)
     WINDOW p AS (PARTITION BY factor), w AS (PARTITION BY factor ORDER BY x))"""
 KS = """SELECT factor, CAST(na AS BIGINT) AS n_a, CAST(nb AS BIGINT) AS n_b, round(d, 6) AS ks_stat,
-    round(CASE WHEN t <= 0.05 THEN 1 ELSE greatest(0, least(1, 2 * list_sum(list_transform(range(1, 400),
-        lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * k * k * t * t))))) END, 6) AS ks_pval
+    """ + _digits("""CASE WHEN t <= 0.05 THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(1, 400),
+        lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * k * k * t * t)))) END""", "ks_pval") + """
     FROM (SELECT *, sqrt(CAST(na AS DOUBLE) * nb / (na + nb)) * d AS t
           FROM (SELECT factor, na, nb, max(abs(ecdf_a - ecdf_b)) AS d FROM steps GROUP BY factor, na, nb))"""
 
@@ -600,10 +641,38 @@ oracle("anova_f", "", f"SELECT factor, {ANOVA} FROM deviates", MEASURES + RANKED
 oracle("kruskal_h", "", f"SELECT factor, {KRUSKAL} FROM deviates", MEASURES + RANKED)
 oracle("mann_whitney_u", "", f"SELECT factor, {WHITNEY} FROM deviates", MEASURES + RANKED)
 oracle("ks_two_sample", "", KS, MEASURES + STEPS)
+SMALL = "members AS (SELECT o_custkey AS factor, o_totalprice AS x, o_orderstatus = 'F' AS in_a FROM orders)"
+# every order of two groups, one member after the other: how many there are with i and j members and u pairs
+ORDERS = """,
+sizes AS (SELECT DISTINCT least(na, nb) AS m, greatest(na, nb) AS n FROM tested WHERE ties = 0),
+ways(m, n, i, j, u, w) AS (SELECT m, n, 0, 0, 0, CAST(1 AS DOUBLE) FROM sizes UNION ALL
+    SELECT m, n, i + first, j + 1 - first, u + first * j, sum(w) FROM ways, (VALUES (0), (1)) AS s(first)
+    WHERE (first = 1 AND i < m) OR (first = 0 AND j < n) GROUP BY ALL),
+ends AS (SELECT m, n, u, sum(w) OVER (PARTITION BY m, n ORDER BY u DESC) / sum(w) OVER (PARTITION BY m, n) AS tail FROM ways WHERE i = m AND j = n),
+pvals AS (SELECT factor, u, CASE WHEN h.tail IS NULL THEN """ + U_TWO + """ ELSE least(1, 2 * h.tail) END AS two,
+    coalesce(l.tail, """ + _sf("zl") + """) AS less, coalesce(g.tail, """ + _sf("zg") + """) AS greater
+    FROM (SELECT *, least(na, nb) AS few, greatest(na, nb) AS n2 FROM deviates WHERE na > 0 AND nb > 0) d
+    LEFT JOIN (SELECT m, n, u AS v, tail FROM ends) h ON ties = 0 AND h.m = few AND h.n = n2 AND h.v = greatest(u, pairs - u)
+    LEFT JOIN (SELECT m, n, u AS v, tail FROM ends) l ON ties = 0 AND l.m = few AND l.n = n2 AND l.v = pairs - u
+    LEFT JOIN (SELECT m, n, u AS v, tail FROM ends) g ON ties = 0 AND g.m = few AND g.n = n2 AND g.v = u)"""
+oracle("mann_whitney_u_exact", "", f"""SELECT factor, u AS u_stat, {_digits('two', 'u_pval')}, {_digits('less', 'u_pval_less')}, {_digits('greater', 'u_pval_greater')}
+    FROM pvals""", SMALL + RANKED + ORDERS)
+ORACLES["mann_whitney_u_exact"] = ORACLES["mann_whitney_u_exact"].replace("WITH", "WITH RECURSIVE", 1)
+# paths that stay nearer than the distance found
+PATHS = """,
+apart AS (SELECT factor, na, nb, max(abs(ecdf_a - ecdf_b)) AS d, CAST(round(max(abs(ecdf_a - ecdf_b)) * na * nb) AS BIGINT) AS far
+    FROM steps WHERE na > 0 AND nb > 0 GROUP BY factor, na, nb),
+inside(m, n, far, i, j, w) AS (SELECT DISTINCT na, nb, far, 0, 0, CAST(1 AS DOUBLE) FROM apart UNION ALL
+    SELECT m, n, far, i + first, j + 1 - first, sum(w * CASE WHEN first = 1 THEN m - i ELSE n - j END / (m + n - i - j)) FROM inside, (VALUES (0), (1)) AS s(first)
+    WHERE (first = 1 AND i < m AND abs((i + 1) * n - j * m) < far) OR (first = 0 AND j < n AND abs(i * n - (j + 1) * m) < far) GROUP BY ALL)"""
+oracle("ks_two_sample_exact", "", f"""SELECT factor, CAST(na AS BIGINT) AS n_a, CAST(nb AS BIGINT) AS n_b, round(d, 6) AS ks_stat,
+    {_digits('1 - coalesce(w, 0)', 'ks_pval')}
+    FROM apart LEFT JOIN inside ON i = m AND j = n AND m = na AND n = nb AND inside.far = apart.far""", SMALL + STEPS + PATHS)
+ORACLES["ks_two_sample_exact"] = ORACLES["ks_two_sample_exact"].replace("WITH", "WITH RECURSIVE", 1)
 LINT_MEMBERS = "members AS (SELECT variable AS factor, normval AS x, is_ml_repo AS in_a FROM dense_repo)"
 oracle("significance_table", "dense_repo", FULL, LINT_MEMBERS + RANKED)
 oracle("most_significant_first", "dense_repo",
-       f"SELECT factor, round(least(1, 2 * {_sf('z2')}), 6) AS u_pval FROM base LEFT JOIN deviates USING (factor)",
+       f"SELECT factor, {_digits(U_TWO, 'u_pval')} FROM base LEFT JOIN deviates USING (factor)",
        LINT_MEMBERS + RANKED)
 # The selected data-science ids decide the group, the selected ids of both groups the rows.
 CHOSEN = """ds_chosen AS (SELECT id FROM enriched WHERE id IN (SELECT id FROM ds_ids) AND id <> 858127 AND "select"),

@@ -5,6 +5,7 @@ Doubles are rounded to six places so that two engines can be compared.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -45,7 +46,14 @@ def r6(value: Column | str) -> Column:
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[r6(f"`{n}`").alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes])
+    """Doubles to six places, probabilities to six digits."""
+    return df.select(*[
+        F.col(f"`{n}`") if t != "double" else _digits(n) if "_pval" in n else r6(f"`{n}`").alias(n) for n, t in df.dtypes])
+
+
+def _digits(name: str) -> Column:
+    """The decimal logarithm of a probability: small ones keep six digits."""
+    return F.when(F.col(name) > 1e-300, F.round(F.log10(name), 6)).alias(name)
 
 
 def day(name: str) -> Column:
@@ -81,6 +89,19 @@ def column_cardinality(t):
     return agg.column_cardinality(t.imports(), ["repo", "path", "module_name", "import_name"])
 
 
+@query
+def cardinality_sketches(t):
+    """Sketches per supplier nation, stored, merged; the error bound is four standard errors."""
+    rows = t.raw("lineitem").withColumn("chunk", F.col("l_suppkey") % 10)
+    columns = ["l_orderkey", "l_partkey", "l_quantity", "l_shipdate", "l_extendedprice"]
+    path = scratch_path(t.spark, f"sketches-{uuid.uuid4().hex}")
+    sources.write_table(agg.cardinality_sketches(rows, columns, ["chunk"], precision=14), path)
+    found = agg.sketched_cardinality(sources.read_intermediate(t.spark, path))
+    exact = agg.column_cardinality(rows, columns).withColumnRenamed("distinct_values", "exact")
+    within = F.abs(F.col("distinct_values") - F.col("exact")) <= 4 * 0.83 / 128 * F.col("exact")
+    return found.join(exact, "column").select("column", "known", "exact", within.alias("within"))
+
+
 @query
 def category_labels(t):
     return agg.label_files(t.imports(), LIBS, TESTS, " ")
@@ -490,7 +511,7 @@ def sorted_distinct_repos(t):
 @query
 def most_significant_first(t):
     rows = stats.significance_table(_repo_hist(t))
-    return rows.select("factor", r6("u_pval").alias("u_pval"))
+    return rows.select("factor", _digits("u_pval"))
 
 
 @query
@@ -518,6 +539,13 @@ def text_lint_rules_pages(t):
     return rows.select("repo", "line", "symbol", "message_id")
 
 
+@query
+def text_lint_strings(t):
+    """Tags count in comments, not in strings."""
+    rows = textlint.text_lint_rules(t.quoted_source()).filter("symbol = 'fixme'")
+    return rows.select("repo", "path", "line", "message")
+
+
 @query
 def text_lint_counts(t):
     rows = reshape.lint_counts(textlint.text_lint_rules(t.source()))
@@ -619,7 +647,7 @@ def read_repo_meta(t):
     })
     sources.write_table(meta.select(*columns), path, fmt="csv")
     rows = sources.read_repo_meta(t.spark, path)
-    return rows.select("id", "name", "url", "stars", day("created_at"), "watch", "description", "number_of_contributors")
+    return rows.withColumns({c: day(c) for c in ("created_at", "updated_at", "pushed_at")})
 
 
 @query
@@ -638,6 +666,60 @@ def append_rows(t):
     return sources.read_id_list(t.spark, path)
 
 
+@query
+def append_run(t):
+    """A run that is started twice leaves its rows once."""
+    path = scratch_path(t.spark, f"runs-{uuid.uuid4().hex}")
+    for run, rows in (("ds", t.ds_ids()), ("nonds", t.nonds_ids()), ("ds", t.ds_ids())):
+        sources.append_run(rows, path, run)
+    return t.spark.read.parquet(path).select("run", "id")
+
+
+@query
+def write_with_probes(t):
+    checks = {"parse_error": F.col("parse_error"), "fatal": F.col("type") == "fatal", "no_message": F.col("symbol").isNull(), "rows read back": F.lit(True)}
+    path = scratch_path(t.spark, f"probed-{uuid.uuid4().hex}")
+    probes = sources.write_with_probes(t.lint(), path, checks)
+    again = t.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"))
+    return probes.join(again, F.col("probe") == "rows read back", "left").select("probe", "hits", "total", "n")
+
+
+@query
+def enrich_files_bucketed(t):
+    """``enrich_files`` over tables dealt by (repo, path)."""
+    name = f"b{uuid.uuid4().hex}"
+    sides = [
+        sources.write_bucketed(side, f"{name}_{k}", scratch_path(t.spark, f"{name}-{k}"), buckets=8)
+        for k, side in enumerate((filters.clean_lint_rows(t.lint()), t.loc(), t.labels(), t.cc()))
+    ]
+    wide = reshape.lint_pivot(sides[0], SYMBOLS)
+    rows = joins.enrich_files(wide, sides[1], sides[2], agg.mean_complexity_by_file(sides[3]))
+    return rounded(rows.select("repo", "path", "lint_AF", "loc", "cat", "complexity"))
+
+
+@query
+def scan_source_files(t):
+    root, _ = t.source_tree()
+    rows = sources.scan_source_files(t.spark, root, manifest=sources.list_source_files(t.spark, root), batch_bytes=300_000)
+    return rows.select("repo", "path", F.length("content").alias("n_chars"), F.md5("content").alias("md5"))
+
+
+@query
+def scan_source_files_of_repos(t):
+    """Paths as the tree was written, repositories by id; other files are not opened."""
+    root, paths = t.source_tree()
+    ids = t.raw("nation").select(F.col("n_nationkey").alias("id")).filter("id % 3 = 0")
+    rows = sources.scan_source_files(t.spark, root, ids, manifest=paths)
+    return rows.groupBy("repo").agg(F.count(F.lit(1)).alias("files"), F.sum(F.length("content")).alias("n_chars"), F.count_if(F.col("content") == "").alias("empty"))
+
+
+@query
+def list_source_files(t):
+    root, _ = t.source_tree()
+    ids = t.raw("nation").select(F.col("n_nationkey").alias("id")).filter("id % 3 = 0")
+    return sources.list_source_files(t.spark, root, ids)
+
+
 @query
 def write_by_outcome(t):
     path = scratch_path(t.spark, "outcome")
@@ -704,6 +786,39 @@ def feature_table(t):
     return rounded(reshape.feature_table(t.lint(), t.loc(), t.labels(), t.cc(), t.ds_ids(), SYMBOLS))
 
 
+def _as_text(features):
+    return F.array_join(F.transform(F.map_entries(features), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+
+
+@query
+def lint_features(t):
+    rows = reshape.lint_features(filters.clean_lint_rows(t.lint()))
+    return rows.select("repo", "path", _as_text("lint").alias("lint"))
+
+
+@query
+def widen_features(t):
+    return reshape.widen_features(reshape.lint_features(filters.clean_lint_rows(t.lint())), SYMBOLS)
+
+
+@query
+def feature_index(t):
+    return reshape.feature_index(reshape.lint_features(filters.clean_lint_rows(t.lint())))
+
+
+@query
+def feature_arrays(t):
+    rows = settle(reshape.lint_features(filters.clean_lint_rows(t.lint())))
+    arrays = reshape.feature_arrays(rows, reshape.feature_index(rows))
+    return arrays.select("repo", "path", F.array_join("indices", ",").alias("indices"), F.array_join(F.transform("values", lambda v: v.cast("int")), ",").alias("values"))
+
+
+@query
+def sparse_feature_table(t):
+    sparse = reshape.sparse_feature_table(t.lint(), t.loc(), t.labels(), t.cc(), t.ds_ids())
+    return rounded(reshape.widen_features(sparse, SYMBOLS))
+
+
 @query
 def melt_features(t):
     wide = reshape.feature_table(t.lint(), t.loc(), t.labels(), t.cc(), t.ds_ids(), SYMBOLS)
@@ -803,6 +918,24 @@ def mann_whitney_u(t):
     return rounded(stats.mann_whitney_u(_measures(t)))
 
 
+def _small_groups(t):
+    """Prices of a customer's orders, finished ones against the others: groups of a few, hardly any ties."""
+    rows = t.raw("orders").select(F.col("o_custkey").alias("factor"), F.col("o_totalprice").alias("x"), (F.col("o_orderstatus") == "F").alias("in_a"))
+    return stats.two_group_histogram(rows, "factor", "x", F.col("in_a"))
+
+
+@query
+def mann_whitney_u_exact(t):
+    rows = stats.mann_whitney_u(_small_groups(t), exact_up_to=40).filter("u_stat IS NOT NULL")
+    return rows.select("factor", "u_stat", *[_digits(c) for c in ("u_pval", "u_pval_less", "u_pval_greater")])
+
+
+@query
+def ks_two_sample_exact(t):
+    rows = stats.ks_two_sample(_small_groups(t), exact_pairs=10_000).filter("n_a > 0 AND n_b > 0")
+    return rows.select("factor", "n_a", "n_b", r6("ks_stat").alias("ks_stat"), _digits("ks_pval"))
+
+
 @query
 def significance_table(t):
     return rounded(stats.significance_table(_repo_hist(t)))
