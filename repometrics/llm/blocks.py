@@ -90,7 +90,7 @@ def read_docs(table: pa.Table) -> Docs:
 
 def in_blocks(docs: DataFrame, block_bytes: int, carried: Sequence[str] = ()) -> tuple[DataFrame, int]:
     """``block, doc_id, text`` (bytes), columns carried along as ``_0``, ``_1``, ..., and the number of blocks."""
-    extra = [docs[c].alias(f"_{k}") for k, c in enumerate(carried)]
+    extra = [docs[f"`{c}`"].alias(f"_{k}") for k, c in enumerate(carried)]
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"), *extra)
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))

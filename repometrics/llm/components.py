@@ -11,16 +11,18 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, label``: the least node of each component, for all nodes of ``edges`` (``a``, ``b``).
 
     Each round takes the least label among a node and its neighbours, then
-    the label of that label, so the distance covered doubles.  Every round is written
-    to the checkpoint folder; only the number of changes goes to the driver.
+    the label of that label, so the distance covered doubles.  Each node is its own neighbour, so one grouping gives both
+    its old and its new label.  Every round is written to the checkpoint folder; only whether a label changed goes to the driver.
     """
-    both = settle(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    labels = settle(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
+    ends = edges.select("a", "b").filter("a <> b")
+    pairs = F.explode(F.array(*(F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ("ab", "ba", "aa", "bb"))))
+    both = settle(ends.select(pairs.alias("_")).select("_.*").distinct())
+    labels = settle(both.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "node"))
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"]).select("node", "label", F.least("label", "near").alias("new"))
+        step = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(
+            F.min("label").alias("new"), F.max(F.when(F.col("a") == F.col("b"), F.col("label"))).alias("label"))
         of = labels.select(F.col("node").alias("new"), F.col("label").alias("jump"))
-        step = settle(step.join(of, "new").select("node", "label", F.least("new", "jump").alias("new")))
+        step = settle(step.join(of, "new").select(F.col("a").alias("node"), "label", F.least("new", "jump").alias("new")))
         labels = step.select("node", F.col("new").alias("label"))
-        if not step.filter("new <> label").limit(1).count():
+        if step.filter("new <> label").isEmpty():
             return labels

@@ -32,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import settle
-from .blocks import Docs, RangeHash, mixed
-from .common import text_of, texts
+from .blocks import FACTORS, Docs, mixed
+from .common import SPACES, text_of, texts
 from .components import components
-from .substring_dedup import Windows
+from .substring_dedup import Windows, hashed_words
 
 CHUNK = 3_000_000
+WHITE = SPACES.encode()
 
 
 def depth(threshold: float, trees: int, length: int, recall: float) -> int:
@@ -67,9 +68,11 @@ def shingle_sets(found: list[bytes], size: int) -> list[np.ndarray]:
     out = []
     for k, text in enumerate(found):
         own = windows.one[cuts[k] : cuts[k + 1]]
-        if not len(own) and (words := text.split()):
-            data = np.frombuffer(b" ".join(words), np.uint8)
-            own = RangeHash(data).of(np.asarray([0]), np.asarray([len(data)]))
+        if not len(own) and text.strip(WHITE):
+            # all its words, fewer than a window has
+            words = hashed_words([text], 0)[0]
+            with np.errstate(over="ignore"):
+                own = mixed((words * FACTORS[1, : len(words)]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(words)))
         out.append(np.unique(own))
     return out
 
@@ -136,6 +139,20 @@ def shared_counts(sets: list[np.ndarray], common: int = 48) -> np.ndarray:
     return out
 
 
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of the numbers 0 .. n - 1 that each is connected with by the edges."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def _verify(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         rows = {}
@@ -152,21 +169,16 @@ def _verify(threshold: float):
         # parts that share a bin
         _, part = np.unique(np.asarray([rows[x][3].hex() for x in nodes]), return_inverse=True)
         near &= part[:, None] == part[None, :]
-        if side.max() > 0:
-            # two slices of a large part: the pairs between them only
-            near &= side[:, None] != side[None, :]
-        links = near @ copies
-        root = np.arange(len(nodes))
-        a, b = np.nonzero(np.triu(near))
-        while True:
-            low = np.minimum(root[a], root[b])
-            new = root.copy()
-            np.minimum.at(new, a, low)
-            np.minimum.at(new, b, low)
-            new = new[new]
-            if (new == root).all():
-                break
-            root = new
+        if side.max() == 0:
+            links, root = near @ copies, _roots(len(nodes), *np.nonzero(np.triu(near)))
+        else:
+            # two slices of a large part: the pairs between them only.  What is joined within a slice, its own group
+            # says; here one edge is enough to join two such parts of slices
+            within = side[:, None] == side[None, :]
+            inner = _roots(len(nodes), *np.nonzero(np.triu(near & within)))
+            near &= ~within
+            a, b = np.nonzero(np.triu(near))
+            links, root = near @ copies, np.where(inner == np.arange(len(nodes)), _roots(len(nodes), inner[a], inner[b]), np.arange(len(nodes)))
         return pa.table({"node": pa.array(nodes, pa.binary()), "links": pa.array(links, pa.int64()), "root": pa.array([nodes[r] for r in root.tolist()], pa.binary())})
 
     return run
@@ -175,8 +187,9 @@ def _verify(threshold: float):
 def classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, trees: int = 12, length: int = 8, recall: float = 0.9995, most: int = 1000) -> DataFrame:
     """``doc_id, text_key, class_node, class_id, n_links, n_copies`` of every document."""
     signed = settle(signatures(docs, size, trees, depth(threshold, trees, length, recall)))
-    nodes = settle(signed.groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("labels").alias("labels")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key"))
+    nodes = signed.groupBy("node").agg(first.alias("_first"), F.count(F.lit(1)).alias("copies"), F.first("labels").alias("labels"))
+    nodes = settle(nodes.select("node", F.col("_first.doc_id").alias("doc_id"), F.col("_first.text_key").alias("text_key"), "copies", "labels"))
 
     below = nodes.select("node", F.posexplode("labels").alias("tree", "label"))
     tops = below.groupBy("tree", "label").agg(F.min("node").alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
@@ -199,9 +212,11 @@ def classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, trees: int =
     )
     dealt = settle(dealt)
 
-    wanted = parts.join(nodes.select("node", "doc_id", "copies"), "node").select("node", "copies", F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"))
-    rows = texts(docs).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), F.encode("text", "UTF-8").alias("text"))
-    rows = rows.join(wanted, "_id").select("_id", "text", "node", "copies")
+    # one document of each node: a missing id alone doesn't name one, its text does
+    unknown = F.lit(-(2**63))
+    wanted = parts.join(nodes.select("node", "doc_id", "text_key", "copies"), "node").select("node", "copies", F.coalesce("doc_id", unknown).alias("_id"), F.col("text_key").alias("_key"))
+    rows = texts(docs).select(F.coalesce("doc_id", unknown).alias("_id"), F.xxhash64("text").alias("_key"), F.encode("text", "UTF-8").alias("text"))
+    rows = rows.join(wanted, ["_id", "_key"]).select("_id", "text", "node", "copies")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,7 +251,8 @@ def keep_one(docs: DataFrame, **parameters: float) -> DataFrame:
     """One document of each class, the one with the least ``doc_id``, with all its columns."""
     chosen = classes(docs, **parameters).groupBy("class_node").agg(F.min(F.struct("doc_id", "text_key")).alias("_one"))
     chosen = chosen.select(F.col("_one.doc_id").alias("_id"), F.col("_one.text_key").alias("_key"))
-    here = docs["doc_id"].cast("long").eqNullSafe(chosen["_id"]) & (F.xxhash64(text_of(docs)) == chosen["_key"])
+    rows = docs.select(docs["doc_id"].cast("long").alias("_own"), F.xxhash64(text_of(docs)).alias("_text"), F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"))
     # equal ids and texts: any one of them
     nth = Window.partitionBy("_id", "_key").orderBy("_id")
-    return docs.join(chosen, here).withColumn("_nth", F.row_number().over(nth)).filter("_nth = 1").drop("_id", "_key", "_nth")
+    rows = rows.join(chosen, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key")))
+    return rows.withColumn("_nth", F.row_number().over(nth)).filter("_nth = 1").select("_row.*")

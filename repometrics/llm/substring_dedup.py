@@ -5,7 +5,7 @@ First pass: each block of documents counts its windows in its part of a count-mi
 sketch; merged, a cell tells at least how many blocks hold a window of it.
 Counts are never too low, so a window whose cell is used once occurs once.
 Second pass: only windows of cells used more often are grouped,
-exactly: by 64 bits of hash beside the bits that chose the key range.  The least
+exactly: by 64 bits of hash (of the hashes of its words, each 64 bits) beside the bits that chose the key range.  The least
 ``doc_id`` of a group decides; each word covered by a window that starts in a
 document with a smaller ``doc_id`` is removed.
 
@@ -22,26 +22,37 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .blocks import ANSWER, FACTORS, FRAGMENT, Cells, Docs, RangeHash, answers, cells_of, fragments, id_type, in_blocks, merge_sketches, mixed, read_docs, sketch_rows, to_table
+from .blocks import ANSWER, FACTORS, FRAGMENT, Cells, Docs, answers, cells_of, fragments, id_type, in_blocks, merge_sketches, mixed, read_docs, sketch_rows, to_table
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+class Numbers(dict):
+    """Numbers words in the order they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def hashed_words(texts: list[bytes], seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """64 bits of hash of every word, and how many words each text has; a distinct word is hashed once."""
+    numbers, found = Numbers(), []
+    for text in texts:
+        words = text.split()
+        found.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in numbers), np.uint64, len(numbers))
+    return hashes[np.concatenate(found)] if len(numbers) else hashes, np.asarray([len(x) for x in found], np.int64)
 
 
 class Windows:
     """All windows of a block's documents."""
 
-    def __init__(self, docs: Docs, size: int):
-        data = np.frombuffer(b" ".join([*docs.texts, b""]), np.uint8)
-        inside = ~_SPACE[data]
-        edge = np.diff(np.concatenate(([False], inside, [False])).view(np.int8))
-        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        words = RangeHash(data).of(start, end)
-        lengths = np.asarray([len(t) + 1 for t in docs.texts], np.int64)
+    def __init__(self, docs: Docs, size: int, seed: int = 0):
+        words, lengths = hashed_words(docs.texts, seed)
         #: index of a document's first word, and one more
-        self.first = np.searchsorted(start, np.concatenate(([0], np.cumsum(lengths))))
+        self.first = np.concatenate(([0], np.cumsum(lengths)))
         n = max(0, len(words) - size + 1)
         one, two = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
         for k in range(size):
@@ -91,8 +102,8 @@ def _lesser(table: pa.Table) -> pa.Table:
     )
 
 
-def remove_repeats(docs: DataFrame, size: int = 13, block_bytes: int = 8_000_000, carried: Sequence[str] | None = None) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_sha256``.
+def remove_repeats(docs: DataFrame, size: int = 13, block_bytes: int = 8_000_000, carried: Sequence[str] | None = None, seed: int = 0) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept_sha256``. ``seed``: of the words' hashes; a secret one where words may be chosen to collide.
 
     With names of columns to carry along also these, as ``_0``, ``_1``, ..., and the
     ``kept`` text: words joined by one space, or the text itself if nothing is removed.
@@ -101,14 +112,14 @@ def remove_repeats(docs: DataFrame, size: int = 13, block_bytes: int = 8_000_000
     parts = -(-blocks // 2)
 
     def sketch(table: pa.Table) -> pa.Table:
-        windows = Windows(read_docs(table), size)
+        windows = Windows(read_docs(table), size, seed)
         return to_table(sketch_rows(table.column("block")[0].as_py(), cells_of(windows.one, parts)))
 
     def candidates(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return to_table([])
         found = read_docs(left)
-        windows = Windows(found, size)
+        windows = Windows(found, size, seed)
         groups = Groups(windows, own := cells_of(windows.one, parts), parts, np.frombuffer(answers(right, 0), np.uint8))
         ids = found.ids[groups.doc[groups.sent]]
         kind = id_type(ids)
@@ -122,7 +133,7 @@ def remove_repeats(docs: DataFrame, size: int = 13, block_bytes: int = 8_000_000
 
     def finish(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         found = read_docs(left) if left.num_rows else Docs(np.zeros(0, np.int64), [])
-        windows = Windows(found, size)
+        windows = Windows(found, size, seed)
         groups = Groups(windows, cells_of(windows.one, parts), parts, np.frombuffer(answers(right, 0), np.uint8))
         lesser = np.zeros(len(groups.hashes), bool)
         lesser[groups.sent] = np.frombuffer(answers(right, 1), np.uint8) > 0

@@ -190,3 +190,78 @@ def test_components(spark):
     chain = [(k, k + 1) for k in range(30)] + [(100, 101), (102, 101), (7, 7), (200, 201), (201, 202), (202, 200)]
     got = dict(components.components(spark.createDataFrame(chain, "a long, b long")).collect())
     assert got == {**{k: 0 for k in range(31)}, 100: 100, 101: 100, 102: 100, 200: 200, 201: 200, 202: 200}
+
+
+def parity_words():
+    """Two words that a polynomial hash modulo a power of two cannot tell apart."""
+    bits = [k.bit_count() % 2 for k in range(1024)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_made_to_collide(spark):
+    a, b = parity_words()
+    rest = " ".join(f"w{k}" for k in range(12))
+    docs = spark.createDataFrame([(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, a), (4, b), (5, f"{a} {rest}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(docs).collect()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 13}
+    assert {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in ngram_join.near_copies(docs).collect()} == {1: (1, 2, 2), 2: (1, 2, 1), 3: (3, 0, 1), 4: (4, 0, 1), 5: (1, 2, 2)}
+
+
+def test_hashed_words():
+    texts = [b"a b\ta \xc3\xa9\n", b"", b" \n", b"b\x1cb b"]
+    hashes, lengths = substring_dedup.hashed_words(texts, 0)
+    words = [w for t in texts for w in t.split()]
+    assert lengths.tolist() == [4, 0, 0, 2] and len(hashes) == 6
+    assert all((hashes[i] == hashes[k]) == (words[i] == words[k]) for i in range(6) for k in range(6))
+    assert (substring_dedup.hashed_words(texts, 1)[0] != hashes).all()
+
+
+def joined_edges(n, most):
+    """Edges that verification sends on, of one family of ``n`` texts dealt into slices."""
+    shared = np.arange(200, dtype="<u8")
+    nodes = [f"{k:05}".encode() for k in range(n)]
+    sets = [np.append(shared, np.uint64(1000 + k)).tobytes() for k in range(n)]
+    slices, edges, links = range(-(-n // most)), [], Counter()
+    for s in slices:
+        for t in slices[s:]:
+            rows = [(x, 1 if s != t and k % len(slices) == s else 2 if s != t else 0, d) for k, (x, d) in enumerate(zip(nodes, sets)) if k % len(slices) in (s, t)]
+            table = pa.table({"node": [x for x, _, _ in rows], "copies": [1] * len(rows), "side": [k for _, k, _ in rows], "label": [b"p"] * len(rows), "shingles": [d for _, _, d in rows]})
+            for r in ngram_join._verify(0.8)(table).to_pylist():
+                links[r["node"]] += r["links"]
+                if r["node"] != r["root"]:
+                    edges.append((r["node"], r["root"]))
+    assert set(links.values()) == {n - 1}
+    return nodes, edges
+
+
+def test_edges_grow_with_the_nodes():
+    """Twice the nodes, and four times the pairs of slices: about twice the edges, and still one class."""
+    found = {}
+    for n in (200, 400, 800):
+        nodes, edges = joined_edges(n, 50)
+        root = {x: x for x in nodes}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            root[find(a)] = find(b)
+        assert len({find(x) for x in nodes}) == 1
+        found[n] = len(edges)
+    assert all(found[n] <= n + (n // 50) ** 2 for n in found) and found[800] < 2.6 * found[400]
+
+
+def test_rows_without_an_id_meet_by_their_text(spark):
+    """Many texts without an id: each is found by its text, and near ones are linked."""
+    base = [f"w{k}" for k in range(60)]
+    rows = [(None, " ".join(["x%d" % k, *base])) for k in range(40)] + [(None, f"alone {k} of these words here") for k in range(40)] + [(7, " ".join(base))]
+    got = ngram_join.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((tuple(r) for r in got), key=str) == near_by_brute_force(rows)
+
+
+def test_clashing_and_dotted_columns(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, text, 1, 2, 3, 4, 5), (2, text, 1, 2, 3, 4, 6)], "doc_id long, text string, _id int, _key int, _nth int, `a.b` int, _row int")
+    assert [tuple(r) for r in ngram_join.keep_one(docs).collect()] == [(1, text, 1, 2, 3, 4, 5)] and ngram_join.keep_one(docs).columns == docs.columns
+    assert sorted(map(tuple, substring_dedup.clean(docs).collect())) == [(1, text, 1, 2, 3, 4, 5), (2, "", 1, 2, 3, 4, 6)]
