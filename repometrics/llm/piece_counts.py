@@ -103,12 +103,6 @@ def model_pieces(model: str) -> tuple[list[str], bool]:
     return pieces, sum(map(lib.is_byte, range(lib.get_piece_size()))) == 256
 
 
-def marked_vocabulary(model: str, mark: str = MARK) -> tuple[list[str], list[str]]:
-    """Pieces after one word mark, and pieces without; not all that a model can spell, see ``model_pieces``."""
-    pieces, _ = model_pieces(model)
-    return [p[1:] for p in pieces if p.startswith(mark) and mark not in p[1:] and p != mark], [p for p in pieces if mark not in p]
-
-
 def marked_automaton(model: str, mark: str = MARK) -> LongestMatch:
     """Matches words that have the mark before them, by all pieces of a model."""
     pieces, by_bytes = model_pieces(model)
