@@ -103,6 +103,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_quality_rules": oracles.quality_rules(quality.MEASURES, quality.SHARES, quality.REACH, quality.GAMMA),
+    "op4_suffix_dedup": oracles.SUFFIX_DEDUP,
     "op5_ngram_join": oracles.NGRAM_JOIN,
     "op7_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op8_url_filter": oracles.url_filter(URL_RULES),
