@@ -1,9 +1,11 @@
 """Operator 1: quality rules with thresholds that adapt to language and source.
 
 Every measure of a text is made of built-in array and string functions, in
-the row itself.  The thresholds come from KLL quantile sketches: one for each
+the row itself.  The thresholds come from quantile sketches: one for each
 measure, language and source, merged into one for each language and one over all.
-Sketches are built before rows are shuffled, so a source with a third of all
+A sketch counts values in buckets whose bounds grow by a fixed ratio, so a quantile is within ``ACCURACY`` of the
+true one (relative).  Sketches merge by adding counts: limits and verdicts don't depend on how rows lie
+in partitions, on order or on repeated tasks.  They are built before rows are shuffled, so a source with a third of all
 documents sends one sketch from each task.
 
 For a measure that is bad when high, the limit is
@@ -23,6 +25,8 @@ An empty table has no rows.  Other columns are kept out of the result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import settle
@@ -35,6 +39,10 @@ MEASURES = {
     "dup_line_share": 0.03,
     "repeat_word_share": 0.03,
 }
+#: Relative error of a quantile, the ratio of a bucket's bounds, and the bucket of zero.
+ACCURACY = 0.005
+GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
+ZERO = -(2**31)
 #: Measures that are shares, each with the most it can be where the base rule passes.
 SHARES = {"dup_line_share": 1.0, "repeat_word_share": 0.5}
 #: How far from the median to the most a limit of a share may go.
@@ -93,33 +101,61 @@ def _shares(rows: DataFrame) -> DataFrame:
     })
 
 
+def bucket_of(value: Column) -> Column:
+    """Number of the sketch's bucket that holds a value: its logarithm to the base ``GAMMA``, rounded up."""
+    return F.when(value > 0, F.ceil(F.log(value) / math.log(GAMMA)).cast("int")).otherwise(ZERO)
+
+
+def value_of(bucket: Column) -> Column:
+    """The value within ``ACCURACY`` of all that a bucket holds."""
+    return F.when(bucket == ZERO, 0.0).otherwise(2 * F.pow(F.lit(GAMMA), bucket) / (GAMMA + 1))
+
+
+def sketches(rows: DataFrame) -> DataFrame:
+    """``lang, source, measure, bucket, n``: a quantile sketch of each measure of each group, a row for each bucket in use."""
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), bucket_of(F.col(m)).alias("bucket")) for m in MEASURES)))
+    return rows.select("lang", "source", each.alias("_")).groupBy("lang", "source", "_.measure", "_.bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _limits(buckets: DataFrame, keys: list[str], spread: float) -> DataFrame:
+    """``keys``, ``measure, n, limit`` from merged sketches: buckets add up, in any order, to the same counts."""
+    merged = buckets.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
+    # at most some thousand buckets, however many rows
+    merged = merged.groupBy(*keys, "measure").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("_buckets"))
+
+    def quantile(q: float) -> Column:
+        rank = F.floor(q * (F.col("n") - 1))
+        start = F.struct(F.lit(0).cast("long").alias("before"), F.lit(None).cast("int").alias("bucket"))
+        return value_of(F.aggregate("_buckets", start, lambda s, b: F.struct(
+            (s["before"] + b["n"]).alias("before"), F.coalesce(s["bucket"], F.when(s["before"] + b["n"] > rank, b["bucket"])).alias("bucket")), lambda s: s["bucket"]))
+
+    merged = merged.select(*keys, "measure", "n", *(quantile(q).alias(c) for c, q in (("low", 0.25), ("mid", 0.5), ("high", 0.75))))
+    limit = F.lit(None).cast("double")
+    for m, least in MEASURES.items():
+        if m in SHARES:
+            own = F.col("mid") + F.least(spread * F.greatest(F.col("high") - F.col("mid"), F.lit(least)), REACH * (SHARES[m] - F.col("mid")))
+        else:
+            own = F.col("mid") + spread * F.greatest(F.col("mid") - F.col("low"), F.lit(least))
+        limit = F.when(F.col("measure") == m, own).otherwise(limit)
+    return merged.select(*keys, "measure", "n", limit.alias("limit"))
+
+
 def limits(rows: DataFrame, spread: float, prior: int) -> DataFrame:
     """``lang, source`` and a limit for each measure, from rows that pass the base rule."""
-    sketches = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(m).alias(m) for m in MEASURES))
-    sketches = settle(sketches)
-
-    def of(sketch: str, measure: str) -> Column:
-        low, mid, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.5, 0.75))
-        if measure in SHARES:
-            return mid + F.least(spread * F.greatest(high - mid, F.lit(MEASURES[measure])), REACH * (SHARES[measure] - mid))
-        return mid + spread * F.greatest(mid - low, F.lit(MEASURES[measure]))
-
-    merged = [F.kll_merge_agg_double(m).alias(m) for m in MEASURES]
-    by_lang = sketches.groupBy("lang").agg(F.sum("n").alias("n_lang"), *merged)
-    by_lang = by_lang.select("lang", "n_lang", *(of(m, m).alias(f"{m}_lang") for m in MEASURES))
-    # one row: a number for each measure
-    over_all = sketches.agg(F.sum("n").alias("n"), *merged).filter("n > 0").select(*(of(m, m).alias(m) for m in MEASURES)).first()
-    if over_all is None:
-        return sketches.select("lang", "source", *(F.lit(None).cast("double").alias(f"{m}_limit") for m in MEASURES))
-    own = sketches.select("lang", "source", "n", *(of(m, m).alias(m) for m in MEASURES))
-    both = own.join(by_lang.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang")))
-
-    def lean(n: str, own: str, wider: Column) -> Column:
-        return (F.col(n) * F.col(own) + prior * wider) / (F.col(n) + prior)
-
-    return both.select("lang", "source", *(
-        lean("n", m, lean("n_lang", f"{m}_lang", F.lit(over_all[m]).cast("double"))).alias(f"{m}_limit") for m in MEASURES
-    ))
+    buckets = settle(sketches(rows))
+    own = _limits(buckets, ["lang", "source"], spread)
+    by_lang = _limits(buckets, ["lang"], spread).select(F.col("lang").alias("_lang"), F.col("measure").alias("_measure"), F.col("n").alias("n_lang"), F.col("limit").alias("limit_lang"))
+    # one number for each measure
+    over_all = F.lit(None).cast("double")
+    for row in _limits(buckets, [], spread).collect():
+        over_all = F.when(F.col("measure") == row["measure"], row["limit"]).otherwise(over_all)
+    both = own.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("measure") == F.col("_measure")))
+
+    def lean(n: str, own: Column, wider: Column) -> Column:
+        return (F.col(n) * own + prior * wider) / (F.col(n) + prior)
+
+    both = both.select("lang", "source", "measure", lean("n", F.col("limit"), lean("n_lang", F.col("limit_lang"), over_all)).alias("limit"))
+    return both.groupBy("lang", "source").agg(*(F.max(F.when(F.col("measure") == m, F.col("limit"))).alias(f"{m}_limit") for m in MEASURES))
 
 
 def judge(docs: DataFrame, spread: float = 8.0, prior: int = 20) -> DataFrame:

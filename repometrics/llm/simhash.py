@@ -6,7 +6,7 @@ the 64 bits; a bit is set if more than half of the weight is for it.  Two bit
 counts share one long, so a text needs 32 sums, built where the words are.
 The likeness of two fingerprints is the share of equal bits.
 
-``near_counts`` finds all fingerprints within a Hamming radius by block
+``near_pairs`` finds all fingerprints within a Hamming radius by block
 tables: 64 bits are cut into ``blocks``, and a table for each choice of
 ``blocks - radius`` of them is keyed by these; two fingerprints within the
 radius agree on at least one table's blocks.  Equal fingerprints are one row there,
@@ -91,8 +91,9 @@ def likeness(a: str, b: str) -> Column:
     return 1 - F.bit_count(F.col(a).bitwiseXOR(F.col(b))) / 64.0
 
 
-def near_counts(prints: DataFrame, queries: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
-    """``fp, n_near``: for each query fingerprint, rows of ``prints`` (``fp``) within the radius, itself included."""
+def near_pairs(prints: DataFrame, queries: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
+    """``fp, other, distance, n``: each distinct query fingerprint with each one of ``prints`` (``fp``) within the radius, itself
+    included, how many bits differ, and how many rows of ``prints`` have the other one."""
     cuts = [64 * i // blocks for i in range(blocks + 1)]
     masks = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:])]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
@@ -108,7 +109,22 @@ def near_counts(prints: DataFrame, queries: DataFrame, radius: int = 3, blocks:
     apart = F.col("fp").bitwiseXOR(F.col("other"))
     first = F.coalesce(*(F.when(apart.bitwiseAND(F.lit(t).cast("long")) == 0, F.lit(i)) for i, t in enumerate(tables)))
     near = (asked["_t"] == every["_t"]) & (asked["_key"] == every["_key"]) & (F.bit_count(apart) <= radius) & (first == asked["_t"])
-    return asked.join(every, near).groupBy("fp").agg(F.sum("n").alias("n_near"))
+    return asked.join(every, near).select("fp", "other", F.bit_count(apart).alias("distance"), "n")
+
+
+def near_counts(prints: DataFrame, queries: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
+    """``fp, n_near``: for each query fingerprint, rows of ``prints`` (``fp``) within the radius, itself included."""
+    return near_pairs(prints, queries, radius, blocks).groupBy("fp").agg(F.sum("n").alias("n_near"))
+
+
+def near_documents(docs: DataFrame, radius: int = 3, blocks: int = 6) -> tuple[DataFrame, DataFrame]:
+    """Which documents have near fingerprints: ``fp, other, distance`` of distinct ones (``fp < other``), and ``doc_id, fp``.
+
+    Documents of one fingerprint are each near to all of its pairs, and to each other at distance 0.
+    """
+    rows = texts(docs).withColumn("_text", F.xxhash64("text"))
+    members = settle(fingerprints(rows, ["doc_id", "_text"]).select("doc_id", "fp"))
+    return near_pairs(members, members, radius, blocks).filter("fp < other").drop("n"), members
 
 
 def compare_with_edited(docs: DataFrame, every: int = 50, radius: int = 3) -> DataFrame:

@@ -6,7 +6,8 @@ at hosts of pages that a rule allows, with the number of those pages, and
 follows the links (personalised PageRank).  Distrust starts at hosts of pages that a
 rule blocks and goes back along the links, to those that link there.  A
 host is blocked if its distrust is above ``margin`` times its trust.
-Mass that reaches a host without links ends there.
+Mass that reaches a host without links ends there.  Propagation goes on until it has converged
+and no further host is reached; the driver sees two numbers every few rounds.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, ``A-Z`` lowered; path:
 from there up to ``?``, ``#`` or the end.  A missing url, or one without
@@ -22,6 +23,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import settle
 
+#: Rounds between two looks at what still moves.
+EACH = 4
+
 
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
@@ -62,25 +66,40 @@ def link_edges(pages: DataFrame) -> DataFrame:
     return rows.filter("source <> '' AND target <> ''").groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int) -> DataFrame:
-    """``kind, host, p``: personalised PageRank after ``rounds`` rounds.
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: float) -> DataFrame:
+    """``kind, host, p``: personalised PageRank, carried on until what moves is at most ``tolerance`` of what the seeds gave.
 
     ``edges``: ``kind, source, target, n``; ``seeds``: ``kind, host, seed``.
+
+    Only what has newly come to a host moves on.  What goes round on a host's links to itself is summed in closed form (a
+    geometric series), so such hosts don't take rounds.  It also goes on while new hosts are reached, however far from
+    a seed.  A round is one join and one grouping; ``EACH`` rounds are one job.
     """
     out = edges.groupBy("kind", "source").agg(F.sum("n").alias("total"))
     edges = settle(edges.join(out, ["kind", "source"]).select("kind", F.col("source").alias("host"), "target", (F.col("n") / F.col("total")).alias("w")))
-    seeds = settle(seeds)
-    start = seeds.select("kind", "host", ((1 - damping) * F.col("seed")).alias("p"))
-    rank = start
-    for k in range(rounds):
-        moved = rank.join(edges, ["kind", "host"]).select("kind", F.col("target").alias("host"), (damping * F.col("p") * F.col("w")).alias("p"))
-        rank = moved.unionByName(start).groupBy("kind", "host").agg(F.sum("p").alias("p"))
-        if k % 4 == 3:
-            rank = settle(rank)
-    return rank
-
-
-def judge_urls(pages: DataFrame, rules: dict[str, str], damping: float = 0.85, rounds: int = 16, margin: float = 1.0) -> DataFrame:
+    stays = edges.filter("host = target").select("kind", "host", (1 / (1 - damping * F.col("w"))).alias("gain"))
+    gained = F.coalesce("gain", F.lit(1.0))
+    moves = edges.filter("host <> target").join(stays.withColumnRenamed("host", "target"), ["kind", "target"], "left")
+    moves = moves.select("kind", "host", "target", (damping * F.col("w") * gained).alias("f"), F.lit(0.0).alias("stay"))
+    state = seeds.join(stays, ["kind", "host"], "left").select("kind", "host", ((1 - damping) * F.col("seed") * gained).alias("p"))
+    # a host keeps its total: a move to itself
+    hosts = moves.select("kind", "host").unionByName(moves.select("kind", F.col("target").alias("host"))).unionByName(state.select("kind", "host")).distinct()
+    moves = settle(moves.unionByName(hosts.select("kind", "host", F.col("host").alias("target"), F.lit(0.0).alias("f"), F.lit(1.0).alias("stay"))))
+    state = settle(state.withColumn("total", F.col("p")))
+    size = F.struct(F.coalesce(F.sum("p"), F.lit(0.0)).alias("p"), F.count(F.lit(1)).alias("hosts"))
+    last = state.agg(size).first()[0]
+    given, reached = last.p, 0
+    while last.p > tolerance * given or last.hosts > reached:
+        reached = last.hosts
+        for _ in range(EACH):
+            step = state.join(moves, ["kind", "host"])
+            state = step.groupBy("kind", F.col("target").alias("host")).agg(F.sum(F.expr("p * f")).alias("p"), F.sum(F.expr("total * stay + p * f")).alias("total"))
+        state = settle(state)
+        last = state.agg(size).first()[0]
+    return state.select("kind", "host", F.col("total").alias("p"))
+
+
+def judge_urls(pages: DataFrame, rules: dict[str, str], damping: float = 0.85, tolerance: float = 1e-9, margin: float = 1.0) -> DataFrame:
     """``page_id, host, path, rule, verdict, trust, distrust`` of every page. ``rules``: rule to ``allow`` or ``block``."""
     url = pages["url"].cast("string")
     rows = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), pages["html"].cast("string").alias("html"))
@@ -95,7 +114,7 @@ def judge_urls(pages: DataFrame, rules: dict[str, str], damping: float = 0.85, r
         links.select(F.col("target").alias("source"), F.col("source").alias("target"), "n", F.lit("distrust").alias("kind")))
     seeds = rows.filter("_said IS NOT NULL AND host <> ''").groupBy(
         F.when(F.col("_said") == "allow", F.lit("trust")).otherwise(F.lit("distrust")).alias("kind"), "host").agg(F.count(F.lit(1)).alias("seed"))
-    rank = propagate(edges, seeds, damping, rounds)
+    rank = propagate(edges, seeds, damping, tolerance)
     scores = settle(rank.groupBy("host").agg(
         F.sum(F.when(F.col("kind") == "trust", F.col("p"))).alias("trust"),
         F.sum(F.when(F.col("kind") == "distrust", F.col("p"))).alias("distrust"),

@@ -1,6 +1,8 @@
 """Quality rules, fingerprints and URL filter against brute force."""
 
 import hashlib
+import math
+import random
 import re
 from collections import Counter
 
@@ -75,6 +77,56 @@ def test_limits_of_shares_follow_the_source(spark):
     assert all(r.kept for k, r in got.items() if k < 2000)
 
 
+def verdicts(rows, spread=8.0, prior=20):
+    """The limits computed anew: buckets, quantiles, leaning on wider groups."""
+    found = []
+    for k, (text, lang, source) in enumerate(rows):
+        n, chars, symbols, dup, rep = measured(text)
+        lines = len([x for x in (text or "").split("\n") if WORD.search(x)])
+        values = {"symbols_per_word": symbols / max(n, 1), "mean_word_chars": chars / max(n, 1), "dup_line_share": dup / max(lines, 1), "repeat_word_share": rep / max(n, 1)}
+        found.append((k, lang, source, values, n < 50 or 100 * rep > 50 * n))
+    held = {}
+    for _, lang, source, values, failed in found:
+        for m, v in values.items():
+            for group in ((lang, source), (lang,), ()):
+                if not failed:
+                    held.setdefault((m, group), []).append(quality.ZERO if v <= 0 else math.ceil(math.log(v) / math.log(quality.GAMMA)))
+
+    def limit(m, group):
+        b = sorted(held[m, group])
+        low, mid, high = (0.0 if (x := b[math.floor(q * (len(b) - 1))]) == quality.ZERO else 2 * quality.GAMMA**x / (quality.GAMMA + 1) for q in (0.25, 0.5, 0.75))
+        if m in quality.SHARES:
+            return mid + min(spread * max(high - mid, quality.MEASURES[m]), quality.REACH * (quality.SHARES[m] - mid)), len(b)
+        return mid + spread * max(mid - low, quality.MEASURES[m]), len(b)
+
+    def kept(lang, source, values):
+        for m, v in values.items():
+            wide = limit(m, ())[0]
+            for group in ((lang,), (lang, source)):
+                own, n = limit(m, group)
+                wide = (n * own + prior * wide) / (n + prior)
+            if v > wide:
+                return False
+        return True
+
+    return {k: not failed and kept(lang, source, values) for k, lang, source, values, failed in found}
+
+
+def test_verdicts_computed_anew_and_in_any_order(spark):
+    """Limits from scratch give the same verdicts; so do other partitions, another order and a second run."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(700):
+        lang, source = rng.choice(["en", "fr", None]), rng.choice(["a", "a", "a", "b", None, "few" if k < 40 else "a"])
+        words = [("x" * rng.randint(1, 12 if source == "b" else 6)) + str(rng.randrange(40 if k % 9 == 0 else 900)) + ("#" * rng.randint(0, 3) if rng.random() < (0.4 if k % 11 == 0 else 0.03) else "") for _ in range(rng.randint(30, 160))]
+        text = "".join(w + rng.choice([" ", " ", " ", "\n"]) for w in words)
+        rows.append((text + ("same line\n" * rng.randint(0, 25) if k % 7 == 0 else ""), lang, source))
+    expected = verdicts(rows)
+    frame = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    runs = [{r.doc_id: r.kept for r in quality.judge(f).collect()} for f in (frame, frame.repartition(5, "text"), frame.orderBy(F.rand(3)).coalesce(1))]
+    assert runs == [expected] * 3 and 20 < sum(expected.values()) < 690
+
+
 def test_keep_returns_the_rows(odd_docs):
     kept = quality.keep(odd_docs)
     good = {r.doc_id for r in quality.judge(odd_docs).filter("kept").collect()}
@@ -144,7 +196,7 @@ URLS = ["http://A.Example.COM/en/1", "https://www.example.com/en/2?x=/en/", "htt
 
 def test_hosts_and_rules(spark):
     pages = spark.createDataFrame([(k, u, None, "x", "y") for k, u in enumerate(URLS)], "page_id long, url string, html string, host string, rule string")
-    got = {r.page_id: r for r in url_filter.judge_urls(pages, URL_RULES, rounds=2).collect()}
+    got = {r.page_id: r for r in url_filter.judge_urls(pages, URL_RULES).collect()}
     for k, url in enumerate(URLS):
         host, path = judged(url)
         fits = [r for r in URL_RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[r.index("/"):])]
@@ -169,7 +221,7 @@ def test_trust_goes_along_links_and_distrust_back(spark):
         for (a, _), n in edges.items():
             out[a] += n
         p = {h: 0.15 * s for h, s in seeds.items()}
-        for _ in range(16):
+        for _ in range(600):
             new = Counter({h: 0.15 * s for h, s in seeds.items()})
             for (a, b), n in edges.items():
                 new[b] += 0.85 * p.get(a, 0) * n / out[a]
@@ -179,3 +231,37 @@ def test_trust_goes_along_links_and_distrust_back(spark):
     trust, distrust = rank(edges, {"good.com": 1}), rank({(b, a): n for (a, b), n in edges.items()}, {"spam.net": 1})
     for r in got.values():
         assert r.trust == pytest.approx(trust.get(r.host, 0)) and r.distrust == pytest.approx(distrust.get(r.host, 0))
+
+
+def test_propagation_has_no_last_round(spark):
+    """A chain of 40 hosts that leads to a blocked one, a ring, and a chain from an allowed one."""
+    link = lambda *targets: "".join(f'<a href="http://{t}/x">' for t in targets)
+    rows = [(k, f"http://h{k}.org/", link(f"h{k + 1}.org" if k < 39 else "spam.net", *([f"h{k}.org"] * (k % 3)))) for k in range(40)]
+    rows += [(100, "http://spam.net/es/", None), (101, "http://good.com/", link("r0.org", "t0.info"))]
+    rows += [(110 + k, f"http://r{k}.org/", link(f"r{(k + 1) % 5}.org")) for k in range(5)]
+    rows += [(200 + k, f"http://t{k}.info/", link(f"t{k + 1}.info")) for k in range(40)]
+    got = {r.page_id: r for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), URL_RULES).collect()}
+    assert [k for k in range(40) if got[k].verdict != "block"] == [] and got[100].verdict == "block"
+    assert all(got[k].verdict == "allow" and got[k].trust > 0 for k in (*range(110, 115), *range(200, 240)))
+    # all around the ring: half of what good.com gives, and the rest as it goes round
+    assert got[110].trust == pytest.approx(0.15 * 0.85 / 2 / (1 - 0.85**5), rel=1e-8)
+
+
+def test_near_documents(spark, odd_docs):
+    """Pairs of fingerprints and their members, against all pairs of documents."""
+    rng = random.Random(12)
+    rows = []
+    for f in range(6):
+        words = [f"f{f}w{rng.randrange(400)}" for _ in range(400)]
+        for k in range(6):
+            rows.append((len(rows), " ".join([*words[: 400 - k], *(f"e{k}x{j}" for j in range(k))])))
+    docs = spark.createDataFrame([*rows, (100, rows[0][1]), (100, rows[0][1]), (None, rows[1][1])], "doc_id long, text string")
+    pairs, members = simhash.near_documents(docs, radius=4, blocks=7)
+    prints = {(r.doc_id, r.fp) for r in members.collect()}
+    assert {d for d, _ in prints} == {*range(36), 100, None}
+    known = sorted({f for _, f in prints})
+    unsigned = lambda x: x % (1 << 64)
+    expected = {(a, b, (unsigned(a) ^ unsigned(b)).bit_count()) for a in known for b in known if a < b and (unsigned(a) ^ unsigned(b)).bit_count() <= 4}
+    assert {tuple(r) for r in pairs.collect()} == expected and len(expected) > 10
+    assert dict(prints)[100] == dict(prints)[0]
+    assert simhash.near_documents(odd_docs.limit(0))[0].count() == 0
