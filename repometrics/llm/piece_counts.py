@@ -12,6 +12,8 @@ against all pieces; the bare mark is a piece as others are.  Where the model has
 256 byte pieces, a character that no piece holds counts as many tokens as it has
 bytes in UTF-8.  A word that the vocabulary cannot spell, which needs a model without
 byte pieces, counts as one token (unknown).  Missing or empty text: no words, no tokens.
+A very long text is counted whole, and very long words aren't remembered.  Repeated rows are counted each for itself; an
+empty table has no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ and no further host is reached; the driver sees two numbers every few rounds.
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, ``A-Z`` lowered; path:
 from there up to ``?``, ``#`` or the end.  A missing url, or one without
 ``://``, has an empty host and path and is allowed.  Missing html has no
-links.  Repeated pages count each for itself.  An empty table has no rows.
+links; html of any length is read whole.  Repeated pages count each for itself.  An empty table has no rows.  Other
+columns are ignored.
 """
 
 from __future__ import annotations
