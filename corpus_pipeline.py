@@ -1,7 +1,10 @@
 """Documents to packed training sequences, stage by stage.
 
 Each stage takes what the one before it kept.  All but the last return the
-columns of documents.
+columns of documents, whatever their names, in their order.
+
+A missing or empty text has no words, so the quality rules reject it; a very long one goes through whole.  Of repeated rows one
+stays.  An empty table has no rows after any stage.
 """
 
 from __future__ import annotations
