@@ -6,9 +6,9 @@ roots of the sources, in ascending order of their names (a missing one first), f
 
 Slot pivot: a level is one grouping by tree and parent.  Conditional aggregates spread the children of a
 parent into ``fanout`` columns.  The columns joined together hash to the parent; without a
-child's own column they are its siblings, those before it and those after it.  On the way down a child's
-path is its siblings and then its parent's path, so a level costs what it has nodes, not documents
-times levels.  Positions come from running totals over ranges, so a source may hold any share of the
+child's own column they are its siblings, those before it and those after it.  Neighbours are dealt in blocks, so one shuffle serves
+``STEP`` levels; a node carries at most ``fanout ** STEP`` nodes with their paths within the block.  On the way down these paths
+are joined with those from the block upwards.  Positions come from running totals over ranges, so a source may hold any share of the
 rows.  Only the number of levels goes to the driver.
 
 A missing value of a leaf counts as ``-``; a text, however long, is hashed in place and not shuffled.  A missing
@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -29,8 +28,9 @@ from ..operators.ordering import running_totals
 from ..session import settle
 
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
-#: Levels after which what a path was built from is written out.
-CUT = 3
+#: Levels that one shuffle serves: nodes are dealt by blocks of ``fanout ** STEP`` neighbours.
+STEP = 4
+PATH = "array<struct<before:string,after:string>>"
 
 
 def digest(*parts: Column) -> Column:
@@ -43,77 +43,67 @@ def leaf_of(values: Sequence[Column]) -> Column:
     return digest(*(F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts))
 
 
-class Tree(NamedTuple):
-    """``levels[k]``: ``tree, height, parent``, ``own_0 ..`` (hashes of the children) and their ``carried_0 ..``."""
+def pivot(nodes: DataFrame, k: int, fanout: int) -> DataFrame:
+    """The level above ``nodes`` (``tree, block, height, pos, hash, members``) of level ``k``, in the same columns.
 
-    levels: list[DataFrame]
-    #: ``tree, height, root``
-    roots: DataFrame
+    A parent's members are those of its children, each path longer by the child's siblings.  The root of
+    a lower tree moves up as it is.
+    """
+    slot = F.pmod("pos", F.lit(fanout))
+    spread = [F.first(F.when(slot == i, F.col(c)), ignorenulls=True).alias(f"{c}_{i}") for i in range(fanout) for c in ("hash", "members")]
+    level = nodes.groupBy("tree", "block", "height", F.floor(F.col("pos") / fanout).cast("long").alias("pos")).agg(*spread)
+    own = [F.coalesce(F.col(f"hash_{i}"), F.lit("")) for i in range(fanout)]
+
+    def longer(i: int) -> Column:
+        # without the own column: the siblings on both sides
+        step = F.array(F.struct(F.concat(F.lit(""), *own[:i]).alias("before"), F.concat(F.lit(""), *own[i + 1:]).alias("after")))
+        return F.transform(F.coalesce(F.col(f"members_{i}"), F.array()), lambda m: F.struct(m["carried"].alias("carried"), F.concat(m["path"], step).alias("path")))
+
+    grows = F.col("height") > k
+    return level.select(
+        "tree", "block", "height", "pos", F.when(grows, digest(*own)).otherwise(own[0]).alias("hash"),
+        F.when(grows, F.concat(*(longer(i) for i in range(fanout)))).otherwise(F.col("members_0")).alias("members"))
 
 
-def build(nodes: DataFrame, order: Sequence[str], carried: Sequence[str], fanout: int) -> Tree:
-    """All levels above ``nodes`` (``tree, hash``, columns to carry along); several trees grow side by side."""
+def build(nodes: DataFrame, order: Sequence[str], carried: Sequence[str], fanout: int) -> list[DataFrame]:
+    """Trees over ``nodes`` (``tree, hash``, columns to carry along); several trees grow side by side.
+
+    Each frame holds the nodes ``STEP`` levels above those of the one before, ``tree, height, pos, hash`` and ``members``, the nodes
+    below them with their paths so far; the last one holds the roots.
+    """
     placed = running_totals(nodes, ["tree"], [F.asc_nulls_first(c) for c in order], {"n": F.lit(1)})
     reach = F.array(*(F.lit(fanout**k) for k in range(int(63 / math.log2(fanout)))))
     current = placed.select(
-        "tree", F.size(F.filter(reach, lambda p: p < F.col("total_n"))).alias("height"), F.col("before_n").alias("pos"),
-        "hash", F.struct(*carried).alias("carried"))
-    levels, roots, k, top = [], [], 0, None
-    while top is None or k < top:
-        slot = F.pmod("pos", F.lit(fanout))
-        spread = [F.max(F.when(slot == i, F.col("hash"))).alias(f"own_{i}") for i in range(fanout)]
-        if k == 0:
-            spread += [F.max(F.when(slot == i, F.col("carried"))).alias(f"carried_{i}") for i in range(fanout)]
-        level = settle(current.groupBy("tree", "height", F.floor(F.col("pos") / fanout).cast("long").alias("parent")).agg(*spread))
-        if top is None:
-            top = level.agg(F.max("height")).first()[0] or 0
-            roots.append(level.filter("height = 0").select("tree", "height", F.col("own_0").alias("root")))
-        levels.append(level)
-        k += 1
-        children = [F.coalesce(F.col(f"own_{i}"), F.lit("")) for i in range(fanout)]
-        current = level.filter(F.col("height") >= k).select("tree", "height", F.col("parent").alias("pos"), digest(*children).alias("hash"))
-        roots.append(current.filter(F.col("height") == k).select("tree", "height", F.col("hash").alias("root")))
-    found = roots[0]
-    for more in roots[1:]:
-        found = found.unionByName(more)
-    return Tree(levels, settle(found))
-
-
-def paths(tree: Tree, above: DataFrame, fanout: int) -> DataFrame:
-    """The carried columns of each node that ``build`` was given, its ``hash``, ``path`` and what ``above`` carries.
-
-    ``above``: ``tree, path`` from the root of a tree upwards, more columns.  A path holds ``before`` and ``after``, the
+        "tree", F.size(F.filter(reach, lambda p: p < F.col("total_n"))).alias("height"), F.col("before_n").alias("pos"), "hash", F.struct(*carried).alias("carried"))
+    levels, k, top = [], 0, 1
+    while k < top:
+        member = F.struct("carried", F.array().cast(PATH).alias("path"))
+        dealt = current.select("tree", F.floor(F.col("pos") / fanout**STEP).cast("long").alias("block"), "height", "pos", "hash", F.array(member).alias("members"))
+        dealt = dealt.repartition("tree", "block")
+        for level in range(k, k + STEP):
+            dealt = pivot(dealt, level, fanout)
+        k += STEP
+        levels.append(settle(dealt.drop("block")))
+        if k == STEP:
+            top = levels[0].agg(F.max("height")).first()[0] or 0
+        current = levels[-1].select("tree", "height", "pos", "hash", F.struct("pos").alias("carried"))
+    return levels
+
+
+def paths(levels: list[DataFrame], above: DataFrame) -> DataFrame:
+    """The columns carried by each node that ``build`` was given, its ``path``, and what ``above`` has for its tree.
+
+    ``above``: ``tree``, ``path`` from the root of a tree upwards, more columns.  A path holds ``before`` and ``after``, the
     siblings on both sides, from the lowest level to the highest.
     """
-    tops = settle(tree.roots.select("tree", "height").join(above, "tree"))
     more = [c for c in above.columns if c not in ("tree", "path")]
-    here = None
-    for k in reversed(range(len(tree.levels))):
-        level = tree.levels[k]
-        # nodes of the level above: the roots that lie there, and those with a path from further up
-        ended = tops.filter(F.col("height") == k + 1)
-        if k == 0:
-            ended = tops.filter("height <= 1")
-        parents = ended.select("tree", F.lit(0).cast("long").alias("parent"), "path", *more)
-        if here is not None:
-            parents = parents.unionByName(here.select("tree", F.col("pos").alias("parent"), "path", *more))
-        if k % CUT == 0:
-            parents = settle(parents)
-        own = [F.coalesce(F.col(f"own_{i}"), F.lit("")) for i in range(fanout)]
-        # without the own column: the siblings on both sides
-        slots = F.filter(F.array(*(
-            F.struct(
-                F.lit(i).alias("slot"), F.col(f"own_{i}").alias("hash"),
-                F.concat(F.lit(""), *own[:i]).alias("before"), F.concat(F.lit(""), *own[i + 1:]).alias("after"),
-                *([F.col(f"carried_{i}").alias("carried")] if k == 0 else []),
-            ) for i in range(fanout))), lambda s: s["hash"].isNotNull())
-        rows = level.filter(F.col("height") > k) if k else level
-        rows = rows.join(parents, ["tree", "parent"]).select("tree", "height", "parent", "path", *more, F.explode(slots).alias("s"))
-        step = F.concat(F.array(F.struct(F.col("s.before").alias("before"), F.col("s.after").alias("after"))), F.col("path"))
-        here = rows.select(
-            "tree", (F.col("parent") * fanout + F.col("s.slot")).alias("pos"), "s.hash", F.when(F.col("height") > k, step).otherwise(F.col("path")).alias("path"), *more,
-            *([F.col("s.carried").alias("carried")] if k == 0 else []))
-    return here.select("tree", "hash", "path", "carried.*", *more)
+    here = levels[-1].join(above, "tree")
+    for k in reversed(range(len(levels))):
+        if k < len(levels) - 1:
+            here = levels[k].join(here, ["tree", "pos"])
+        here = here.select("tree", *more, F.col("path").alias("_up"), F.explode("members").alias("_m"))
+        here = here.select("tree", "_m.carried.*", F.concat("_m.path", "_up").alias("path"), *more)
+    return here
 
 
 def fold(leaf: Column, path: Column) -> Column:
@@ -136,12 +126,13 @@ def proofs(docs: DataFrame, fanout: int = 3) -> DataFrame:
     rows = docs.select(
         F.coalesce(F.concat(F.lit("1"), values["source"].cast("string")), F.lit("0")).alias("tree"),
         values["doc_id"].cast("long").alias("doc_id"), leaf_of([*values.values()]).alias("hash"), other.alias("other"))
-    sources = build(settle(rows), ["doc_id", "hash"], ["doc_id", "other"], fanout)
-    named = sources.roots.select(F.lit("").alias("tree"), F.col("root").alias("hash"), F.col("tree").alias("name"))
-    dataset = build(named, ["name"], ["name"], fanout)
-    whole = dataset.roots.select("tree", "root", F.array().cast("array<struct<before:string,after:string>>").alias("path"))
-    above = paths(dataset, whole, fanout).select(F.col("name").alias("tree"), F.col("hash").alias("subroot"), "root", "path")
-    return paths(sources, above, fanout).select("doc_id", F.col("hash").alias("leaf"), "other", "subroot", "root", "path")
+    rows = settle(rows)
+    sources = build(rows.select("*", F.col("hash").alias("leaf")), ["doc_id", "hash"], ["doc_id", "leaf", "other"], fanout)
+    named = sources[-1].select(F.lit("").alias("tree"), "hash", F.col("tree").alias("name"), F.col("hash").alias("subroot"))
+    dataset = build(named, ["name"], ["name", "subroot"], fanout)
+    whole = dataset[-1].select("tree", F.col("hash").alias("root"), F.array().cast(PATH).alias("path"))
+    above = paths(dataset, whole).select(F.col("name").alias("tree"), "subroot", "root", "path")
+    return paths(sources, above).select("doc_id", "leaf", "other", "subroot", "root", "path")
 
 
 def verify(docs: DataFrame, tampered: Column, text: Column, fanout: int = 3) -> DataFrame:
