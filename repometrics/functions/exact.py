@@ -1,67 +1,47 @@
-"""Exact tail probabilities of two-sample statistics for small groups.
+"""Exact tail probabilities of two-sample statistics for small groups, as SQL expressions.
 
-Both are recurrences in which each value needs the one before it, so they run in numpy, on Arrow batches of one row
-for each factor; groups of equal sizes share a distribution.  All terms are positive probabilities: small results keep their digits.
+Both are recurrences over arrays.  All terms are positive probabilities, so small results keep their digits.  The columns named are
+whole numbers; the first group of ``u_distribution`` should be the smaller one.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
-import numpy as np
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 
-@lru_cache(maxsize=256)
-def u_upper_tails(m: int, n: int) -> np.ndarray:
-    """P(U >= u) for u = 0 .. m * n, U counting pairs of groups of ``m`` and ``n`` members without ties.
+def u_distribution(m: str, n: str) -> Column:
+    """P(U = u) for u = 0 .. m * n, U counting pairs of groups of ``m`` and ``n`` members without ties.
 
     The last of all members is in the first group with probability m / (m + n); it then adds n to U:
     p(u; m, n) = m / (m + n) * p(u - n; m - 1, n) + n / (m + n) * p(u; m, n - 1).
     """
-    m, n = min(m, n), max(m, n)
-    rows = np.zeros((m + 1, m * n + 1))
-    rows[:, 0] = 1.0
-    for j in range(1, n + 1):
-        for i in range(1, m + 1):
-            rows[i] *= j / (i + j)
-            rows[i, j:] += i / (i + j) * rows[i - 1, : m * n + 1 - j]
-    return np.minimum(1.0, np.cumsum(rows[m][::-1])[::-1])
+    return F.expr(f"""aggregate(
+        sequence(1, {n}),
+        transform(sequence(0, {m}), i -> transform(sequence(0, {m} * {n}), u -> CASE WHEN u = 0 THEN 1D ELSE 0D END)),
+        (rows, j) -> aggregate(sequence(1, {m}), slice(rows, 1, 1), (done, i) -> concat(done, array(transform(rows[i], (p, u) ->
+            p * j / (i + j) + CASE WHEN u >= j THEN done[i - 1][u - j] * i / (i + j) ELSE 0D END)))),
+        rows -> rows[{m}])""")
+
 
+def upper_tail(distribution: str, u: str) -> Column:
+    """P(U >= u) from an array of probabilities; missing where either is."""
+    return F.expr(f"aggregate(slice({distribution}, int(round({u})) + 1, size({distribution})), 0D, (a, p) -> a + p, a -> least(1D, a))")
 
-@lru_cache(maxsize=4096)
-def distance_tail(m: int, n: int, least: int) -> float:
+
+def distance_tail(m: str, n: str, least: str) -> Column:
     """P(max |i / m - j / n| * m * n >= least) over all orders of groups of ``m`` and ``n`` members.
 
     A path on the lattice steps right with probability (m - i) / (members left), else up; mass that leaves the
     strip is added up and goes no further.
     """
-    if least <= 0:
-        return 1.0
-    inside, left = np.zeros(m + 1), 0.0
-    inside[0] = 1.0
-    i = np.arange(m + 1)
-    for k in range(m + n):
-        j = k - i
-        there = (j >= 0) & (j <= n)
-        ahead = np.where(there, inside, 0.0) / (m + n - k)
-        after = ahead * np.clip(n - j, 0, None)
-        after[1:] += (ahead * (m - i))[:-1]
-        out = np.abs(i * n - (j + 1) * m) >= least
-        left += float(after[out].sum())
-        inside = np.where(out, 0.0, after)
-    return min(1.0, left)
-
-
-@F.pandas_udf(DoubleType())
-def exact_u_tail(m: pd.Series, n: pd.Series, u: pd.Series) -> pd.Series:
-    """P(U >= u); missing where any argument is."""
-    return pd.Series([None if pd.isna(a) or pd.isna(b) or pd.isna(x) else float(u_upper_tails(int(a), int(b))[max(0, round(x))]) for a, b, x in zip(m, n, u, strict=True)], dtype="float64")
-
-
-@F.pandas_udf(DoubleType())
-def exact_distance_tail(m: pd.Series, n: pd.Series, d: pd.Series) -> pd.Series:
-    """P(D >= d); missing where any argument is."""
-    return pd.Series([None if pd.isna(a) or pd.isna(b) or pd.isna(x) else distance_tail(int(a), int(b), round(x * int(a) * int(b))) for a, b, x in zip(m, n, d, strict=True)], dtype="float64")
+    # names that no column has: a lambda's variable hides a column of its name
+    after = f"""transform(state_.inside, (mass_, at_) -> (mass_ * ({n} - step_ + at_) + CASE WHEN at_ > 0 THEN state_.inside[at_ - 1] * ({m} - at_ + 1) ELSE 0D END) / ({m} + {n} - step_))"""
+    out = f"abs(at_ * {n} - (step_ + 1 - at_) * {m}) >= {least}"
+    return F.expr(f"""CASE WHEN {least} <= 0 THEN 1D ELSE aggregate(
+        sequence(0, {m} + {n} - 1),
+        named_struct('inside', transform(sequence(0, {m}), at_ -> CASE WHEN at_ = 0 THEN 1D ELSE 0D END), 'gone', 0D),
+        (state_, step_) -> named_struct(
+            'inside', transform({after}, (mass_, at_) -> CASE WHEN {out} THEN 0D ELSE mass_ END),
+            'gone', state_.gone + aggregate(transform({after}, (mass_, at_) -> CASE WHEN {out} THEN mass_ ELSE 0D END), 0D, (sum_, mass_) -> sum_ + mass_)),
+        state_ -> least(1D, state_.gone)) END""")

@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repometrics.functions import chi2_tail_df1, exact_distance_tail, exact_u_tail, f_tail_df1, kolmogorov_tail, normal_tail
+from repometrics.functions import chi2_tail_df1, distance_tail, f_tail_df1, kolmogorov_tail, normal_tail, u_distribution, upper_tail
 from repometrics.operators.ordering import most_significant_first, running_totals
 
-#: The exact distribution of U takes time in proportion to the square of the pairs.
-EXACT_PAIRS = 20_000
+#: The exact distribution of U takes time in proportion to the square of the pairs: half a second for as many as these.
+EXACT_PAIRS = 2_000
 
 
 def two_group_histogram(df: DataFrame, factor: Column | str, value: Column | str, is_a: Column) -> DataFrame:
@@ -121,18 +121,15 @@ def _with_mann_whitney(s: DataFrame, exact_up_to: int = 0) -> DataFrame:
     asymptotic = _with_normal_tails(s)
     if not exact_up_to:
         return asymptotic
-    pairs = F.col("na") * F.col("nb")
-    small = F.col("both") & (F.col("tie_term") == 0) & (F.least("n_a", "n_b") <= exact_up_to) & (pairs <= EXACT_PAIRS)
-
-    def tail(u: Column) -> Column:
-        return exact_u_tail(F.when(small, F.col("n_a")), F.when(small, F.col("n_b")), F.when(small, u))
-
-    above, below = F.col("u_stat"), pairs - F.col("u_stat")
-    either = 2 * tail(F.greatest(above, below))
-    return asymptotic.withColumns({
-        "u_pval": F.coalesce(F.when(either > 1, 1.0).otherwise(either), "u_pval"),
-        "u_pval_less": F.coalesce(tail(below), "u_pval_less"),
-        "u_pval_greater": F.coalesce(tail(above), "u_pval_greater"),
+    small = F.expr(f"both AND tie_term = 0 AND least(n_a, n_b) <= {exact_up_to} AND n_a * n_b <= {EXACT_PAIRS}")
+    sized = asymptotic.withColumns({"_few": F.when(small, F.least("n_a", "n_b")).cast("int"), "_many": F.when(small, F.greatest("n_a", "n_b")).cast("int")})
+    sized = sized.withColumn("_ways", F.when(F.col("_few").isNotNull(), u_distribution("_few", "_many")))
+    tails = sized.withColumns({
+        "_two": upper_tail("_ways", "greatest(u_stat, na * nb - u_stat)"), "_less": upper_tail("_ways", "na * nb - u_stat"), "_greater": upper_tail("_ways", "u_stat")})
+    return tails.withColumns({
+        "u_pval": F.coalesce(F.expr("CASE WHEN _two > 0.5D THEN 1D ELSE 2D * _two END"), "u_pval"),
+        "u_pval_less": F.coalesce("_less", "u_pval_less"),
+        "u_pval_greater": F.coalesce("_greater", "u_pval_greater"),
     })
 
 
@@ -194,8 +191,10 @@ def ks_two_sample(hist: DataFrame, exact_pairs: int = 0) -> DataFrame:
     rows = _summarise(hist).selectExpr("*", "sqrt(try_divide(na * nb, n)) * ks_stat AS t")
     pval = kolmogorov_tail("t")
     if exact_pairs:
-        small = F.col("both") & (F.col("na") * F.col("nb") <= exact_pairs)
-        pval = F.coalesce(exact_distance_tail(F.when(small, F.col("n_a")), F.when(small, F.col("n_b")), F.when(small, F.col("ks_stat"))), pval)
+        small = F.expr(f"both AND n_a * n_b <= {exact_pairs}")
+        rows = rows.withColumns({"_m": F.when(small, F.col("n_a")).cast("int"), "_n": F.when(small, F.col("n_b")).cast("int")})
+        rows = rows.withColumn("_far", F.expr("bigint(round(ks_stat * _m * _n))"))
+        pval = F.when(F.col("_far").isNotNull(), distance_tail("_m", "_n", "_far")).otherwise(pval)
     return rows.select("factor", "n_a", "n_b", "ks_stat", pval.alias("ks_pval"))
 
 

@@ -211,28 +211,35 @@ def _enumerated(m, n):
     return above, apart
 
 
-@pytest.mark.parametrize("m", range(1, 9))
-def test_exact_tails_equal_enumeration(m):
-    from repometrics.functions.exact import distance_tail, u_upper_tails
+def _tails(make, sizes):
+    """(m, n, k, P(U >= k), P(distance >= k)) for all k, by the expressions."""
+    from repometrics.functions import distance_tail, u_distribution, upper_tail
 
-    for n in range(m, 9 if m < 7 else m + 1):
-        above, apart = _enumerated(m, n)
+    rows = make([(m, n) for m, n in sizes], "m int, n int").withColumn("ways", u_distribution("m", "n"))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("m") * F.col("n"))))
+    return rows.select("m", "n", "k", upper_tail("ways", "k"), distance_tail("m", "n", "k")).collect()
+
+
+def test_exact_tails_equal_enumeration(make):
+    sizes = [(m, n) for m in range(1, 9) for n in range(1, 9) if m + n <= 13 or m == n]
+    found = {(m, n): _enumerated(m, n) for m, n in sizes}
+    checked = 0
+    for m, n, k, u, d in _tails(make, sizes):
+        above, apart = found[m, n]
         total = sum(above.values())
-        for sizes in ((m, n), (n, m)):
-            tails = u_upper_tails(*sizes)
-            assert all(abs(tails[u] - sum(c for v, c in above.items() if v >= u) / total) < 1e-12 for u in range(m * n + 1))
-            assert all(abs(distance_tail(*sizes, d) - sum(c for v, c in apart.items() if v >= d) / total) < 1e-12 for d in range(m * n + 1))
+        assert u == pytest.approx(sum(c for v, c in above.items() if v >= k) / total, rel=1e-10, abs=1e-15), (m, n, k)
+        assert d == pytest.approx(sum(c for v, c in apart.items() if v >= k) / total, rel=1e-10, abs=1e-15), (m, n, k)
+        checked += 1
+    assert checked == sum(m * n + 1 for m, n in sizes)
 
 
-def test_exact_tails_keep_their_digits():
-    """Of two groups of 60 the most extreme order has a probability of 1 / C(120, 60), and twice that either way."""
+def test_exact_tails_keep_their_digits(make):
+    """Of two groups of 40 the most extreme order has a probability of 1 / C(80, 40), and twice that either way."""
     from math import comb
 
-    from repometrics.functions.exact import distance_tail, u_upper_tails
-
-    least = 1 / comb(120, 60)
-    assert abs(u_upper_tails(60, 60)[3600] / least - 1) < 1e-9 and abs(distance_tail(60, 60, 3600) / (2 * least) - 1) < 1e-9
-    assert abs(u_upper_tails(3, 2000)[6000] * comb(2003, 3) - 1) < 1e-9
+    last = {(m, n): (u, d) for m, n, k, u, d in _tails(make, [(40, 40), (3, 300)]) if k == m * n}
+    assert last[40, 40] == pytest.approx((1 / comb(80, 40), 2 / comb(80, 40)), rel=1e-9)
+    assert last[3, 300] == pytest.approx((1 / comb(303, 3), 2 / comb(303, 3)), rel=1e-9)
 
 
 def test_exact_probabilities_of_small_factors(make, values):
