@@ -38,7 +38,11 @@ def test_query_has_all_rows(spark, name):
     table, key = {"op8": ("pages", "page_id"), "op13": ("documents", "lang")}.get(name.split("_")[0], ("documents", "doc_id"))
     wanted = {r[0] for r in spark.read.parquet(f"{SF_DIR}/{table}.parquet").select(key).collect()}
     got = [r[0] for r in frame.collect()]
-    assert set(got) == wanted and (name.split("_")[0] in ("op9", "op13") or len(got) == len(wanted))
+    if name.startswith("op13"):
+        # a language has rows if it has a phrase that is frequent enough
+        assert got and set(got) <= wanted
+        return
+    assert set(got) == wanted and (name.startswith("op9") or len(got) == len(wanted))
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
