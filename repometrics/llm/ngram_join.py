@@ -6,8 +6,8 @@ included, are copies and become one node.
 
 Plain banding: each node has ``trees`` bands of minimum hashes.  A band is as long, up to ``length``, as
 it may be for two nodes at the threshold to meet in some band with the target recall (``depth``).
-Nodes with an equal band are linked to the least of them, not to each other,
-and the connected parts of that graph are the candidates.
+Nodes with an equal band are linked to the least of them, not to each other, a node of several bands to the
+least of those; the connected parts of that graph are the candidates.
 
 Candidates are verified exactly, inside numpy, on the counts of shared
 shingles.  Small parts fill a bin together; a part of more than ``most`` nodes is cut
@@ -193,8 +193,10 @@ def classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, trees: int =
 
     below = nodes.select("node", F.posexplode("labels").alias("tree", "label"))
     tops = below.groupBy("tree", "label").agg(F.min("node").alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    stars = below.join(tops, ["tree", "label"]).filter("node <> top").select(F.col("node").alias("a"), F.col("top").alias("b")).distinct()
-    parts = components(stars)
+    # a node of several bands joins the least of their least ones, and so do the others: about one edge for each node
+    stars = below.join(tops, ["tree", "label"]).groupBy("node").agg(F.min("top").alias("b"), F.collect_set("top").alias("tops"))
+    ends = F.explode(F.array_union(F.array("node"), "tops"))
+    parts = components(stars.select(ends.alias("a"), "b").filter("a <> b").distinct())
 
     # slices of large parts, bins of small ones
     counts = parts.groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("slices", F.ceil(F.col("n") / most).cast("int"))
