@@ -12,8 +12,8 @@ The model's normalisation must be the identity with a leading space mark, as
 another character or a line break (verified as well), so a text is encoded in
 chunks between those places, and each task remembers chunks up to a bound.
 
-Missing text is empty text: no ids, empty decoded text.  Repeated rows are
-encoded each for itself; other columns are ignored.
+Missing text is empty text: no ids, empty decoded text.  A very long text is encoded in chunks as others are, and a long
+chunk is not remembered.  Repeated rows are encoded each for itself; an empty table has no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,15 +21,18 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
-from array import array
+from itertools import repeat
+from operator import add
 
 from pyspark.sql import DataFrame
 
 from .common import map_documents
 
 MARK = "▁"
+#: Below every score.
+NO_PIECE = float("-inf")
 #: Distinct chunks that a worker remembers in each of two generations, the longest remembered one, and pairs.
-MOST_CHUNKS, LONGEST, MOST_PAIRS = 300_000, 400, 400_000
+MOST_CHUNKS, LONGEST, MOST_PAIRS = 500_000, 400, 400_000
 
 
 class PieceCodec:
@@ -53,54 +56,65 @@ class PieceCodec:
         for piece in self._ids:
             self._matcher.add_word(piece)
         self._matcher.make_automaton()
+        self._letter = self._ids["a"]
+        #: chunks that don't decode to themselves, with what they do
+        self._odd: dict[str, str] = {}
         self._pairs: dict[tuple[str, str], bool] = {}
         self._now: dict[str, bytes] = {}
         self._before: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """Merges one at a time: the best-scored pair first, the leftmost of equal ones."""
-        parts = list(text)
-        while True:
-            best = max(((self._score[a + b], -i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self._score), default=None)
-            if best is None:
+        parts, score = list(text), self._score.get
+        while len(parts) > 1:
+            pairs = list(map(add, parts, parts[1:]))
+            scores = list(map(score, pairs, repeat(NO_PIECE)))
+            best = max(scores)
+            if best == NO_PIECE:
                 return parts
-            parts[-best[1] : 2 - best[1]] = ["".join(parts[-best[1] : 2 - best[1]])]
+            i = scores.index(best)
+            parts[i : i + 2] = [pairs[i]]
+        return parts
 
     def _fits(self, left: str, right: str) -> bool:
-        """Would merging leave this pair as it is?"""
-        found = self._pairs.get((left, right))
-        if found is None:
-            if len(self._pairs) >= MOST_PAIRS:
-                self._pairs.clear()
-            found = self._pairs[left, right] = self.merged(left + right) == [left, right]
+        """Would merging leave this pair as it is? With nothing on the left: this piece."""
+        if len(self._pairs) >= MOST_PAIRS:
+            self._pairs.clear()
+        found = self._pairs[left, right] = self.merged(left + right) == ([left, right] if left else [right])
         return found
 
     def pieces(self, chunk: str) -> list[str]:
         """The pieces of a chunk; a character that no piece holds is a piece by itself."""
         longest = [1] * len(chunk)
+        # of the matches from one place the longest comes last
         for last, size in self._matcher.iter(chunk):
-            longest[last + 1 - size] = max(size, longest[last + 1 - size])
-        failed, done, at = bytearray(len(chunk) // 8 + 1), [], 0
+            longest[last + 1 - size] = size
+        ids, known = self._ids, self._pairs.get
+        # a bit for each position from which the rest can't be encoded
+        failed, done, left, at = 0, [], "", 0
         size = longest[0]
+        n = len(chunk)
         while True:
             while size:
-                piece, end = chunk[at : at + size], at + size
-                if not failed[end >> 3] >> (end & 7) & 1 and (size == 1 or piece in self._ids) and (self._fits(done[-1], piece) if done else size == 1 or self._alone(piece)):
-                    break
+                end = at + size
+                piece = chunk[at:end]
+                if (size == 1 or piece in ids) and not failed >> end & 1:
+                    fits = known((left, piece))
+                    if self._fits(left, piece) if fits is None else fits:
+                        break
                 size -= 1
             if size:
                 done.append(piece)
-                at = end
-                if at == len(chunk):
+                left, at = piece, end
+                if at == n:
                     return done
                 size = longest[at]
             else:
-                failed[at >> 3] |= 1 << (at & 7)
+                failed |= 1 << at
                 size = len(done.pop())
+                left = done[-1] if done else ""
                 at -= size
-
-    def _alone(self, piece: str) -> bool:
-        return self._fits("", piece) if ("", piece) in self._pairs else self._pairs.setdefault(("", piece), self.merged(piece) == [piece])
+                size -= 1
 
     def _chunks(self, text: str) -> list[str]:
         return re.findall(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n", (MARK + text).replace(" ", MARK)) if text else []
@@ -113,32 +127,53 @@ class PieceCodec:
             for piece in self.pieces(text):
                 known = self._ids.get(piece)
                 ids += [known] if known is not None else [self._byte[b] for b in piece.encode()]
-            found = array("I", ids).tobytes()
+            found = b"%d," * len(ids) % (*ids,)
         self._now[text] = found
         return found
 
     def _learn(self, chunks: list[str]) -> bytes:
+        if len(self._odd) > MOST_CHUNKS:
+            # a chunk that is remembered must be known as an odd one, so all go together
+            self._now, self._before, self._odd = {}, {}, {}
         if len(self._now) > MOST_CHUNKS:
             self._now, self._before = {}, self._now
         now, before, joined = self._now, self._before, self._joined
         for chunk in {*chunks}.difference(now):
             if (found := before.get(chunk)) is None:
-                cuts = [0, *(i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in joined), len(chunk)]
-                found = b"".join([self._part(chunk[a:b]) for a, b in zip(cuts, cuts[1:])])
+                cuts = [0, *[i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in joined], len(chunk)]
+                found = b"".join([self._part(chunk[a:b]) for a, b in zip(cuts, cuts[1:])]) if len(cuts) > 2 else self._part(chunk)
+                self._check(chunk, found)
             now[chunk] = found
-        ids = b"".join(map(now.__getitem__, chunks))
+        said = b"".join(map(now.__getitem__, chunks))
         for chunk in [c for c in chunks if len(c) > LONGEST]:
             now.pop(chunk, None)
-        return ids
+        return said
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a whole text."""
+    def _check(self, chunk: str, said: bytes) -> None:
+        """Decode a chunk's ids, after a letter, which keeps its mark; note what it becomes if that isn't the chunk."""
+        decoded = self._library.decode([self._letter, *map(int, said[:-1].split(b","))])[1:]
+        if decoded != chunk.replace(MARK, " "):
+            self._odd[chunk] = decoded
+
+    def spell(self, text: str) -> tuple[bytes, str]:
+        """Decimal ids of a whole text, each followed by a comma, and what the ids decode to.
+
+        Chunks are decoded by themselves, when they are first met: a chunk holds whole characters, so what its bytes become
+        doesn't depend on its neighbours.
+        """
         chunks = self._chunks(text)
         try:
-            ids = b"".join(map(self._now.__getitem__, chunks))
+            said = b"".join(map(self._now.__getitem__, chunks))
         except KeyError:
-            ids = self._learn(chunks)
-        return array("I", ids).tolist()
+            said = self._learn(chunks)
+        if not self._odd or self._odd.keys().isdisjoint(chunks):
+            return said, text.replace(MARK, " ") if MARK in text else text
+        return said, "".join([self._odd.get(c) or c.replace(MARK, " ") for c in chunks])[1:]
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of a whole text."""
+        said = self.spell(text)[0]
+        return list(map(int, said[:-1].split(b","))) if said else []
 
     def decode(self, ids: list[int]) -> str:
         return self._library.decode(ids)
@@ -157,12 +192,9 @@ def encode_decode(docs: DataFrame, model: str, with_ids: bool = False) -> DataFr
         codec = piece_codec(model)
 
         def each(text: bytes) -> dict:
-            ids = codec.encode(text.decode())
-            decoded = codec.decode(ids)
-            # a list prints as "[1, 2]"
-            decimals = str(ids)[1:-1].replace(" ", "")
-            row = {"n_tokens": len(ids), "ids_sha256": hashlib.sha256(decimals.encode()).hexdigest(), "decoded_sha256": hashlib.sha256(decoded.encode()).hexdigest()}
-            return row | ({"ids": ids, "decoded": decoded} if with_ids else {})
+            said, decoded = codec.spell(text.decode())
+            row = {"n_tokens": said.count(b","), "ids_sha256": hashlib.sha256(said[:-1]).hexdigest(), "decoded_sha256": hashlib.sha256(decoded.encode()).hexdigest()}
+            return row | ({"ids": list(map(int, said[:-1].split(b","))) if said else [], "decoded": decoded} if with_ids else {})
 
         return each
 
