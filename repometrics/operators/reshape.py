@@ -15,23 +15,36 @@ from repometrics.operators.joins import attach_repo_profile, enrich_files, membe
 from repometrics.operators.ordering import row_numbers
 from repometrics.session import settle
 
+#: So many counters a row is a grouping compiled for.
+COUNTERS = 64
+
 
 def lint_counts(lint: DataFrame) -> DataFrame:
     """Messages per file and symbol: the long form everything else starts from."""
-    messages = lint.filter(F.col("symbol").isNotNull() & F.col("message_id").isNotNull())
-    return messages.groupBy("repo", "path", "symbol").agg(F.count(F.lit(1)).alias("n"))
+    return _messages(lint).groupBy("repo", "path", "symbol").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _messages(lint: DataFrame) -> DataFrame:
+    return lint.filter(F.col("symbol").isNotNull() & F.col("message_id").isNotNull())
 
 
 def lint_pivot(lint: DataFrame, symbols: Sequence[str] | None = None) -> DataFrame:
     """One row per file with messages, one ``lint_<symbol>`` column per symbol.
 
-    Without ``symbols`` Spark looks the symbols up first; the counts are then
+    Up to ``COUNTERS`` named symbols are counted side by side, so a task holds a row per file and the messages are
+    shuffled once; longer lists are pivoted.  Without ``symbols`` Spark looks the symbols up first; the counts are then
     written once so that the messages are read once.
     """
-    counts = lint_counts(lint)
-    if symbols is None:
-        counts = settle(counts)
-    wide = counts.groupBy("repo", "path").pivot("symbol", list(symbols) if symbols else None).agg(F.first("n"))
+    if symbols and len(symbols) <= COUNTERS:
+        counters = [F.nullif(F.count_if(F.col("symbol") == s), F.lit(0)).alias(s) for s in symbols]
+        wide = _messages(lint).groupBy("repo", "path").agg(*counters)
+    elif symbols:
+        wide = _messages(lint).groupBy("repo", "path").pivot("symbol", list(symbols)).agg(F.count(F.lit(1)))
+    else:
+        counts = lint_counts(lint)
+        if symbols is None:
+            counts = settle(counts)
+        wide = counts.groupBy("repo", "path").pivot("symbol").agg(F.first("n"))
     return wide.select(
         "repo", "path",
         *[F.col(f"`{c}`").alias(C.LINT_PREFIX + c) for c in wide.columns if c not in ("repo", "path")],

@@ -144,6 +144,28 @@ def test_cardinality_sketches(spark, make, values):
     assert aggregates.sketched_cardinality(aggregates.cardinality_sketches(rows.filter("false"), columns)).filter("distinct_values > 0").count() == 0
 
 
+def test_named_symbols_are_counted_in_one_grouping(make, values):
+    """One shuffle of one row per file and task, two aggregates; the rows are those of a pivot, also for long lists."""
+    rows = [*lint_rows(), (1, "f1.py", "x=1,y", "M"), (2, "only.py", None, "M"), (3, "none.py", "a", None), (4, "other.py", "rare", "M"), (None, None, "a", "M"), (None, None, "a", "M")]
+    symbols = ["a", "b", "c-d", "x=1,y", "é", "absent"]
+    lint = make(rows, LINT)
+    counted = {}
+    for repo, path, symbol, message in rows:
+        if symbol is not None and message is not None:
+            counted.setdefault((repo, path), dict.fromkeys(symbols))
+            if symbol in symbols:
+                counted[repo, path][symbol] = (counted[repo, path][symbol] or 0) + 1
+    expected = {(*key, *found.values()) for key, found in counted.items()}
+    wide = reshape.lint_pivot(lint, symbols)
+    assert {tuple(r) for r in wide.collect()} == expected and wide.count() == len(expected)
+    assert (4, "other.py", *[None] * 6) in expected and (None, None, 2, *[None] * 5) in expected
+    plan = plan_of(wide).split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("HashAggregate(") == 2, plan
+    long = reshape.lint_pivot(lint, [*symbols, *[f"s{k}" for k in range(reshape.COUNTERS)]])
+    assert {tuple(r)[:8] for r in long.collect()} == expected and long.count() == len(expected)
+    assert [t for _, t in wide.dtypes] == [t for _, t in long.dtypes][:8] == ["bigint", "string", *["bigint"] * 6]
+
+
 def test_sparse_features_are_the_wide_ones(make, values):
     lint = make([*lint_rows(), (1, "f1.py", "x=1,y", "M"), (2, "only.py", None, "M"), (3, "f3.py", "a", None)], LINT)
     symbols = ["a", "b", "c-d", "x=1,y", "é", "absent"]
