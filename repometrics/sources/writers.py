@@ -33,11 +33,20 @@ def append_run(df: DataFrame, path: str, run: str, fmt: str = "parquet") -> None
     writer.option("partitionOverwriteMode", "dynamic").format(fmt).save(path)
 
 
+def bucket_count(tables: Sequence[DataFrame], rows: int = 500_000, least: int = 8) -> int:
+    """How many buckets hold about ``rows`` rows each of the largest table; ``least`` for small ones.
+
+    A bucket is read, joined and grouped by one task, so a fixed number would make tasks as large as the input.  Tables to be
+    joined need one number for all of them.  Each table is counted in a pass of its own; only its count goes to the driver.
+    """
+    return max(least, *(-(-table.count() // rows) for table in tables))
+
+
 def write_bucketed(df: DataFrame, table: str, path: str, keys: Sequence[str] = ("repo", "path"), buckets: int = 200) -> DataFrame:
     """Write a catalog table whose files are dealt and sorted by ``keys``, and read it.
 
     Joins and groupings on all of ``keys`` of tables with equally many buckets need no shuffle, run after run.  Rows are dealt
-    before they are written, so there is one file for a bucket.
+    before they are written, so there is one file for a bucket.  ``bucket_count`` finds a number that follows the rows.
     """
     dealt = df.repartition(buckets, *keys)
     dealt.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)

@@ -688,9 +688,11 @@ def write_with_probes(t):
 def enrich_files_bucketed(t):
     """``enrich_files`` over tables dealt by (repo, path)."""
     name = f"b{uuid.uuid4().hex}"
+    tables = (filters.clean_lint_rows(t.lint()), t.loc(), t.labels(), t.cc())
+    buckets = sources.bucket_count(tables, least=8)
     sides = [
-        sources.write_bucketed(side, f"{name}_{k}", scratch_path(t.spark, f"{name}-{k}"), buckets=8)
-        for k, side in enumerate((filters.clean_lint_rows(t.lint()), t.loc(), t.labels(), t.cc()))
+        sources.write_bucketed(side, f"{name}_{k}", scratch_path(t.spark, f"{name}-{k}"), buckets=buckets)
+        for k, side in enumerate(tables)
     ]
     wide = reshape.lint_pivot(sides[0], SYMBOLS)
     rows = joins.enrich_files(wide, sides[1], sides[2], agg.mean_complexity_by_file(sides[3]))

@@ -89,6 +89,27 @@ def test_bucketed_tables_join_without_a_shuffle(spark, make, values, tmp_path):
             spark.sql(f"DROP TABLE IF EXISTS bucketed_{k}")
 
 
+def test_buckets_follow_the_rows(spark, make, values, tmp_path):
+    """The largest table decides for all; a task reads no more rows when there are more, and nothing is shuffled."""
+    none = make([], LINT)
+    assert sources.bucket_count([none]) == 8 and sources.bucket_count([none], least=1) == 1
+    for rows in (2_000, 8_000):
+        lint = make(lint_rows(rows), LINT).withColumn("path", F.concat("path", F.monotonically_increasing_id().cast("string")))
+        loc = lint.select("repo", "path", F.lit(1).alias("nonblank_loc")).limit(50)
+        buckets = sources.bucket_count([loc, lint], rows=100)
+        assert buckets == rows // 100
+        stored = [sources.write_bucketed(df, f"following_{k}", str(tmp_path / f"{rows}-{k}"), buckets=buckets) for k, df in enumerate((lint, loc))]
+        try:
+            joined = reshape.lint_pivot(stored[0], ["a", "b"]).hint("merge").join(stored[1], ["repo", "path"], "left")
+            assert "Exchange" not in plan_of(joined)
+            assert values(joined) == values(reshape.lint_pivot(lint, ["a", "b"]).join(loc, ["repo", "path"], "left"))
+            most = stored[0].groupBy(F.col("_metadata.file_path").alias("bucket")).count().agg(F.max("count")).first()[0]
+            assert most <= 200
+        finally:
+            for k in range(2):
+                spark.sql(f"DROP TABLE IF EXISTS following_{k}")
+
+
 def test_probes_come_from_the_tasks_that_write(spark, make, values, tmp_path):
     """One scan writes and counts; the counts are those of a pass of their own."""
     rows = make([(k, None if k % 3 else "x") for k in range(1000)], "id bigint, name string")
