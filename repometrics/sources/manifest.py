@@ -1,7 +1,8 @@
 """Source files read by a manifest, so that no list of files is held in the driver.
 
 A manifest is a table: ``path`` (relative to a root) and, if known, ``bytes``.  ``list_source_files`` makes one
-in tasks, a folder each.  ``read_listed`` deals it into batches of about ``batch_bytes`` by running totals,
+in tasks, a folder each.  ``read_listed`` deals it into batches of about ``batch_bytes`` by running totals (more where
+there would be very many batches, as each costs a task and a folder),
 writes the batches to the shared checkpoint folder and reads them through a data source of its own whose partitions
 are the batches: the driver knows their number, a task reads its batch and then the files it names.
 """
@@ -24,6 +25,8 @@ from repometrics.session import scratch_path
 SOURCE = "listed_files"
 #: What a file costs besides its bytes, and one of unknown size.
 PER_FILE, UNKNOWN = 4_096, 16_384
+#: More batches than this are made only of so many bytes each, or of ``batch_bytes`` if that is more.
+BATCHES, FULL = 500, 64_000_000
 #: A task hands its rows on when it holds so many bytes.
 HELD = 16_000_000
 
@@ -122,14 +125,21 @@ def list_source_files(spark: SparkSession, root: str, ids: DataFrame | None = No
 
 
 def read_listed(spark: SparkSession, root: str, manifest: DataFrame, batch_bytes: int = 64_000_000) -> DataFrame:
-    """``path, content`` (bytes) of the files a manifest names; a file that is not there has no content."""
+    """``path, content`` (bytes) of the files a manifest names; a file that is not there has no content.
+
+    Where batches of ``batch_bytes`` would be more than ``BATCHES``, they hold as many bytes as make it that many, up to
+    ``FULL``.  A task hands its rows on as it reads, so it holds no more of a larger batch.
+    """
     known = F.col("bytes") if "bytes" in manifest.columns else F.lit(None).cast("bigint")
     listed = manifest.dropna(subset=["path"]).select("path", F.coalesce(known, F.lit(UNKNOWN)).alias("bytes")).dropDuplicates(["path"])
     dealt = running_totals(listed, [], ["path"], {"cost": F.col("bytes") + PER_FILE})
-    dealt = dealt.select("path", F.floor(F.col("before_cost") / batch_bytes).cast("int").alias("batch"))
+    size = F.greatest(F.lit(batch_bytes), F.least(F.lit(FULL), F.ceil(F.col("total_cost") / BATCHES)))
+    dealt = dealt.select("path", F.floor(F.col("before_cost") / size).cast("int").alias("batch"))
     folder = scratch_path(spark, f"manifest-{uuid.uuid4().hex}")
     seen = Observation()
-    dealt.observe(seen, F.max("batch").alias("last")).repartition("batch").write.partitionBy("batch").parquet(folder)
+    # with a number given the batches are not put into few tasks, small as they are: a folder costs more than its rows
+    writers = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt.observe(seen, F.max("batch").alias("last")).repartition(writers, "batch").write.partitionBy("batch").parquet(folder)
     last = seen.get["last"]
     spark.dataSource.register(ListedFiles)
     return (

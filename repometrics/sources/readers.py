@@ -87,7 +87,7 @@ def scan_source_files(
     ``path`` is relative to ``root`` and ``repo`` is its first folder.  Bytes
     that are not UTF-8 become replacement characters.  With a ``manifest``
     (relative ``path``, ``bytes`` if known; see ``list_source_files``) exactly the files it
-    names are read, in partitions of about ``batch_bytes``, and only those of ``ids`` are opened; a file that is not
+    names are read, in partitions of about ``batch_bytes`` (more where there would be over 500, see ``read_listed``), and only those of ``ids`` are opened; a file that is not
     there has no content.  Without one Spark lists the tree in the driver, and skips files without bytes and names that begin with ``_``.
     """
     if manifest is not None:

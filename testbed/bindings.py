@@ -165,9 +165,12 @@ class Tables:
 
         def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fs, top = file_system(root)
+            made = set()
             for batch in batches:
                 for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    fs.create_dir(f"{top}/{path.rpartition('/')[0]}", recursive=True)
+                    if (folder := path.rpartition("/")[0]) not in made:
+                        fs.create_dir(f"{top}/{folder}", recursive=True)
+                        made.add(folder)
                     with fs.open_output_stream(f"{top}/{path}") as file:
                         file.write(content)
                 yield batch.select(["path"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from repometrics import sources
 from repometrics.operators import aggregates, filters, joins, reshape
+from repometrics.sources import manifest
 
 
 def plan_of(df):
@@ -59,6 +60,22 @@ def test_one_large_file_among_small_ones(spark, tmp_path, make):
     assert rows.rdd.getNumPartitions() > 10
 
 
+def test_very_many_small_batches(spark, tmp_path, values, monkeypatch):
+    """Batches are made larger where there would be over 500 tasks and folders, up to a bound; every file is read once."""
+    (tmp_path / "1").mkdir()
+    for k in range(700):
+        (tmp_path / "1" / f"{k:03}.py").write_text(f"a{k}")
+    listed = spark.createDataFrame(sources.list_source_files(spark, str(tmp_path)).collect(), "path string, bytes bigint")
+    rows = sources.scan_source_files(spark, str(tmp_path), manifest=listed, batch_bytes=4_000)
+    assert 300 < rows.rdd.getNumPartitions() <= manifest.BATCHES
+    assert values(rows) == [(1, f"1/{k:03}.py", f"a{k}") for k in range(700)]
+    monkeypatch.setattr(manifest, "FULL", 4_200)
+    bounded = sources.scan_source_files(spark, str(tmp_path), manifest=listed, batch_bytes=4_000)
+    assert 600 < bounded.rdd.getNumPartitions() <= 700
+    few = sources.scan_source_files(spark, str(tmp_path), manifest=listed.limit(30), batch_bytes=4_000)
+    assert 25 <= few.rdd.getNumPartitions() <= 31
+
+
 def lint_rows(n=3000):
     rng = random.Random(4)
     return [(rng.randint(1, 9), f"f{rng.randint(1, 60)}.py", rng.choice(["a", "b", "c-d", "é", None]), "M1") for _ in range(n)]
